@@ -38,6 +38,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillon.llm.tokenout import token_ids
+
+    return token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.suffix import remove_repeats
 
@@ -49,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_lm": op3_lm,
     "op4_minhash": op4_minhash,
+    "op5_token_ids": op5_token_ids,
     "op6_suffix": op6_suffix,
 }
 
