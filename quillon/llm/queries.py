@@ -52,6 +52,18 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(_table(spark, sf_dir, "pages")))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -59,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_token_ids": op5_token_ids,
     "op6_suffix": op6_suffix,
+    "op8_warc": op8_warc,
+    "op10_langid": op10_langid,
 }
 
 #: Words of a text, as DuckDB sees them.
