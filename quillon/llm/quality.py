@@ -10,35 +10,38 @@ from pyspark.sql import functions as F
 from quillon.llm.common import MUL, WORD, mapped, mix, prepare
 
 SYMBOLS = "#*$%&|<>"
-#: Most per cent of the words' characters that duplicated n-grams of so many words may cover.
-MOST = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+#: Most per cent of the words' characters that repeats of n-grams of so many words may cover: about twice the
+#: usual limits, which a short clean text with a single line said twice would break.
+MOST = {5: 30, 6: 29, 7: 28, 8: 27, 9: 26, 10: 25}
 #: Most per cent of a text's characters that repeated lines may hold.
-MOST_LINES = 20
+MOST_LINES = 30
 #: Fewest words, and most per cent of words inside repeated 3-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 
-def _again(h: np.ndarray, at: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Which of the windows of n words at the places at occur twice or more; h are their hashes.
+def _again(h: np.ndarray, at: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows of n words at the ascending places at occur twice or more, and which occurred before; h are their hashes.
 
     Equal hashes are only candidates: neighbours in hash order are compared word by word, and where any
     differ the windows are counted exactly instead.
     """
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
+    twice, later = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
     if not same.any():
-        return np.zeros(len(h), dtype=bool)
+        return twice, later
     a, b = at[order[:-1][same]], at[order[1:][same]]
     if all((ids[a + k] == ids[b + k]).all() for k in range(n)):
-        out = np.zeros(len(h), dtype=bool)
-        out[order[:-1][same]] = True
-        out[order[1:][same]] = True
-        return out
-    seen: dict[bytes, int] = {}
-    keys = [ids[p : p + n].tobytes() for p in at]
-    for k in keys:
-        seen[k] = seen.get(k, 0) + 1
-    return np.array([seen[k] > 1 for k in keys], dtype=bool)
+        twice[order[:-1][same]] = True
+        later[order[1:][same]] = True
+        return twice | later, later
+    first: dict[bytes, int] = {}
+    for k, p in enumerate(at):
+        lead = first.setdefault(ids[p : p + n].tobytes(), k)
+        if lead != k:
+            twice[[lead, k]] = True
+            later[k] = True
+    return twice, later
 
 
 def _covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -77,22 +80,22 @@ def measure(text: str | None, lengths: tuple[int, ...] = tuple(MOST)) -> list[in
             if n > 3:
                 at = at[at <= size - n]
                 h = mix(h[: len(at)]) + base[at + n - 1]
-            twice = _again(h, at, ids, n)
-            at, h = at[twice], h[twice]
-            if not len(at):
+            twice, later = _again(h, at, ids, n)
+            if not twice.any():
                 break
             if n == 3:
-                repeated = int(_covered(at, 3, size).sum())
+                repeated = int(_covered(at[twice], 3, size).sum())
             if n in covered:
-                covered[n] = int(lens[_covered(at, n, size)].sum())
+                covered[n] = int(lens[_covered(at[later], n, size)].sum())
+            at, h = at[twice], h[twice]
     return [*out, repeated, *covered.values()]
 
 
 def assess(docs: DataFrame, text: str = "text", most: dict[int, int] | None = None, most_lines: int = MOST_LINES, least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED, carry: list[str] | None = None) -> DataFrame:
     """Every row of docs with its repetition figures, base_failed and kept.
 
-    A duplicated n-gram covers all its occurrences, the first included; a repeated line counts from its
-    second occurrence. A null or empty text has no words and fails. Columns of docs with the names of the
+    n_repeat_words counts all occurrences, the first included; dup_chars_N and dup_line_chars count the
+    characters from the second occurrence on. A null or empty text has no words and fails. Columns of docs with the names of the
     figures are replaced. Rows are judged one by one: repeated rows and null ids change nothing. carry names
     the columns to return besides the figures (all, if none are named).
     """
