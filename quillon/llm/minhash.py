@@ -36,13 +36,13 @@ def powers(base: int, n: int) -> np.ndarray:
 POW, INV = powers(BASE, PART + (64 << 10)), powers(INVERSE, PART + (64 << 10))
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, first byte and end byte of every word of the lower-cased texts raw[at[k]:at[k+1]].
+def word_hashes(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first byte and end byte of every word of the lower-cased texts raw[at[k]:at[k+1]]; between marks the bytes that part words.
 
     A word's hash is a polynomial of its bytes modulo 2^64, taken from running sums, then mixed with its length.
     """
     low = LOWER[raw]
-    gap = SPACE[low]
+    gap = between[low]
     edge = np.zeros(len(low) + 1, dtype=bool)
     edge[at] = True  # words don't cross texts
     solid = ~gap
