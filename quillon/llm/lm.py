@@ -9,16 +9,17 @@ corpus and looked up for each byte. Texts travel in packed blocks; a block asks
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, as_bytes, from_blob, materialize, packed, prepare, to_blob
+from quillon.llm.common import LOWER, as_bytes, from_blob, materialize, packed, prepare, release, to_blob
 
-#: Bytes of context; text bytes in a block.
-ORDER, BLOCK = 4, 16 << 20
+#: Bytes of context; text bytes in a block, and those of it that are handled at a time.
+ORDER, BLOCK, PART = 4, 32 << 20, 2 << 20
 END, SYMBOLS = 256, 257
 
 
@@ -54,27 +55,41 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _parts(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows start to end of about PART bytes."""
+    start = 0
+    while start < len(at) - 1:
+        end = max(start + 1, int(np.searchsorted(at, at[start] + PART, side="right")) - 1)
+        yield start, end
+        start = end
+
+
 def _count_block(rows: pa.Table) -> dict[str, bytes]:
     """The block's distinct words and codes, each with its count in the training texts."""
     raw, at = as_bytes(rows["text"])
     train = np.array(rows["train"].to_pylist(), dtype=bool)
-    body = raw.tobytes()
     seen: Counter[bytes] = Counter()
     every: set[bytes] = set()
-    for k, learn in enumerate(train):
-        words = words_of(body[at[k] : at[k + 1]])
-        if learn:
-            seen.update(words)
-        else:
-            every.update(words)
-    keys = [*seen, *(every - seen.keys())]
-    word = pa.table({"key": pa.array(keys, pa.binary()), "n": pa.array([seen[x] for x in keys], pa.int64())})
-    value, to = codes(raw, at)
-    known, _ = count_codes(value)
-    learnt, n = count_codes(value[np.repeat(train, np.diff(to))])
-    counts = np.zeros(len(known), dtype=np.int64)
-    counts[np.searchsorted(known, learnt)] = n
-    return {"words": to_blob(word), "codes": to_blob(pa.table({"key": known, "n": counts}))}
+    known, counts = [], []
+    for start, end in _parts(at):
+        body = raw[at[start] : at[end]].tobytes()
+        for k in range(start, end):
+            words = words_of(body[at[k] - at[start] : at[k + 1] - at[start]])
+            if train[k]:
+                seen.update(words)
+            else:
+                every.update(words)
+        value, to = codes(raw[at[start] : at[end]], at[start : end + 1] - at[start])
+        own, _ = count_codes(value)
+        learnt, n = count_codes(value[np.repeat(train[start:end], np.diff(to))])
+        count = np.zeros(len(own), dtype=np.int64)
+        count[np.searchsorted(own, learnt)] = n
+        known.append(own)
+        counts.append(count)
+    every -= seen.keys()
+    word = pa.table({"key": pa.array([*seen, *every], pa.binary()), "n": pa.array([*seen.values(), *[0] * len(every)], pa.int64())})
+    key, _, n = _sums(np.concatenate(known), np.concatenate(counts))
+    return {"words": to_blob(word), "codes": to_blob(pa.table({"key": key, "n": n}))}
 
 
 def _unpacked(blocks: DataFrame, column: str, kind: str) -> DataFrame:
@@ -163,21 +178,24 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     base_score that of the words and one end under add-one unigram counts. A null or empty text is just its end.
     Repeated rows count as often as they stand. Without training texts every symbol is equally likely.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     train = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(folds)) != held_out
     rows = docs.select(F.col(key).cast("bigint").alias("key"), train.alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = packed(rows, BLOCK, _count_block, ["words", "codes"], "lm")
-    words = materialize(_unpacked(blocks, "words", "binary"), "lm-words")
-    grams = materialize(_unpacked(blocks, "codes", "bigint"), "lm-codes")
+    words, grams = _unpacked(blocks, "words", "binary"), _unpacked(blocks, "codes", "bigint")
     ends = int(docs.select(train.alias("t")).agg(F.count_if("t")).first()[0])
-    learnt = words.where("n > 0")
-    vocabulary = learnt.select("key").distinct().count() + (ends > 0)
-    total = int(learnt.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) + ends
-
-    # Words: a block knows its own counts; it is told those of words that other blocks hold too.
-    from pyspark.sql import Window
 
-    told = words.withColumn("c", F.sum("n").over(Window.partitionBy("key"))).where("c != n").select("block", F.lit(0).cast("int").alias("kind"), F.col("key").alias("word"), F.lit(0).cast("bigint").alias("code"), F.col("c").cast("double").alias("value"))
+    # Words: a block knows its own counts; it is told those of words that other blocks hold too. The sizes of the
+    # vocabulary and of the training texts are observed on the way, so the words are dealt out once.
+    of_key = Window.partitionBy("key")
+    counted = words.withColumn("c", F.sum("n").over(of_key)).withColumn("lead", F.min("block").over(of_key) == F.col("block"))
+    sizes = Observation()
+    counted = counted.observe(sizes, F.count_if(F.col("lead") & (F.col("c") > 0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    told = materialize(counted.where("c != n").select("block", "key", "c"), "lm-words")
+    release(spark)
+    vocabulary, total = int(sizes.get["v"]) + (ends > 0), int(sizes.get["n"]) + ends
+    told = told.select("block", F.lit(0).cast("int").alias("kind"), F.col("key").alias("word"), F.lit(0).cast("bigint").alias("code"), F.col("c").cast("double").alias("value"))
 
     # The trie: at most 256 contexts of one byte reach the driver, with at most 257 symbols each.
     summed = grams.groupBy("key").agg(F.sum("n").alias("n"))
@@ -189,7 +207,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         code = table["key"].to_numpy()
         return pa.table({"key": code, "value": ppm(code, table["n"].to_numpy(), one)})
 
-    trie = summed.groupBy(F.expr("shiftright(key, 9) & 65535")).applyInArrow(entries, "key bigint, value double")
+    trie = materialize(summed.groupBy(F.expr("shiftright(key, 9) & 65535")).applyInArrow(entries, "key bigint, value double"), "lm-trie")
+    release(spark)
     asked = grams.select("block", "key").join(trie, "key").select("block", F.lit(1).cast("int").alias("kind"), F.lit(None).cast("binary").alias("word"), F.col("key").alias("code"), "value")
 
     def scored(held: pa.Table, answers: pa.Table) -> pa.Table:
@@ -202,28 +221,27 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         codes_told, values = answers["code"].to_numpy()[kind == 1], answers["value"].to_numpy()[kind == 1]
         values = values[np.argsort(codes_told)]
         docs = from_blob(held["docs"][0].as_py())
-        out = []
+        del answers, kind, codes_told
         raw, at = as_bytes(docs["text"])
-        body = raw.tobytes()
         size = total + (vocabulary + 1)
         end_log = float(np.log10((ends + 1) / size))
-        # The codes of the whole block, looked up by their place in sorted order, in parts of bounded size.
         known = from_blob(held["codes"][0].as_py())["key"].to_numpy()
-        start = 0
-        logs = []
-        while start < len(at) - 1:
-            end = max(start + 1, int(np.searchsorted(at, at[start] + (2 << 20), side="right")) - 1)
+        logs, n_tokens, n_known, base = [], [], [], []
+        for start, end in _parts(at):
             value, to = codes(raw[at[start] : at[end]], at[start : end + 1] - at[start])
-            logs.append(np.add.reduceat(values[np.searchsorted(known, value)], to[:-1]))
-            start = end
-        logs = np.concatenate(logs) if logs else np.zeros(0)
-        n_tokens, n_known, base = [], [], []
-        for k in range(len(at) - 1):
-            c = np.fromiter(map(count.__getitem__, words_of(body[at[k] : at[k + 1]])), dtype=np.int64)
-            n_tokens.append(len(c) + 1)
-            n_known.append(int((c > 0).sum()) + (ends > 0))
-            base.append(float(np.log10((c + 1) / size).sum()) + end_log)
-        del out
+            order = np.argsort(value)
+            ranked = value[order]
+            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+            each = np.empty(len(value))
+            each[order] = values[np.searchsorted(known, ranked[new])][np.cumsum(new) - 1]
+            logs.append(np.add.reduceat(each, to[:-1]))
+            body = raw[at[start] : at[end]].tobytes()
+            for k in range(start, end):
+                c = np.fromiter(map(count.__getitem__, words_of(body[at[k] - at[start] : at[k + 1] - at[start]])), dtype=np.int64)
+                n_tokens.append(len(c) + 1)
+                n_known.append(int((c > 0).sum()) + (ends > 0))
+                base.append(float(np.log10((c + 1) / size).sum()) + end_log)
+        logs = np.concatenate(logs)
         return pa.table({key: docs["key"], "held_out": pa.array([not x for x in docs["train"].to_pylist()], pa.bool_()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(base), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(logs, pa.float64()), "n_bytes": pa.array(np.diff(at), pa.int64())})
 
     answers = told.unionByName(asked)

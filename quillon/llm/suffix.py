@@ -16,7 +16,6 @@ is found by a hash and then checked byte by byte. All but the first of equal win
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import MUL, as_bytes, from_blob, materialize, mix, packed, prepare, sliced, to_blob
+from quillon.llm.common import MUL, as_bytes, from_blob, materialize, mix, packed, prepare, release, sliced, to_blob
 from quillon.llm.minhash import BASE, INV, INVERSE, PART, POW, powers
 
 #: Bytes of a seed; text bytes in a block and for each merge task; members above which a seed is split by window.
@@ -408,12 +407,6 @@ def _cut(length: int, payload: bool, key: str):
     return fn
 
 
-def _release(spark) -> None:
-    """Drop the shuffle files of tables that have been written and are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, payload: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 and, with payload, kept_bytes.
 
@@ -432,7 +425,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     seeds = blocks.select("block", "docs", "anchors").mapInArrow(_seeds, "key bigint, block bigint, n bigint")
     by_key = Window.partitionBy("key")
     live = materialize(seeds.withColumn("all", F.sum("n").over(by_key)).where("all > 1").select("block", "key", (F.col("all") > hot).alias("hot")), "suffix-live")
-    _release(spark)
+    release(spark)
     cold = live.where("not hot").select("block", "key")
     runs = blocks.groupBy("block").cogroup(cold.groupBy("block")).applyInArrow(_runs(length, parts), "part bigint, kind int, block bigint, blob binary")
     spans = runs.groupBy("part").applyInArrow(_merged(length), "block bigint, blob binary")
@@ -451,6 +444,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
         spans = spans.unionByName(again.mapInArrow(blobs, "block bigint, blob binary"))
     spans = materialize(spans, "suffix-spans")
-    _release(spark)
+    release(spark)
     kept = ", kept_bytes binary" if payload else ""
     return blocks.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(length, payload, key), f"{key} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}")
