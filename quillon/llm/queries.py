@@ -52,12 +52,24 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.html import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.warc import read_archives, write_archives
 
     return read_archives(write_archives(_table(spark, sf_dir, "pages")))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.langid import identify
 
@@ -71,7 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_token_ids": op5_token_ids,
     "op6_suffix": op6_suffix,
+    "op7_main_text": op7_main_text,
     "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
 }
 
