@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import mapped, prepare, texts
+from quillon.llm.common import mapped, prepare, schema, texts
 
 #: Longest bytes that are merged directly, and first number of tokens on each side of a border.
 LEAF, WINDOW = 12, 2
@@ -143,4 +143,4 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in keep), *more], names=[*keep, *names])
 
     kinds = ["bigint", "string", "string", "binary", "binary"]
-    return mapped(docs, fn, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried), *(f"{x} {k}" for x, k in zip(names, kinds, strict=False))]))
+    return mapped(docs, fn, schema(carried, ", ".join(f"{x} {k}" for x, k in zip(names, kinds, strict=False))))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import MUL, as_bytes, mix, prepare, sliced
+from quillon.llm.common import MUL, as_bytes, mix, prepare, schema, sliced
 from quillon.llm.minhash import word_hashes
 
 REPEATS, SAMPLES, STRETCH = 32, 2, 3
@@ -182,8 +182,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     prepare(docs.sparkSession)
     names = ["item_ids", "n_items", "kept"]
     cols = [f for f in docs.schema if f.name not in names and (carry is None or f.name in carry)]
-    rows = docs.select(F.struct(*(F.col(f"`{f.name}`") for f in cols)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.array().cast("array<bigint>").alias("item_ids"))
-    kind = rows.schema["row"].dataType.simpleString()
+    rows = docs.select(F.struct(*(F.col(f"`{f.name}`") for f in cols if f.name != text), F.lit(0).alias("none")).alias("row"), F.col(text).cast("string").alias("text"), F.array().cast("array<bigint>").alias("item_ids"))
+    kind = schema([rows.schema["row"]], "text string, item_ids array<bigint>")
 
     def passed(items: Items):
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,5 +200,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
         return over
 
     for items in _blocks(benchmark, item, item_text, percent, least):
-        rows = rows.mapInArrow(passed(items), f"row {kind}, text string, item_ids array<bigint>")
-    return rows.select(*(F.col(f"row.`{f.name}`").alias(f.name) for f in cols), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), F.size(F.array_distinct("item_ids")).cast("bigint").alias("n_items"), (F.size("item_ids") == 0).alias("kept"))
+        rows = rows.mapInArrow(passed(items), kind)
+    return rows.select(*(F.col("text" if f.name == text else f"row.`{f.name}`").alias(f.name) for f in cols), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), F.size(F.array_distinct("item_ids")).cast("bigint").alias("n_items"), (F.size("item_ids") == 0).alias("kept"))

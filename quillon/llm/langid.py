@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import LOWER, as_bytes, materialize, prepare, sliced
+from quillon.llm.common import LOWER, as_bytes, materialize, prepare, schema, sliced
 
 #: Documents a language to fit on, and bytes of each; languages; hash bits of byte trigrams.
 FIT_DOCS, FIT_BYTES, LANGUAGES, BITS = 400, 20_000, 64, 16
@@ -83,7 +83,7 @@ def identify(
     cols = [x for x in (carry if carry is not None else docs.columns) if x not in names]
     host_of = F.col(host).cast("string") if host else F.regexp_extract(F.col(url), r"^(?:\w+:)?//([^/?#:]*)", 1) if url else F.lit(None).cast("string")
     rows = docs.select(
-        F.struct(*(F.col(x) for x in cols)).alias("row") if cols else F.lit(0).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.struct(*(F.col(f"`{x}`") for x in cols if x != text), F.lit(0).alias("none")).alias("row"), F.col(text).cast("string").alias("text"),
         (F.lower(F.substring_index(F.col(declared).cast("string"), "-", 1)) if declared else F.lit(None).cast("string")).alias("declared"),
         (F.col(url).cast("string") if url else F.lit(None).cast("string")).alias("url"), host_of.alias("host"),
     )
@@ -106,11 +106,11 @@ def identify(
                 sums *= (EVIDENCE / np.maximum(count, EVIDENCE))[:, None]
                 urls = part.column(part.schema.get_field_index("url")).to_pylist()
                 address = [address_language(u, langs) for u in urls]
-                keep = [part.column(part.schema.get_field_index(x)) for x in ("row", "declared", "host")]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(address, pa.string()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * n), pa.array(sums.ravel()))], names=["row", "declared", "host", "address", "n_trigrams", "logs"])
+                keep = [part.column(part.schema.get_field_index(x)) for x in (*fixed, "declared", "host")]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(address, pa.string()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * n), pa.array(sums.ravel()))], names=[*fixed, "declared", "host", "address", "n_trigrams", "logs"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    told = materialize(rows.mapInArrow(likelihoods, f"row {kind}, declared string, host string, address string, n_trigrams bigint, logs array<double>"), "langid")
+    fixed = ["row", "text"] if text in cols else ["row"]
+    told = materialize(rows.mapInArrow(likelihoods, schema([rows.schema[x] for x in fixed], "declared string, host string, address string, n_trigrams bigint, logs array<double>")), "langid")
     logs = "transform(logs, x -> exp(x - array_max(logs)))"
     told = told.withColumn("own", F.expr(f"transform({logs}, x -> x / aggregate({logs}, 0D, (a, b) -> a + b))") if n else F.array().cast("array<double>"))
     told = told.withColumn("site", F.substring_index("host", ".", -2))
@@ -136,7 +136,7 @@ def identify(
     scored = scored.withColumn("confidence", F.expr("1D / aggregate(post, 0D, (a, x) -> a + exp(x - array_max(post)))"))
     sure = F.col("n_trigrams") > 0
     out = scored.select(
-        *([F.col(f"row.`{x}`").alias(x) for x in cols]),
+        *(F.col("text" if x == text else f"row.`{x}`").alias(x) for x in cols),
         F.when(sure & (F.size("post") > 0), F.expr("try_element_at(langs, best)")).otherwise("und").alias("language"),
         F.when(sure & (F.size("post") > 0), F.col("confidence")).otherwise(0.0).alias("confidence"),
         F.when(sure & (F.size("post") > 0), F.expr("try_element_at(langs, cast(array_position(logs, array_max(logs)) as int))")).otherwise("und").alias("text_language"), "n_trigrams",

@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 from pyspark.sql.window import Window
 
-from quillon.llm.common import MUL, as_bytes, from_blob, materialize, mix, packed, prepare, release, sliced, to_blob
+from quillon.llm.common import MUL, as_bytes, from_blob, materialize, mix, packed, prepare, release, schema, sliced, to_blob
 from quillon.llm.minhash import BASE, INV, INVERSE, PART, POW, powers
 
 #: Bytes of a seed; text bytes in a block and for each merge task; members above which a seed is split by window.
@@ -381,7 +382,7 @@ def _hot_windows(length: int):
 HOTS = pa.schema([(x, pa.int64()) for x in ("k1", "k2", "doc", "offset", "block", "pos")])
 
 
-def _cut(length: int, payload: bool, key: str):
+def _cut(payload: bool, key: str):
     def fn(held: pa.Table, spans: pa.Table) -> pa.Table:
         rows = from_blob(held["docs"][0].as_py())
         raw, at = as_bytes(rows["text"])
@@ -401,14 +402,14 @@ def _cut(length: int, payload: bool, key: str):
             sha.append(hashlib.sha256(out).hexdigest())
             left.append(out)
         id_ = pa.array(rows["id"].to_pylist(), pa.int64())
-        cols = {key: id_, "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+        cols = {key: id_, "row": rows["row"], "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         return pa.table(cols | ({"kept_bytes": pa.array(left, pa.binary())} if payload else {}))
 
     return fn
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, payload: bool = False, hot: int = HOT) -> DataFrame:
-    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 and, with payload, kept_bytes.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, payload: bool = False, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: key, the columns in carry, n_bytes, n_removed, n_spans, kept_sha256 and, with payload, kept_bytes.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a row of a smaller key, or
     earlier in the same row. Strings are judged on the input and never cross rows. A null key comes before all
@@ -418,7 +419,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(key).cast("bigint"), F.lit(FIRST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(key).cast("bigint"), F.lit(FIRST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("none"), *(F.col(f"`{x}`") for x in carry or [])).alias("row"))
     blocks = packed(rows, BLOCK, _block_anchors(length), ["anchors"], "suffix")
     total = blocks.count() * BLOCK
     parts = max(12, -(-total // MERGE))
@@ -446,4 +447,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans = materialize(spans, "suffix-spans")
     release(spark)
     kept = ", kept_bytes binary" if payload else ""
-    return blocks.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(length, payload, key), f"{key} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}")
+    out = blocks.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(payload, key), schema([StructField(key, LongType()), rows.schema["row"]], f"n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}"))
+    return out.select(key, *(F.col(f"row.`{x}`").alias(x) for x in carry or []), *out.columns[2:])
