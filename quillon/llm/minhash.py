@@ -20,6 +20,9 @@ from quillon.llm.components import components
 
 #: Slots of a signature (a power of two) and rows of a band: a pair at 0.8 shares none of 32 bands once in 10^7.
 SLOTS, ROWS = 128, 4
+#: Members up to which a bucket's pairs are listed; members and shingles of a block of a larger one.
+FEW, MEMBERS, ITEMS = 8, 1024, 2_000_000
+MIXED = 0xA24BAED4963EE407
 #: Odd, with an inverse modulo 2^64.
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -97,7 +100,7 @@ def signatures(s: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     offset = (seed & np.uint64(slots - 1)).astype(np.int64)
     stride = ((seed >> np.uint64(20)) | np.uint64(1)).astype(np.int64) & (slots - 1)
     for step in range(slots):
-        value = (mix(s ^ (np.uint64(step + 1) * MIXED)) >> np.uint64(8)) | (np.uint64(step) << np.uint64(56))
+        value = (mix(s ^ np.uint64((step + 1) * MIXED & (1 << 64) - 1)) >> np.uint64(8)) | (np.uint64(step) << np.uint64(56))
         np.minimum.at(out, row * slots + ((offset + stride * step) & (slots - 1)), value)
         open_ = out.reshape(n, slots).max(axis=1) >= (np.uint64(step + 1) << np.uint64(56)) if step < 255 else np.zeros(n, bool)
         more = open_[row]
@@ -108,7 +111,6 @@ def signatures(s: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     return out.reshape(n, slots)
 
 
-MIXED = np.uint64(0xA24BAED4963EE407)
 
 
 def bands(sig: np.ndarray, rows: int) -> np.ndarray:
@@ -165,6 +167,62 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(joined.select("a", "b", "x", "y"), fn, "a bigint, b bigint").distinct()
 
 
+def common_counts(items: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of ascending sets: frequent items add whole squares, rare ones single cells."""
+    m = len(items)
+    out = np.zeros((m, m), dtype=np.int32)
+    flat = np.concatenate(items)
+    owner = np.repeat(np.arange(m), [len(x) for x in items])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    often = np.diff(np.concatenate([first, [len(flat)]]))
+    for k in np.flatnonzero(often > 16).tolist():
+        own = owner[first[k] : first[k] + often[k]]
+        out[np.ix_(own, own)] += 1
+    cells = out.reshape(-1)
+    for size in np.unique(often[(often > 1) & (often <= 16)]).tolist():
+        rows = owner[first[often == size][:, None] + np.arange(size)]
+        for x in range(size):
+            for y in range(x + 1, size):
+                np.add.at(cells, rows[:, x] * m + rows[:, y], 1)
+                np.add.at(cells, rows[:, y] * m + rows[:, x], 1)
+    return out
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the same nodes as the symmetric matrix: a tree for each component."""
+    left, out = np.ones(len(linked), dtype=bool), []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue:
+            node = queue.pop()
+            near = np.flatnonzero(linked[node] & left)
+            left[near] = False
+            queue += near.tolist()
+            out += [(node, int(x)) for x in near]
+    return out
+
+
+def _block_links(percent: int):
+    """Links within a block of a bucket, as a forest over its members."""
+
+    def fn(rows: pa.Table) -> pa.Table:
+        ids, sizes = rows["id"].to_numpy(), rows["n"].to_numpy()
+        raw, at = as_bytes(rows["items"])
+        flat = raw.view(np.uint64)
+        common = common_counts([flat[x // 8 : y // 8] for x, y in zip(at[:-1], at[1:], strict=True)])
+        linked = 100 * common.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - common)
+        np.fill_diagonal(linked, False)
+        links = forest(linked)
+        return pa.table({"a": pa.array([int(ids[x]) for x, _ in links], pa.int64()), "b": pa.array([int(ids[y]) for _, y in links], pa.int64())})
+
+    return fn
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: its key, n_shingles, component_id and kept.
 
@@ -173,9 +231,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     linked with nothing. component_id is the smallest key reachable. Rows that share a key are one document; a
     null key is linked with nothing, has a null component_id and is kept. The key must be an integer.
 
-    Equal sets are grouped first. In each band bucket all members are compared with the smallest; while a bucket
-    still holds more than one component, further members are compared with those of other components, more of
-    them each round, until every pair of the bucket is linked or has been compared. No bucket is capped.
+    Equal sets are grouped first. In each band bucket all members are compared with the smallest. A bucket that
+    then still holds more than one component is compared in full: a small one pair by pair, a large one in blocks
+    of bounded size, of which those that lie within the component of its smallest member are left out. Buckets of
+    the same members are compared once. No bucket is capped.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -191,28 +250,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = materialize(_sets(docs.join(need, "id", "left_semi"), size), "minhash-sets")
     links = materialize(_alike(pairs, sets, percent), "minhash-links")
     same_id = able.select(F.col("id").alias("a"), "h1", "h2").join(groups, ["h1", "h2"]).where("a != rep").select("a", F.col("rep").alias("b"))
-    settled = member.select("band", F.col("center").alias("id")).distinct()
-    least = 4
-    while True:
-        comp = components(links)
-        labelled = member.join(comp.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band")
-        active = materialize(labelled.join(mixed, "band"), "minhash-active")
-        todo = active.join(settled, ["band", "id"], "left_anti")
-        pivots = todo.withColumn("rank", F.row_number().over(Window.partitionBy("band", "c").orderBy("id"))).where(F.col("rank") <= least).select("band", "id", "n", "c")
-        pivots = materialize(pivots, "minhash-pivots")
-        p, q = pivots.alias("p"), active.alias("q")
-        new = p.join(q, F.col("p.band") == F.col("q.band")).where(F.expr(f"p.c != q.c and 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)"))
-        new = new.select(F.greatest("p.id", "q.id").alias("a"), F.least("p.id", "q.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        new = materialize(new, "minhash-pairs")
-        settled = settled.unionByName(pivots.select("band", "id"))
-        if not new.take(1):
-            if not pivots.take(1):
-                break
-        else:
-            pairs = pairs.unionByName(new)
-            links = materialize(links.unionByName(_alike(new, sets, percent)), "minhash-links")
-        least *= 4
+    comp = components(links)
+    center = member.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    labelled = materialize(center.select("band", "id", "n", "c", "center"), "minhash-labelled")
+    first, second = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    per = labelled.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.bit_xor(first).alias("x"), F.bit_xor(second).alias("y"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("id") == F.col("center"), F.col("c"))).alias("main"))
+    per = per.where("lo != hi").groupBy("m", "w", "x", "y").agg(F.min("band").alias("band"), F.min_by("main", "band").alias("main"))
+    active = materialize(labelled.join(per.select("band", "m", "w", "main"), "band").select("band", "id", "n", "c", "m", "w", "main"), "minhash-active")
+    p, q = active.where(F.col("m") <= FEW).alias("p"), active.where(F.col("m") <= FEW).alias("q")
+    new = p.join(q, F.col("p.band") == F.col("q.band")).where(F.expr(f"p.id > q.id and p.c != q.c and 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)"))
+    new = materialize(new.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
+    links = links.unionByName(_alike(new, sets, percent))
+    # Large buckets: members of the main component and the others lie in different blocks if there are several;
+    # a block meets itself and every other, but blocks of the main component don't meet each other.
+    large = active.where(F.col("m") > FEW).withColumn("blocks", F.ceil(F.greatest(F.col("m") / MEMBERS, F.col("w") / ITEMS)).cast("int"))
+    own = F.when(F.col("c") == F.col("main"), F.lit(0)).otherwise(1) * F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    large = large.withColumn("own", F.when(F.col("blocks") == 1, 0).otherwise(own))
+    meets = F.expr("if(blocks = 1, array(0), filter(sequence(0, 2 * blocks - 1), x -> own >= blocks or x >= blocks))")
+    large = large.withColumn("other", F.explode(meets)).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n")
+    blocked = large.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct()
+    links = materialize(links.unionByName(blocked), "minhash-links")
+    comp = components(links)
     # documents that share a key link their groups
     tied = same_id.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() if able.select("id").distinct().count() < able.count() else 0
     if tied:
