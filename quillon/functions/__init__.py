@@ -1 +1 @@
-"""functions"""
+"""Column expressions shared by the operators."""

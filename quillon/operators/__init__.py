@@ -1 +1 @@
-"""operators"""
+"""Operators over tables of cases, candidates, events and scores."""

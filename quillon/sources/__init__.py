@@ -1 +1 @@
-"""sources"""
+"""Readers and writers of ledgers, traces, atlases, arrays and synthetic images."""
