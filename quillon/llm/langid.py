@@ -39,7 +39,7 @@ def fit(docs: DataFrame, text: str, declared: str, fit_docs: int = FIT_DOCS) ->
     The documents with the smallest hashes are taken, so the sample does not depend on the layout of the data.
     Languages are the declared ones, at most LANGUAGES of them, the most frequent first.
     """
-    some = docs.where(f"`{declared}` is not null and length(`{text}`) > 20")
+    some = docs.where(f"`{declared}` is not null and `{text}` is not null")
     langs = [r[0] for r in some.groupBy(declared).count().orderBy(F.desc("count"), declared).limit(LANGUAGES).collect()]
     table = np.full((1 << BITS, max(len(langs), 1)), SMOOTH)
     ranked = some.where(F.col(declared).isin(langs)).select(F.col(declared).alias("lang"), F.substring(F.col(text), 1, FIT_BYTES).alias("text"), F.xxhash64(text).alias("h"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, as_bytes, from_blob, materialize, packed, prepare, release, to_blob
 
 #: Bytes of context; text bytes in a block, and those of it that are handled at a time.
-ORDER, BLOCK, PART = 4, 32 << 20, 2 << 20
+ORDER, BLOCK, PART = 4, 12 << 20, 2 << 20
 END, SYMBOLS = 256, 257
 
 
