@@ -162,14 +162,24 @@ def lineage(events: DataFrame, policy_id: str) -> DataFrame:
     return spark.sql("with recursive up as (select policy_id, parent_id, 0 depth from _registered where policy_id = :id union all select r.policy_id, r.parent_id, depth + 1 from _registered r join up on r.policy_id = up.parent_id) select policy_id, depth from up", args={"id": policy_id})
 
 
-def refusals(proposal: DataFrame) -> DataFrame:
-    """Why promotions are refused: proposals (policy_id, registered, gate_summary, gate_policy_id, approver) with reason, null if none."""
+def promotion_refusals(proposals: DataFrame) -> DataFrame:
+    """proposals (policy_id, registered, gate_passed, gate_summary) with reason, null if the promotion may go ahead.
+
+    The summary is read again, so a claim that the gate passed cannot stand against a summary that says it failed.
+    """
+    summary = F.trim(F.coalesce("gate_summary", F.lit("")))
     reason = (
-        F.when(~F.coalesce("registered", F.lit(False)), "unknown policy").when(F.length(F.trim(F.coalesce("approver", F.lit("")))) == 0, "no approver")
-        .when(F.length(F.trim(F.coalesce("gate_summary", F.lit("")))) == 0, "no gate result").when(F.contains("gate_summary", F.lit("GATE: FAIL")), "gate failed")
-        .when(~F.contains("gate_summary", F.lit("GATE: PASS")), "gate not passed")
+        F.when(~F.coalesce("registered", F.lit(False)), "unknown policy").when(~F.coalesce("gate_passed", F.lit(False)), "gate did not pass")
+        .when(F.length(summary) == 0, "no gate summary").when(F.contains(summary, F.lit("GATE: FAIL")), "summary reports a failure")
     )
-    return proposal.withColumn("reason", reason)
+    return proposals.withColumn("reason", reason)
+
+
+def rollback_refusals(targets: DataFrame, events: DataFrame) -> DataFrame:
+    """targets (policy_id, registered, note) with reason, null if the rollback may go ahead: it needs a note and a former champion."""
+    held = events.where(F.col("kind").isin("promote", "rollback")).select("policy_id").distinct().withColumn("_h", F.lit(True))
+    reason = F.when(~F.coalesce("registered", F.lit(False)), "unknown policy").when(F.length(F.trim(F.coalesce("note", F.lit("")))) == 0, "no reason given").when(F.col("_h").isNull(), "never champion")
+    return targets.join(held, "policy_id", "left").withColumn("reason", reason).drop("_h")
 
 
 # -- memoised results ----------------------------------------------------------

@@ -576,12 +576,46 @@ def _(s, d):
     return events.held_title(v.table(s, d, "orders").select(kind.alias("kind"), F.col("o_custkey").alias("policy_id")), v.table(s, d, "customer").select(F.col("c_custkey").alias("policy_id")))
 
 
-@query("x18_refusals", "select o_orderkey policy_id, case when o_orderkey % 5 = 0 then 'unknown policy' when o_orderkey % 7 = 0 then 'no approver' when o_orderkey % 11 = 0 then 'no gate result' when o_orderkey % 13 = 0 then 'gate failed' when o_orderkey % 17 = 0 then 'gate not passed' end reason from orders")
+@query("x18_promotion_refusals", "select o_orderkey policy_id, case when o_orderkey % 5 = 0 then 'unknown policy' when o_orderkey % 7 = 0 then 'gate did not pass' when o_orderkey % 11 = 0 then 'no gate summary' when o_orderkey % 13 = 0 then 'summary reports a failure' end reason from orders")
 def _(s, d):
     k = F.col("o_orderkey")
-    summary = F.when(k % 11 == 0, " ").when(k % 13 == 0, "x\nGATE: FAIL").when(k % 17 == 0, "unfinished").otherwise("GATE: PASS")
-    p = v.table(s, d, "orders").select(k.alias("policy_id"), (k % 5 != 0).alias("registered"), F.when(k % 7 != 0, "someone").alias("approver"), summary.alias("gate_summary"))
-    return events.refusals(p).select("policy_id", "reason")
+    summary = F.when(k % 11 == 0, " ").when(k % 13 == 0, "[FAIL] x\nGATE: FAIL").otherwise("GATE: PASS")
+    p = v.table(s, d, "orders").select(k.alias("policy_id"), (k % 5 != 0).alias("registered"), (k % 7 != 0).alias("gate_passed"), summary.alias("gate_summary"))
+    return events.promotion_refusals(p).select("policy_id", "reason")
+
+
+@query("x18_rollback_refusals", "select c_custkey policy_id, case when c_custkey % 5 = 0 then 'unknown policy' when c_custkey % 7 = 0 then 'no reason given' when not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F') then 'never champion' end reason from customer")
+def _(s, d):
+    k = F.col("c_custkey")
+    e = v.table(s, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "promote").otherwise("register").alias("kind"), F.col("o_custkey").alias("policy_id"))
+    t = v.table(s, d, "customer").select(k.alias("policy_id"), (k % 5 != 0).alias("registered"), F.when(k % 7 != 0, "worse on site b").alias("note"))
+    return events.rollback_refusals(t, e).select("policy_id", "reason")
+
+
+@query("p15_listing", f"with {BANK}, st as (select record_id, max_by(case kind when 'add' then 'probation' when 'confirm' then 'confirmed' else 'retired' end, seq) filter (kind <> 'merge') status from bank group by 1) select record_id, status from st where status = 'confirmed'")
+def _(s, d):
+    return events.bank_state(v.bank_events(s, d)).where("status = 'confirmed'").select("record_id", "status").orderBy("record_id")
+
+
+@query("u1_set_operations", "select 'unknown' kind, source name from (select distinct source from documents except select 'src' || label from embeddings) union all select 'seen', source from (select distinct source from documents intersect select 'src' || label from embeddings)")
+def _(s, d):
+    a, b = v.table(s, d, "documents").select("source"), v.vectors(s, d).select(F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"))
+    return a.subtract(b).select(F.lit("unknown").alias("kind"), F.col("source").alias("name")).unionByName(a.intersect(b).select(F.lit("seen").alias("kind"), F.col("source").alias("name")))
+
+
+@query("j10_content_addressed_calls", "select e.event_id, sha256('embed' || '|' || coalesce(sha256(d.text), 'absent')) key from events e left join documents d on d.doc_id = e.user_id")
+def _(s, d):
+    handles = v.table(s, d, "documents").select(F.col("doc_id").alias("user_id"), F.sha2("text", 256).alias("sha"))
+    e = v.table(s, d, "events").select("event_id", "user_id").join(handles, "user_id", "left")
+    return e.select("event_id", F.sha2(F.concat_ws("|", F.lit("embed"), F.coalesce("sha", F.lit("absent"))), 256).alias("key"))
+
+
+@query("x24_budget", "select o_orderkey case_id, case when o_totalprice > 200000 then 'usd' when o_custkey % 100 > 80 then 'output_tokens' end fallback_reason, case when o_totalprice > 200000 or o_custkey % 100 > 80 then 'no_recall' else 'recall' end decision from orders")
+def _(s, d):
+    from quillon.operators.adjudicate import enforce_budget
+
+    o = v.table(s, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit("recall").alias("decision"), F.lit("no_recall").alias("rule_decision"), F.col("o_totalprice").alias("usd"), (F.col("o_custkey") % 100).alias("output_tokens"), F.lit(None).cast("string").alias("error"))
+    return enforce_budget(o, 200_000.0, 80).select("case_id", "fallback_reason", "decision")
 
 
 @query("w6_breaker")

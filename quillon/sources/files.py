@@ -91,3 +91,48 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
 def describe(artifacts: DataFrame) -> DataFrame:
     """Artifacts without their pixels, by handle."""
     return artifacts.select(*(c for c in artifacts.columns if c not in ("pixels", "content"))).orderBy("handle")
+
+
+def read_rules(path: str) -> dict:
+    """Gate rules from YAML, or from JSON where no YAML reader is installed, as the flat bounds the gate takes."""
+    text = open(path, encoding="utf-8").read()
+    try:
+        import yaml
+
+        raw = yaml.safe_load(text)
+    except ImportError:
+        raw = json.loads(text)
+    names = {
+        ("primary", "specificity"): "specificity", ("primary", "non_inferiority_margin"): "margin", ("primary", "bootstrap_iterations"): "iterations", ("primary", "alpha"): "alpha",
+        ("subgroup_floors", "worst_slice_margin"): "worst_slice_margin", ("subgroup_floors", "min_slice_size"): "min_slice_size", ("calibration", "max_ece_adaptive"): "max_ece", ("regression", "max_negative_flip_rate"): "max_flip_rate",
+        ("determinism", "required_agreement"): "required_agreement", ("failure_bank", "max_confirmed_regressions"): "max_regressions", ("efficiency", "max_cost_ratio_vs_champion"): "max_cost_ratio",
+        ("efficiency", "max_tool_calls_ratio"): "max_call_ratio", ("sequential", "alpha"): "sequential_alpha",
+    }
+    return {name: raw[a][b] for (a, b), name in names.items() if b in raw.get(a, {})}
+
+
+# -- sinks ------------------------------------------------------------------------
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Cost rows and traces: JSON lines, appended."""
+    df.write.mode("append").json(path)
+
+
+def write_artifacts(artifacts: DataFrame, path: str) -> DataFrame:
+    """Append artifacts under handles made from their content, and give (handle, sha256); known content is not written again."""
+    spark = artifacts.sparkSession
+    sha = F.sha2(F.concat(F.to_json(F.struct("h", "w")).cast("binary"), F.to_json("pixels").cast("binary")), 256)
+    new = artifacts.withColumn("sha256", sha).withColumn("handle", F.concat(F.lit("art:"), F.substring("sha256", 1, 12))).dropDuplicates(["sha256"])
+    try:
+        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    except Exception as error:  # the first write finds no table
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    new.write.mode("append").parquet(path)
+    return artifacts.withColumn("sha256", sha).select(F.concat(F.lit("art:"), F.substring("sha256", 1, 12)).alias("handle"), "sha256")
+
+
+def write_replays(results: DataFrame, path: str) -> None:
+    """Pass vectors by policy: those of the policies in results are replaced, others stay."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("policy_id").parquet(path)
