@@ -143,4 +143,4 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in keep), *more], names=[*keep, *names])
 
     kinds = ["bigint", "string", "string", "binary", "binary"]
-    return mapped(docs, fn, schema(carried, ", ".join(f"{x} {k}" for x, k in zip(names, kinds, strict=False))))
+    return mapped(docs, fn, schema(carried, ", ".join(f"{x} {k}" for x, k in zip(names, kinds, strict=False))), text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -49,7 +51,8 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def schema(fields: Iterable[StructField], ddl: str) -> StructType:
@@ -75,19 +78,47 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers of earlier stages stay alive beside those of later ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(fn: Callable) -> Callable:
+    """fn, of one table or two, with its freed memory given back after each call."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        out = fn(rows)
+        trim()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        trim()
+        return out
+
+    return one if fn.__code__.co_argcount == 1 else two
+
+
 def release(spark: SparkSession) -> None:
     """Drop the shuffle files of tables that have been written and are no longer referred to."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow for a function of one batch."""
+def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, by: str | None = None, size: int = 4 << 20) -> DataFrame:
+    """df.mapInArrow for a function of one batch; with by, of about size bytes of that column."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            if by is None:
+                if batch.num_rows:
+                    yield fn(batch)
+                continue
+            for start, end in sliced(batch.column(batch.schema.get_field_index(by)), size):
+                yield fn(batch.slice(start, end - start))
+        trim()
 
     return df.mapInArrow(over, schema)
 
@@ -183,5 +214,6 @@ def packed(docs: DataFrame, size: int, extra: Callable[[pa.Table], dict[str, byt
                     yield flush()
         if held:
             yield flush()
+        trim()
 
     return materialize(docs.mapInArrow(pack, schema), name)

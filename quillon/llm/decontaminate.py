@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import MUL, as_bytes, mix, prepare, schema, sliced
+from quillon.llm.common import MUL, as_bytes, mix, prepare, schema, sliced, trim
 from quillon.llm.minhash import word_hashes
 
 REPEATS, SAMPLES, STRETCH = 32, 2, 3
@@ -196,6 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
                     for r, i in zip(row.tolist(), found.tolist(), strict=True):
                         have[r].append(int(items.ids[i]))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(have, pa.list_(pa.int64()))], names=["row", "text", "item_ids"])
+            trim()
 
         return over
 

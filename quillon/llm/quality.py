@@ -112,7 +112,7 @@ def assess(docs: DataFrame, text: str = "text", most: dict[int, int] | None = No
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in kept), *(pa.array(rows[:, k]) for k in range(len(names)))], names=[*kept, *names])
 
     kept = [f.name for f in carried]
-    out = mapped(docs, fn, schema(carried, ", ".join(f"{x} bigint" for x in names)))
+    out = mapped(docs, fn, schema(carried, ", ".join(f"{x} bigint" for x in names)), text)
     out = out.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     good = 100 * F.col("dup_line_chars") <= most_lines * F.col("text_chars")
     for n, limit in most.items():
