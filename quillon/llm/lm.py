@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, as_bytes, from_blob, materialize, packed, prepare, release, to_blob
+from quillon.llm.common import LOWER, as_bytes, from_blob, materialize, packed, prepare, release, to_blob, trim, trimmed
 
 #: Bytes of context; text bytes in a block, and those of it that are handled at a time.
 ORDER, BLOCK, PART = 4, 12 << 20, 2 << 20
 END, SYMBOLS = 256, 257
+#: Answers that are packed at a time.
+GATHERED = 400_000
 
 
 def codes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +104,33 @@ def _unpacked(blocks: DataFrame, column: str, kind: str) -> DataFrame:
     return blocks.select("block", column).mapInArrow(fn, f"block bigint, key {kind}, n bigint")
 
 
+def _gathered(df: DataFrame, kind: int) -> DataFrame:
+    """Rows (block, key, value) as blobs: one for each block and so many rows of a task, in order of key."""
+
+    def over(batches):
+        held, have = [], 0
+
+        def flush():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            block = rows["block"].to_numpy()
+            order = np.argsort(block, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))
+            blobs = [to_blob(rows.select(["key", "value"]).take(pa.array(order[a:b])).sort_by("key")) for a, b in zip(start, [*start[1:], len(order)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(block[order[start]]), pa.array(np.full(len(start), kind, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["block", "kind", "blob"])
+
+        for batch in batches:
+            held.append(batch)
+            have += batch.num_rows
+            if have >= GATHERED:
+                yield flush()
+                held, have = [], 0
+        if have:
+            yield flush()
+        trim()
+
+    return df.select("block", "key", "value").mapInArrow(over, "block bigint, kind int, blob binary")
+
+
 def _sums(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the place of each key among them, and the sum of weight for each."""
     known, where = np.unique(key, return_inverse=True)
@@ -192,10 +221,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     counted = words.withColumn("c", F.sum("n").over(of_key)).withColumn("lead", F.min("block").over(of_key) == F.col("block"))
     sizes = Observation()
     counted = counted.observe(sizes, F.count_if(F.col("lead") & (F.col("c") > 0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    told = materialize(counted.where("c != n").select("block", "key", "c"), "lm-words")
+    told = materialize(_gathered(counted.where("c != n").withColumnRenamed("c", "value"), 0), "lm-words")
     release(spark)
     vocabulary, total = int(sizes.get["v"]) + (ends > 0), int(sizes.get["n"]) + ends
-    told = told.select("block", F.lit(0).cast("int").alias("kind"), F.col("key").alias("word"), F.lit(0).cast("bigint").alias("code"), F.col("c").cast("double").alias("value"))
 
     # The trie: at most 256 contexts of one byte reach the driver, with at most 257 symbols each.
     summed = grams.groupBy("key").agg(F.sum("n").alias("n"))
@@ -209,19 +237,22 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 
     trie = materialize(summed.groupBy(F.expr("shiftright(key, 9) & 65535")).applyInArrow(entries, "key bigint, value double"), "lm-trie")
     release(spark)
-    asked = grams.select("block", "key").join(trie, "key").select("block", F.lit(1).cast("int").alias("kind"), F.lit(None).cast("binary").alias("word"), F.col("key").alias("code"), "value")
+    asked = _gathered(grams.select("block", "key").join(trie, "key"), 1)
 
     def scored(held: pa.Table, answers: pa.Table) -> pa.Table:
-        kind = answers["kind"].to_numpy()
-        is_word = pa.array(kind == 0)
-        outer = answers.filter(is_word)
         own = from_blob(held["words"][0].as_py())
         count = dict(zip(own["key"].to_pylist(), own["n"].to_pylist(), strict=True))
-        count.update(zip(outer["word"].to_pylist(), map(int, outer["value"].to_pylist()), strict=True))
-        codes_told, values = answers["code"].to_numpy()[kind == 1], answers["value"].to_numpy()[kind == 1]
-        values = values[np.argsort(codes_told)]
+        tables = []
+        for kind, blob in zip(answers["kind"].to_pylist(), answers["blob"], strict=True):
+            part = from_blob(blob.as_py())
+            if kind:
+                tables.append(part)
+            else:
+                count.update(zip(part["key"].to_pylist(), part["value"].to_pylist(), strict=True))
+        told = pa.concat_tables(tables)
+        values = told["value"].to_numpy()[np.argsort(told["key"].to_numpy())]
         docs = from_blob(held["docs"][0].as_py())
-        del answers, kind, codes_told
+        del own, tables, told
         raw, at = as_bytes(docs["text"])
         size = total + (vocabulary + 1)
         end_log = float(np.log10((ends + 1) / size))
@@ -245,7 +276,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         return pa.table({key: docs["key"], "held_out": pa.array([not x for x in docs["train"].to_pylist()], pa.bool_()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(base), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(logs, pa.float64()), "n_bytes": pa.array(np.diff(at), pa.int64())})
 
     answers = told.unionByName(asked)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"{key} bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(trimmed(scored), f"{key} bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint")
 
 
 def adaptive(texts: list[bytes], trained: list[bytes]) -> list[float]:
