@@ -36,11 +36,21 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-POW, INV = powers(BASE, PART + (64 << 10)), powers(INVERSE, PART + (64 << 10))
+_TABLES = [powers(BASE, PART), powers(INVERSE, PART)]
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, first byte and end byte of every word of the lower-cased texts raw[at[k]:at[k+1]]; between marks the bytes that part words.
+def power_tables(n: int) -> list[np.ndarray]:
+    """At least n + 1 powers of the base and of its inverse; kept, up to two parts' worth."""
+    if n < len(_TABLES[0]):
+        return _TABLES
+    if n > 2 * PART:
+        return [powers(BASE, n), powers(INVERSE, n)]
+    _TABLES[:] = powers(BASE, n), powers(INVERSE, n)
+    return _TABLES
+
+
+def word_spans(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of every word of the lower-cased texts raw[at[k]:at[k+1]]; between marks the bytes that part words.
 
     A word's hash is a polynomial of its bytes modulo 2^64, taken from running sums, then mixed with its length.
     """
@@ -54,10 +64,15 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) ->
     last = solid.copy()
     last[:-1] &= gap[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    pow_, inv = (POW, INV) if len(low) < len(POW) else (powers(BASE, len(low)), powers(INVERSE, len(low)))
+    pow_, inv = power_tables(len(low))
     run = np.zeros(len(low) + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * pow_[: len(low)], out=run[1:])
-    h = mix((run[end] - run[start]) * inv[start] + (end - start).astype(np.uint64) * MUL)
+    return mix((run[end] - run[start]) * inv[start] + (end - start).astype(np.uint64) * MUL), start, end
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first byte and end byte of every word."""
+    h, start, end = word_spans(raw, at, between)
     return h, np.searchsorted(at, start, side="right") - 1, start, end
 
 

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 from pyspark.sql.window import Window
 
-from quillon.llm.common import MUL, as_bytes, from_blob, materialize, mix, packed, prepare, release, schema, sliced, to_blob
-from quillon.llm.minhash import BASE, INV, INVERSE, PART, POW, powers
+from quillon.llm.common import MUL, as_bytes, from_blob, materialize, mix, packed, prepare, release, schema, sliced, to_blob, trimmed
+from quillon.llm.minhash import BASE, PART, power_tables
 
 #: Bytes of a seed; text bytes in a block and for each merge task; members above which a seed is split by window.
 SEED, BLOCK, MERGE, HOT = 24, 8 << 20, 16 << 20, 200_000
@@ -35,7 +35,7 @@ FIRST = -(1 << 63)
 
 def running(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of the polynomial hash, and the inverse powers."""
-    pow_, inv = (POW, INV) if len(raw) < len(POW) else (powers(BASE, len(raw)), powers(INVERSE, len(raw)))
+    pow_, inv = power_tables(len(raw))
     run = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * pow_[: len(raw)], out=run[1:])
     return run, inv
@@ -358,13 +358,13 @@ def _merged(length: int):
 
 
 def _hot_windows(length: int):
-    """Every window of the block's anchors on hot seeds, by a 128-bit hash."""
+    """The block's first window of each content at anchors on hot seeds, by a 128-bit hash; the others as spans."""
 
     def fn(held: pa.Table, hot: pa.Table) -> pa.Table:
         import xxhash
 
         if held.num_rows == 0 or hot.num_rows == 0:
-            return pa.table({x: [] for x in HOTS.names}, schema=HOTS)
+            return HOTS.empty_table()
         block = held["block"][0].as_py()
         rows, raw, at, pos, h, most, least = _held(held["docs"][0].as_py(), held["anchors"][0].as_py())
         keep = np.isin(h.view(np.int64), hot["key"].to_numpy())
@@ -372,14 +372,29 @@ def _hot_windows(length: int):
         body = raw.tobytes()
         count = most - least + 1
         start = np.repeat(pos - most, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        sha = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[p : p + length]) for p in start.tolist()), dtype="<i8").reshape(-1, 2)
         row = np.searchsorted(at, start, side="right") - 1
-        return pa.table({"k1": sha[:, 0].copy(), "k2": sha[:, 1].copy(), "doc": rows["key"].to_numpy()[row], "offset": start - at[row], "block": np.full(len(start), block), "pos": start}, schema=HOTS)
+        doc, offset = rows["key"].to_numpy()[row], start - at[row]
+        order = np.lexsort((start, offset, doc))
+        start, doc, offset = start[order], doc[order], offset[order]
+        sha = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[p : p + length]) for p in start.tolist()), dtype="<i8").reshape(-1, 2)
+        by = np.lexsort((np.arange(len(start)), sha[:, 1], sha[:, 0]))
+        lead = np.concatenate([[True], (sha[by[1:]] != sha[by[:-1]]).any(axis=1)]) if len(by) else np.zeros(0, bool)
+        first, again = by[lead], np.sort(start[by[~lead]])
+        n = len(first)
+        out = pa.table({"k1": sha[first, 0], "k2": sha[first, 1], "doc": doc[first], "offset": offset[first], "block": np.full(n, block), "pos": start[first], "blob": pa.nulls(n, pa.binary())}, schema=HOTS)
+        if not len(again):
+            return out
+        one = {x: [None] for x in HOTS.names} | {"block": [block], "blob": [_span_blob(again, length)]}
+        return pa.concat_tables([out, pa.table(one, schema=HOTS)])
 
     return fn
 
 
-HOTS = pa.schema([(x, pa.int64()) for x in ("k1", "k2", "doc", "offset", "block", "pos")])
+def _span_blob(start: np.ndarray, length: int) -> bytes:
+    return to_blob(pa.table({"start": start.astype(np.int32), "end": (start + length).astype(np.int32)}))
+
+
+HOTS = pa.schema([*((x, pa.int64()) for x in ("k1", "k2", "doc", "offset", "block", "pos")), ("blob", pa.binary())])
 
 
 def _cut(payload: bool, key: str):
@@ -415,7 +430,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     earlier in the same row. Strings are judged on the input and never cross rows. A null key comes before all
     others, a null text is empty; of rows that share a key the one in the earlier block comes first. kept_bytes
     may not be UTF-8, as cuts fall on bytes. A seed with over `hot` members is not brought to one task: its
-    windows are grouped one by one, by hashes of 128 bits.
+    windows are grouped one by one, by hashes of 128 bits, the first of each content in each block.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -428,10 +443,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     live = materialize(seeds.withColumn("all", F.sum("n").over(by_key)).where("all > 1").select("block", "key", (F.col("all") > hot).alias("hot")), "suffix-live")
     release(spark)
     cold = live.where("not hot").select("block", "key")
-    runs = blocks.groupBy("block").cogroup(cold.groupBy("block")).applyInArrow(_runs(length, parts), "part bigint, kind int, block bigint, blob binary")
-    spans = runs.groupBy("part").applyInArrow(_merged(length), "block bigint, blob binary")
+    runs = blocks.groupBy("block").cogroup(cold.groupBy("block")).applyInArrow(trimmed(_runs(length, parts)), "part bigint, kind int, block bigint, blob binary")
+    spans = runs.groupBy("part").applyInArrow(trimmed(_merged(length)), "block bigint, blob binary")
     if live.where("hot").take(1):
-        windows = materialize(blocks.groupBy("block").cogroup(live.where("hot").select("block", "key").groupBy("block")).applyInArrow(_hot_windows(length), "k1 bigint, k2 bigint, doc bigint, offset bigint, block bigint, pos bigint"), "suffix-hot")
+        windows = materialize(blocks.groupBy("block").cogroup(live.where("hot").select("block", "key").groupBy("block")).applyInArrow(trimmed(_hot_windows(length)), "k1 bigint, k2 bigint, doc bigint, offset bigint, block bigint, pos bigint, blob binary"), "suffix-hot")
+        local, windows = windows.where("blob is not null").select("block", "blob"), windows.where("blob is null")
         place = F.struct("doc", "offset", "block", "pos")
         first = windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
         again = windows.join(first, ["k1", "k2"]).where(place > F.col("first")).select("block", "pos")
@@ -440,12 +456,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             for batch in batches:
                 block, pos = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 for b in np.unique(block):
-                    start = np.sort(pos[block == b])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([to_blob(pa.table({"start": start.astype(np.int32), "end": (start + length).astype(np.int32)}))], pa.binary())], schema=SPANS)
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([_span_blob(np.sort(pos[block == b]), length)], pa.binary())], schema=SPANS)
 
-        spans = spans.unionByName(again.mapInArrow(blobs, "block bigint, blob binary"))
+        spans = spans.unionByName(local).unionByName(again.mapInArrow(blobs, "block bigint, blob binary"))
     spans = materialize(spans, "suffix-spans")
     release(spark)
     kept = ", kept_bytes binary" if payload else ""
-    out = blocks.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(payload, key), schema([StructField(key, LongType()), rows.schema["row"]], f"n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}"))
+    out = blocks.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(trimmed(_cut(payload, key)), schema([StructField(key, LongType()), rows.schema["row"]], f"n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}"))
     return out.select(key, *(F.col(f"row.`{x}`").alias(x) for x in carry or []), *out.columns[2:])
