@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import LOWER, as_bytes, materialize, prepare, schema, sliced
+from quillon.llm.common import LOWER, as_bytes, materialize, prepare, schema, sliced, trim
 
 #: Documents a language to fit on, and bytes of each; languages; hash bits of byte trigrams.
 FIT_DOCS, FIT_BYTES, LANGUAGES, BITS = 400, 20_000, 64, 16
@@ -21,6 +21,8 @@ SMOOTH, SITE, HOST = 0.1, 50.0, 20.0
 EVIDENCE = 200
 #: Trust in a declared language and in an address; least posterior of a language that is kept.
 DECLARED, ADDRESS, LEAST = 0.9, 0.8, 0.5
+#: Bytes up to which the hosts' priors are broadcast.
+BROADCAST = 4 << 20
 
 
 def trigrams(raw: np.ndarray) -> np.ndarray:
@@ -36,14 +38,20 @@ def trigrams(raw: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str, declared: str, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and a table of log likelihoods (trigram x language), from at most fit_docs documents a language.
 
-    The documents with the smallest hashes are taken, so the sample does not depend on the layout of the data.
+    Of each language's distinct texts those with the smallest hashes are taken, so the sample does not depend on
+    the layout of the data.
     Languages are the declared ones, at most LANGUAGES of them, the most frequent first.
     """
     some = docs.where(f"`{declared}` is not null and `{text}` is not null")
-    langs = [r[0] for r in some.groupBy(declared).count().orderBy(F.desc("count"), declared).limit(LANGUAGES).collect()]
+    counts = some.groupBy(declared).count().orderBy(F.desc("count"), declared).limit(LANGUAGES).collect()
+    langs = [r[0] for r in counts]
     table = np.full((1 << BITS, max(len(langs), 1)), SMOOTH)
-    ranked = some.where(F.col(declared).isin(langs)).select(F.col(declared).alias("lang"), F.substring(F.col(text), 1, FIT_BYTES).alias("text"), F.xxhash64(text).alias("h"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= fit_docs)
+    # only hashes so small that a few times fit_docs documents have them are dealt out at all
+    few = F.lit(False)
+    for r in counts:
+        few |= (F.col("lang") == r[0]) & (F.shiftrightunsigned("h", 33) < int(min(1.0, 4 * fit_docs / r[1]) * (1 << 31)))
+    ranked = some.select(F.col(declared).alias("lang"), F.substring(F.col(text), 1, FIT_BYTES).alias("text"), F.xxhash64(text).alias("h")).where(few).dropDuplicates(["lang", "h"])
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 33), "h"))).where(F.col("rank") <= fit_docs)
     for r in ranked.select("lang", "text").collect() if langs else []:
         found = trigrams(np.frombuffer(r.text.encode(), dtype=np.uint8))
         np.add.at(table[:, langs.index(r.lang)], found[found >= 0], 1)
@@ -108,6 +116,7 @@ def identify(
                 address = [address_language(u, langs) for u in urls]
                 keep = [part.column(part.schema.get_field_index(x)) for x in (*fixed, "declared", "host")]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(address, pa.string()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * n), pa.array(sums.ravel()))], names=[*fixed, "declared", "host", "address", "n_trigrams", "logs"])
+        trim()
 
     fixed = ["row", "text"] if text in cols else ["row"]
     told = materialize(rows.mapInArrow(likelihoods, schema([rows.schema[x] for x in fixed], "declared string, host string, address string, n_trigrams bigint, logs array<double>")), "langid")
@@ -127,6 +136,9 @@ def identify(
         hosts = per_host.join(per_site, "site").withColumn("g", F.array(*map(F.lit, prior)).cast("array<double>"))
         hosts = hosts.withColumn("sp", smooth("s", "g", SITE)).withColumn("hp", smooth("h", "sp", HOST)).select("host", "hp")
         # rows without a host would all meet in one task of an outer join
+        hosts = materialize(hosts, "langid-hosts")
+        if hosts.count() * (8 * n + 100) <= BROADCAST:
+            hosts = F.broadcast(hosts)
         with_host = scored.where("host is not null").join(hosts, "host", "left").withColumn("prior", F.coalesce("hp", "prior")).drop("hp")
         scored = with_host.unionByName(scored.where("host is null"))
     lang_array = F.array(*map(F.lit, langs)).cast("array<string>")
