@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, as_bytes, from_blob, materialize, packed, prepare, release, to_blob, trim, trimmed
 
 #: Bytes of context; text bytes in a block, and those of it that are handled at a time.
-ORDER, BLOCK, PART = 4, 12 << 20, 2 << 20
+ORDER, BLOCK, PART = 4, 16 << 20, 2 << 20
 END, SYMBOLS = 256, 257
 #: Answers that are packed at a time.
 GATHERED = 400_000
@@ -47,10 +47,24 @@ def codes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate([[0], np.cumsum(size + 1)])
 
 
-def count_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.diff(np.concatenate([first, [len(values)]]))
+def count_codes(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order, and how often each stands where train holds."""
+    ranked = np.sort((values << 1) | train)
+    code = ranked >> 1
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(ranked & 1, first) if len(first) else first
+
+
+def spread(values: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[k] for each value that is known[k]; known is ascending and holds all values."""
+    if len(values) >> 22:
+        return table[np.searchsorted(known, values)]
+    ranked = np.sort((values << 22) | np.arange(len(values)))  # a code takes 41 bits
+    code = ranked >> 22
+    new = np.concatenate([[True], code[1:] != code[:-1]])
+    out = np.empty(len(values))
+    out[ranked & ((1 << 22) - 1)] = table[np.searchsorted(known, code[new])][np.cumsum(new) - 1]
+    return out
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -82,10 +96,7 @@ def _count_block(rows: pa.Table) -> dict[str, bytes]:
             else:
                 every.update(words)
         value, to = codes(raw[at[start] : at[end]], at[start : end + 1] - at[start])
-        own, _ = count_codes(value)
-        learnt, n = count_codes(value[np.repeat(train[start:end], np.diff(to))])
-        count = np.zeros(len(own), dtype=np.int64)
-        count[np.searchsorted(own, learnt)] = n
+        own, count = count_codes(value, np.repeat(train[start:end], np.diff(to)))
         known.append(own)
         counts.append(count)
     every -= seen.keys()
@@ -250,22 +261,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             else:
                 count.update(zip(part["key"].to_pylist(), part["value"].to_pylist(), strict=True))
         told = pa.concat_tables(tables)
-        values = told["value"].to_numpy()[np.argsort(told["key"].to_numpy())]
+        known = told["key"].to_numpy()
+        order = np.argsort(known)  # all codes of the block are answered
+        known, values = known[order], told["value"].to_numpy()[order]
         docs = from_blob(held["docs"][0].as_py())
         del own, tables, told
         raw, at = as_bytes(docs["text"])
         size = total + (vocabulary + 1)
         end_log = float(np.log10((ends + 1) / size))
-        known = from_blob(held["codes"][0].as_py())["key"].to_numpy()
         logs, n_tokens, n_known, base = [], [], [], []
         for start, end in _parts(at):
             value, to = codes(raw[at[start] : at[end]], at[start : end + 1] - at[start])
-            order = np.argsort(value)
-            ranked = value[order]
-            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-            each = np.empty(len(value))
-            each[order] = values[np.searchsorted(known, ranked[new])][np.cumsum(new) - 1]
-            logs.append(np.add.reduceat(each, to[:-1]))
+            logs.append(np.add.reduceat(spread(value, known, values), to[:-1]))
             body = raw[at[start] : at[end]].tobytes()
             for k in range(start, end):
                 c = np.fromiter(map(count.__getitem__, words_of(body[at[k] - at[start] : at[k + 1] - at[start]])), dtype=np.int64)
@@ -276,7 +283,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         return pa.table({key: docs["key"], "held_out": pa.array([not x for x in docs["train"].to_pylist()], pa.bool_()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(base), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(logs, pa.float64()), "n_bytes": pa.array(np.diff(at), pa.int64())})
 
     answers = told.unionByName(asked)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(trimmed(scored), f"{key} bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint")
+    return blocks.select("block", "docs", "words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(trimmed(scored), f"{key} bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint")
 
 
 def adaptive(texts: list[bytes], trained: list[bytes]) -> list[float]:

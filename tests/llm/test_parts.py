@@ -142,22 +142,20 @@ def test_bpe_joins(monkeypatch):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("abcAB ", max_size=30), min_size=1, max_size=12), st.lists(st.text("abcd ", max_size=20), min_size=1, max_size=4))
 def test_ppm(train, other):
-    from quillon.llm.lm import SYMBOLS, adaptive, codes, count_codes, ppm
+    from quillon.llm.lm import SYMBOLS, adaptive, codes, count_codes, ppm, spread
 
     every = [t.encode() for t in (*train, *other)]
     raw, at = np.frombuffer(b"".join(every), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in every])])
     value, to = codes(raw, at)
-    known, _ = count_codes(value)
-    learnt, n = count_codes(value[: to[len(train)]])
-    count = np.zeros(len(known), np.int64)
-    count[np.searchsorted(known, learnt)] = n
+    known, count = count_codes(value, np.arange(len(value)) < to[len(train)])
     one = np.zeros((256, SYMBOLS), np.int64)
     np.add.at(one, (known >> 9 & 255, known & 511), count)
     log = np.zeros(len(known))
     for g in np.unique(known >> 9 & 65535):
         mine = (known >> 9 & 65535) == g
         log[mine] = ppm(known[mine], count[mine], one)
-    got = np.add.reduceat(log[np.searchsorted(known, value)], to[:-1])
+    assert spread(value, known, log).tolist() == log[np.searchsorted(known, value)].tolist()
+    got = np.add.reduceat(spread(value, known, log), to[:-1])
     assert got.tolist() == pytest.approx(adaptive(every, every[: len(train)]))
 
 
