@@ -168,7 +168,7 @@ def sliced(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
 def to_blob(batch: pa.RecordBatch | pa.Table) -> bytes:
