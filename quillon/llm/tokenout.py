@@ -13,21 +13,29 @@ one fingerprint and one offset; it never searches.
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import MUL, materialize, mix, prepare, texts
+from quillon.llm.common import MUL, materialize, mix, prepare, sliced, texts, trim
+from quillon.llm.minhash import word_spans
 
-#: Payload bytes of a shard, words a worker remembers, levels of the hash and bits a key in each.
-SHARD, REMEMBERED, LEVELS, GAMMA = 8 << 20, 500_000, 24, 2
+#: Payload bytes of a shard, words in each half of a worker's memory, levels of the hash and bits a key in each.
+SHARD, REMEMBERED, LEVELS, GAMMA = 8 << 20, 400_000, 24, 2
 MAGIC = b"QTS1"
 
 
@@ -138,34 +146,148 @@ class Shard:
         return place, many
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Characters for which Python's classes and the tokeniser's are known to agree; other texts are encoded directly.
+ODD = re.compile(r"[^\t-\r -~\xa1-\u024f]")
+
+
+#: How byte-level vocabularies write bytes: visible characters of Latin-1 as they are, the others from U+0100 on, in
+#: order; a space stays, since it parts pieces here.
+SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+HIDDEN = [b for b in range(256) if b not in SEEN]
+ALPHABET = "".join(chr(b) if b in SEEN or b == 32 else chr(256 + HIDDEN.index(b)) for b in range(256))
+
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t, {}, 2 if t.get_vocab_size() <= 1 << 16 else 4
+class Memory:
+    """Ids of words: those asked for lately, in two halves of bounded size, of which the older one goes."""
 
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
 
-def encode(batch: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian integers of the vocabulary's width.
+    def look_up(self, keys: list[bytes], make: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The values of distinct keys; those not known are made together."""
+        if len(self.new) + len(keys) > self.size:
+            self.old, self.new = self.new, {}
+        values = list(map(self.new.get, keys))
+        lost = [k for k, v in enumerate(values) if v is None]
+        if self.old:
+            for k in lost:
+                values[k] = self.old.get(keys[k])
+        todo = [k for k in lost if values[k] is None]
+        for k, v in zip(todo, make([keys[k] for k in todo]), strict=True):
+            values[k] = v
+        self.new.update((keys[k], values[k]) for k in lost)
+        return values
 
-    The vocabulary's normaliser and pre-tokeniser drop white space and never reach across it, so a text's ids are
-    those of its parts between spaces and line feeds; parts met before are not encoded again.
+
+class Encoder:
+    """The library's tokeniser, asked for each word only once.
+
+    A vocabulary that lower-cases and splits texts into pieces by a pattern, white space dropped, and whose
+    pieces end in a token with the end-of-word suffix, encodes piece by piece. The pieces of new words are then
+    encoded together, parted by spaces, and the words' ids are told apart by counting those ends. Other
+    vocabularies and texts with unusual characters take the library's plain way.
     """
-    t, known, width = _tokenizer(path)
-    parts = [[x.lower() if x.isascii() else x for x in text.replace("\n", " ").split(" ")] for text in batch]
-    every = set().union(*parts)
-    new = [x for x in every if x not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(every)
-    for start in range(0, len(new), 20_000):
-        some = new[start : start + 20_000]
-        for x, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, dtype=f"<u{width}").tobytes()
-    return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.path, self._library = path, None
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.width = 2 if self.plain.get_vocab_size() <= 1 << 16 else 4
+        self.words = Memory(REMEMBERED)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = rules["model"].get("end_of_word_suffix")
+        usual = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert") and suffix
+        self.pattern = regex.compile(splits[0]["pattern"]["Regex"]) if usual else None
+        if usual:
+            # pieces are normalised, split and written in the byte alphabet already: the tokeniser only parts them at spaces
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(self.plain.get_vocab_size(), dtype=bool)
+            self.ends[[k for x, k in rules["model"]["vocab"].items() if x.endswith(suffix)]] = True
+
+    @property
+    def library(self):
+        """The tokeniser as its file has it; loaded when first needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True
+        return self._library
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
+
+    def pieces(self, word: str) -> list[str]:
+        """The pieces of a normalised word; letters are one piece, and so is a mark after them."""
+        if word.isalpha():
+            return [word]
+        if word[-1] in ",.;:!?" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pattern.findall(word)
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of new words, encoded together."""
+        out: list[bytes] = []
+        for start in range(0, len(words), 20_000):
+            some = words[start : start + 20_000]
+            pieces = list(map(self.pieces, map(bytes.decode, some)))
+            upto = np.cumsum([len(p) for p in pieces])
+            ids = np.array(self.plain.encode_batch_fast([codecs.charmap_decode(" ".join(chain.from_iterable(pieces)).encode(), "strict", ALPHABET)[0]], add_special_tokens=False)[0].ids, dtype=np.int64)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == upto[-1] and (not len(ids) or stop[-1] == len(ids)):
+                raw = ids.astype(f"<u{self.width}").tobytes()
+                at = (np.concatenate([[0], stop])[np.concatenate([[0], upto])] * self.width).tolist()
+                out += map(raw.__getitem__, map(slice, at[:-1], at[1:]))
+            else:
+                out += [self.whole(x.decode()) for x in some]
+        return out
+
+    def __call__(self, batch: list[str]) -> list[bytes]:
+        """The ids of each text: words are told apart by 64-bit hashes and lengths, and only distinct ones are looked up."""
+        if self.pattern is None:
+            return [self.whole(x) for x in batch]
+        out: list[bytes] = [b""] * len(batch)
+        usual, held = [], []
+        for k, text in enumerate(batch):
+            if ODD.search(text):
+                out[k] = self.whole(text)
+            else:
+                usual.append(k)
+                held.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().encode())
+        body = b"".join(held)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in held], dtype=np.int64)])
+        h, start, end = word_spans(np.frombuffer(body, dtype=np.uint8), at)
+        if not len(h):
+            return out
+        of, distinct = pd.factorize(h)
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[of[::-1]] = np.arange(len(h))[::-1]
+        size = end - start
+        if (size != size[first][of]).any():
+            raise ValueError("two words share a hash")
+        words = [body[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        values = self.words.look_up(words, self.learn)
+        flat = np.frombuffer(b"".join(values), dtype=f"<u{self.width}")
+        many = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.width
+        count = many[of]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat((np.cumsum(many) - many)[of] - upto[:-1], count) + np.arange(upto[-1])].tobytes()
+        cut = (upto[np.searchsorted(start, at)] * self.width).tolist()
+        for k, a, b in zip(usual, cut[:-1], cut[1:], strict=True):
+            out[k] = ids[a:b]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +301,8 @@ def write_shards(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", t
         from pyspark import TaskContext
 
         part, seq, keys, held, have = TaskContext.get().partitionId(), 0, [], [], 0
-        width = _tokenizer(path)[2]
+        coder = _encoder(path)
+        width = coder.width
         stop = int(end_id).to_bytes(width, "little")
 
         def flush() -> pa.RecordBatch:
@@ -189,9 +312,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", t
             return out
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                some = batch.slice(start, 1000)
-                for k, ids in zip(some.column(0).to_pylist(), encode(texts(some.column(1)), path), strict=True):
+            for start, end in sliced(batch.column(1), 3 << 20):
+                some = batch.slice(start, end - start)
+                for k, ids in zip(some.column(0).to_pylist(), coder(texts(some.column(1))), strict=True):
                     keys.append(k)
                     held.append(ids + stop)
                     have += len(ids) + width
@@ -199,6 +322,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", t
                         yield flush()
         if keys:
             yield flush()
+        trim()
 
     return materialize(rows.mapInArrow(over, "part bigint, seq bigint, docs bigint, ids bigint, shard binary"), "tokens")
 
