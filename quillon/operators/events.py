@@ -136,6 +136,11 @@ def transfer_matrix(results: DataFrame, records: list[str]) -> DataFrame:
     return results.groupBy("policy_id").pivot("record_id", records).agg(F.bool_or("passed"))
 
 
+def transfers(results: DataFrame) -> DataFrame:
+    """(policy_id, record_id, passed): the transfer matrix of all records, a row for each cell that has a result."""
+    return results.groupBy("policy_id", "record_id").agg(F.bool_or("passed").alias("passed"))
+
+
 def flips(results: DataFrame, order: str = "ts") -> DataFrame:
     """(record_id, policy_id): passes of an earlier policy that a later one lost."""
     before = F.lag("passed").over(Window.partitionBy("record_id").orderBy(order))

@@ -11,7 +11,7 @@ from quillon.functions import expr
 from quillon.operators import candidates as cand
 from quillon.operators import conformal, events, gate, learners, metrics, resample, sequential, splits
 from quillon.plans import cases as v
-from quillon.plans.cases import BANK, BOXES, CASES, KEPT, LEDGER, REPLAYS, REPORTS
+from quillon.plans.cases import ALL_REPLAYS, BANK, BOXES, CASES, KEPT, LEDGER, REPLAYS, REPORTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,6 +211,30 @@ def _(s, d):
     return events.flips(v.replays(s, d))
 
 
+@query("a18_pass_rate_all", f"with {ALL_REPLAYS} select policy_id, round(avg(passed::int), 9) pass_rate from replays where status = 'confirmed' and policy_id = 'p1' group by 1")
+def _(s, d):
+    return events.pass_rate(v.all_replays(s, d).where("policy_id = 'p1'")).select(F.lit("p1").alias("policy_id"), r9("pass_rate").alias("pass_rate"))
+
+
+@query(
+    "a19_regressions_all",
+    f"with {ALL_REPLAYS}, c as (select record_id, passed from replays where policy_id = 'p2' and status = 'confirmed'), h as (select record_id, passed b from replays where policy_id = 'p1'), j as (select c.*, coalesce(b, false) b from c left join h using (record_id)) select count(*) filter (not passed and b) regressions, count(*) filter (not passed) failed, array_to_string(list_slice(list_sort(list(record_id) filter (not passed and b)), 1, 5), ',') first5 from j",
+)
+def _(s, d):
+    r = v.all_replays(s, d)
+    return events.regressions(r.where("policy_id = 'p2'"), r.where("policy_id = 'p1'")).select("regressions", "failed", F.array_join("first5", ",").alias("first5"))
+
+
+@query("a20_transfer_all", f"with {ALL_REPLAYS} select policy_id, record_id, bool_or(passed) passed from replays group by all")
+def _(s, d):
+    return events.transfers(v.all_replays(s, d))
+
+
+@query("a20_flips_all", f"with {ALL_REPLAYS}, l as (select *, lag(passed) over (partition by record_id order by ts) b from replays) select record_id, policy_id from l where b and not passed")
+def _(s, d):
+    return events.flips(v.all_replays(s, d))
+
+
 @query("a21_efficiency_ratio", f"with {REPORTS}, g as (select avg(case when arm = 'cand' then usd end) cu, avg(case when arm = 'champ' then usd end) hu, avg(case when arm = 'cand' then tool_calls end) ct, avg(case when arm = 'champ' then tool_calls end) ht from reports) select round(cu / hu, 9) cost_ratio, round(ct / ht, 9) call_ratio from g")
 def _(s, d):
     return sequential.efficiency_ratios(v.reports(s, d)).select(r9("cost_ratio").alias("cost_ratio"), r9("call_ratio").alias("call_ratio"))
@@ -296,7 +320,7 @@ def _(s, d):
 
 @query("x21_gate")
 def _(s, d):
-    r = v.replays(s, d)
+    r = v.all_replays(s, d)
     return gate.run_gate(v.cases(s, d), {"iterations": 20}, ["site", "density"], rerun="rerun", regressions=events.regressions(r.where("policy_id = 'p2'"), r.where("policy_id = 'p1'")), costs=v.reports(s, d), path=_path(s, d))
 
 
@@ -560,8 +584,7 @@ _LINE = "reg as (select o_orderkey id, case when o_orderkey >= 10 then o_orderke
 
 @query("x18_lineage", f"with recursive {_LINE}, up as (select id, parent, 0 depth from reg where id = 1500 union all select r.id, r.parent, depth + 1 from reg r join up on r.id = up.parent) select id policy_id, depth from up")
 def _(s, d):
-    e = v.table(s, d, "orders").where("o_orderkey < 2000").select(F.lit("register").alias("kind"), F.col("o_orderkey").alias("policy_id"), F.when(F.col("o_orderkey") >= 10, F.floor(F.col("o_orderkey") / 2)).alias("parent_id"))
-    return events.lineage(e, 1500)
+    return events.lineage(v.registrations(s, d), 1500)
 
 
 @query("x18_champion", "select max_by(o_custkey, o_orderkey) policy_id from orders where o_orderstatus in ('F', 'O')")
