@@ -5,8 +5,8 @@ For each style node two entropies over the m pages that have it are taken, both
 sequences of child tags (presentation) and of the texts below it (content). Their weighted sum is its importance:
 a bar that looks and reads the same on every page has none. A page drops the branches of low importance, and
 those that their tag, class or role names as furniture; what remains of its declared article (or, in a page that
-declares none, of its body) is the text. Inside a declared article importance removes nothing, since copies of one
-article on a host would look like furniture.
+declares none, of its body) is the text. Style nodes inside a declared article are weighed over the host's distinct
+articles, since copies of one article would look like furniture; the declared article itself is never dropped.
 """
 
 from __future__ import annotations
@@ -147,26 +147,38 @@ def roots_of(nodes: list[Node]) -> set[int]:
     return {id(x) for x in found}
 
 
-def styles(page: str | None, url: str | None) -> list[tuple[int, int, int]]:
-    """(style node, presentation, content) of a page, as hashes, for its nodes outside declared articles that aren't furniture by name."""
+def styles(page: str | None, url: str | None) -> list[tuple[int, int, int, int]]:
+    """(style node, presentation, content, article) of a page, as hashes, for its nodes below the declared articles or outside them that aren't furniture by name.
+
+    article is 0 outside, else that of the text of all declared articles of the page, by which its copies are known.
+    """
     host, (nodes, texts) = host_of(url), parse(page or "")
     roots = roots_of(nodes)
-    below: dict[str, list[str]] = {}
-    shape: dict[str, list[str]] = {}
+    below: dict[tuple[str, bool], list[str]] = {}
+    shape: dict[tuple[str, bool], list[str]] = {}
     inside: set[int] = set()
     for x in nodes:
-        if id(x) in roots or x.parent is not None and id(x.parent) in inside:
+        if id(x) in roots:
+            inside.add(id(x))
+            continue
+        held = x.parent is not None and id(x.parent) in inside
+        if held:
             inside.add(id(x))
-        elif not x.noise or x.parent is not None and not x.parent.noise:
-            shape.setdefault(x.path, []).append(" ".join(x.kids))
+        if not x.noise or not held and x.parent is not None and not x.parent.noise:
+            shape.setdefault((x.path, held), []).append(" ".join(x.kids))
+    article: list[str] = []
     for node, _, text in texts:
-        if id(node) in inside or text.isspace():
+        if text.isspace():
             continue
-        while node is not None:
-            if node.path in shape:
-                below.setdefault(node.path, []).append(text)
+        held = id(node) in inside
+        if held and not node.noise:
+            article.append(text)
+        while node is not None and (id(node) in inside) == held and id(node) not in roots:
+            if (node.path, held) in shape:
+                below.setdefault((node.path, held), []).append(text)
             node = node.parent
-    return [(key_of(host, path), xxhash.xxh3_64_intdigest("|".join(kids)) - (1 << 63), xxhash.xxh3_64_intdigest(" ".join(below[path])) - (1 << 63)) for path, kids in shape.items() if path in below]
+    whole = xxhash.xxh3_64_intdigest(" ".join(" ".join(article).split())) - (1 << 63) or 1
+    return [(key_of(host, path), xxhash.xxh3_64_intdigest("|".join(kids)) - (1 << 63), xxhash.xxh3_64_intdigest(" ".join(below[path, held])) - (1 << 63), whole if held else 0) for (path, held), kids in shape.items() if (path, held) in below]
 
 
 def extract(page: str | None, url: str | None, low: set[int]) -> str:
@@ -178,7 +190,7 @@ def extract(page: str | None, url: str | None, low: set[int]) -> str:
         up = use[id(x.parent)] if x.parent is not None else not roots
         if id(x) in roots:
             up = True
-        elif up and not roots and low and key_of(host, x.path) in low:
+        elif up and low and key_of(host, x.path) in low:
             up = False
         use[id(x)] = up and not x.noise
     out: dict[int, list[str]] = {}
@@ -190,20 +202,19 @@ def extract(page: str | None, url: str | None, low: set[int]) -> str:
 
 
 def _block_styles(rows: pa.Table) -> dict[str, bytes]:
-    count: Counter[tuple[int, int, int]] = Counter()
+    count: Counter[tuple[int, int, int, int]] = Counter()
     for url, page in zip(rows["url"].to_pylist(), rows["text"].to_pylist(), strict=True):
-        for key, presentation, content in styles(page, url):
-            count[key, 0, presentation] += 1
-            count[key, 1, content] += 1
-    key, kind, sign = zip(*count, strict=True) if count else ((), (), ())
-    return {"styles": to_blob(pa.table({"key": pa.array(key, pa.int64()), "kind": pa.array(kind, pa.int32()), "sign": pa.array(sign, pa.int64()), "n": pa.array(count.values(), pa.int64())}))}
+        count.update(styles(page, url))
+    columns = zip(*count, strict=True) if count else ((), (), (), ())
+    names = ("key", "presentation", "content", "article")
+    return {"styles": to_blob(pa.table({x: pa.array(c, pa.int64()) for x, c in zip(names, columns, strict=True)} | {"n": pa.array(count.values(), pa.int64())}))}
 
 
 def _unpack(batches):
     for batch in batches:
         for block, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             for part in from_blob(blob).to_batches(max_chunksize=100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block, dtype=np.int64)), *part.columns], names=["block", "key", "kind", "sign", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block, dtype=np.int64)), *part.columns], names=["block", "key", "presentation", "content", "article", "n"])
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", low: float = LOW, least_pages: int = PAGES) -> DataFrame:
@@ -211,13 +222,17 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     Blocks are joined by line feeds in page order, with white space inside a block turned into one space. A null or
     empty page has an empty text. Pages without a host share one tree. Style nodes seen on fewer than least_pages
-    pages of a host are never of low importance. Repeated rows count as often as they stand.
+    pages (inside a declared article: in fewer distinct articles) of a host are never of low importance. Repeated rows
+    count as often as they stand outside an article, and once inside.
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("text"))
     blocks = packed(rows, BLOCK, _block_styles, ["styles"], "html")
-    seen = blocks.select("block", "styles").mapInArrow(_unpack, "block bigint, key bigint, kind int, sign bigint, n bigint")
-    entropy = seen.groupBy("key", "kind", "sign").agg(F.sum("n").alias("n")).groupBy("key", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("t"))
+    seen = blocks.select("block", "styles").mapInArrow(_unpack, "block bigint, key bigint, presentation bigint, content bigint, article bigint, n bigint")
+    once = seen.where("article != 0").groupBy("key", "article").agg(F.min(F.struct("presentation", "content")).alias("s")).select("key", "s.presentation", "s.content", F.lit(1).cast("bigint").alias("n"))
+    counted = seen.where("article = 0").select("key", "presentation", "content", "n").unionAll(once)
+    counted = counted.select("key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("sign")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("sign")))).alias("x"), "n").select("key", "x.kind", "x.sign", "n")
+    entropy = counted.groupBy("key", "kind", "sign").agg(F.sum("n").alias("n")).groupBy("key", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("t"))
     entropy = entropy.select("key", "m", (F.when(F.col("kind") == 1, CONTENT).otherwise(1 - CONTENT) * F.when(F.col("m") > 1, 1 - F.col("t") / (F.col("m") * F.log("m"))).otherwise(1.0)).alias("part"))
     weak = entropy.groupBy("key").agg(F.sum("part").alias("importance"), F.max("m").alias("m")).where((F.col("importance") < low) & (F.col("m") >= least_pages)).select("key")
     asked = seen.select("block", "key").distinct().join(weak, "key").select("block", "key")
