@@ -74,10 +74,11 @@ def bank_state(events: DataFrame) -> DataFrame:
     return g.where("_a > 0").drop("_a")
 
 
-def nearest_record(new: DataFrame, records: DataFrame, least: float = 0.85) -> DataFrame:
-    """(new_id, record_id, cos): the most similar active record of the same type; equal ones give the largest id."""
+def nearest_record(new: DataFrame, records: DataFrame, least: float = 0.85, others: bool = False) -> DataFrame:
+    """(new_id, record_id, cos): the most similar active record of the same type; equal ones give the largest id. With others, never itself."""
     n, r = new.alias("n"), records.where("status != 'retired'").alias("r")
     same = (F.col("n.label") == F.col("r.label")) & (F.col("n.expected") == F.col("r.expected")) & (F.col("n.observed") == F.col("r.observed"))
+    same = same & (F.col("n.new_id") != F.col("r.record_id")) if others else same
     j = n.join(r, same).withColumn("cos", cosine(F.col("n.embedding"), F.col("r.embedding"))).where(F.col("cos") >= least)
     best = j.groupBy(F.col("n.new_id").alias("new_id")).agg(F.max(F.struct("cos", F.col("r.record_id").alias("record_id"))).alias("b"))
     return best.select("new_id", "b.record_id", "b.cos")

@@ -484,6 +484,18 @@ def _(s, d):
     return splits.nearest(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id >= 20").select(F.col("vec_id").alias("atlas_id"), "embedding"))
 
 
+@query("j5_nearest_record_all")
+def _(s, d):
+    e = v.vectors(s, d).select("vec_id", "label", "embedding", F.lit("confirmed").alias("status"), F.lit("recall").alias("expected"), F.lit("no_recall").alias("observed"))
+    return events.nearest_record(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "new_id"), e.withColumnRenamed("vec_id", "record_id"), 0.2, others=True).select("new_id", "record_id")
+
+
+@query("j6_nearest_all")
+def _(s, d):
+    e = v.vectors(s, d)
+    return splits.nearest(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("atlas_id"), "embedding"), others=True)
+
+
 @query("j1_split_join", "with s as (select c_custkey pid, case when c_custkey % 5 = 0 then 'test' else 'train' end split from customer where c_custkey % 3 <> 0) select coalesce(split, 'unassigned') split, count(*) n from orders left join s on o_custkey = pid group by 1")
 def _(s, d):
     a = v.table(s, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("pid"), F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train").alias("split"))

@@ -43,3 +43,21 @@ def test_lineage_registers_every_order(spark, orders):
     from quillon.operators import events
 
     assert [x.policy_id for x in events.lineage(v.registrations(spark, orders), 7199).orderBy("depth").collect()] == [7199, 3599, 1799, 899, 449, 224, 112, 56, 28, 14, 7]
+
+
+def test_searches_ask_for_every_twentieth_row_among_all_others(spark, sf_dir):
+    import numpy as np
+
+    e = pd.read_parquet(f"{sf_dir}/embeddings.parquet").sort_values("vec_id", ignore_index=True)
+    ids, x = e.vec_id.to_numpy(), np.stack(e.embedding.to_list()).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near, best = set(), {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 4)
+        near |= {(ids[i], ids[k], n) for n, k in enumerate((k for k in np.lexsort((ids, d)) if k != i), 1) if n <= 5}
+        cos = np.where((e.label == e.label[i]) & (ids != ids[i]), unit @ unit[i], -1)
+        if cos.max() >= 0.2:
+            best[ids[i]] = ids[cos.argmax()]
+    assert {(r.query_id, r.atlas_id, r.rank) for r in QUERIES["j6_nearest_all"](spark, sf_dir).collect()} == near
+    assert {r.new_id: r.record_id for r in QUERIES["j5_nearest_record_all"](spark, sf_dir).collect()} == best
+    assert {0, 480} <= {i for i, _, _ in near} and any(k < 20 for _, k, _ in near) and any(k % 2 for k in best.values())
