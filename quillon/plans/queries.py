@@ -106,9 +106,15 @@ def _(s, d):
     return resample.paired_delta(c, resample.hashed_weights(c, 40)).select(r9("lo").alias("lo"), r9("hi").alias("hi"), "n")
 
 
+@query("a7_paired_bootstrap_2000")
+def _(s, d):
+    c = v.cases(s, d)
+    return resample.paired_delta(c, resample.hashed_weights(c, 2000)).select(r9("lo").alias("lo"), r9("hi").alias("hi"), "n")
+
+
 @query("a6_bootstrap_drawn")
 def _(s, d):
-    return resample.bootstrap(v.cases(s, d), ["cand", "champ"], iterations=100, chunk=25)
+    return resample.bootstrap(v.cases(s, d), ["cand", "champ"])
 
 
 @query("r1_weights", f"with {CASES}, p as (select distinct pid from cases) select it, pid, ('0x' || substr(md5(cast(it as varchar) || '|' || cast(pid as varchar)), 1, 4))::bigint % 4 w from p cross join range(5) r(it)")
@@ -321,7 +327,7 @@ def _(s, d):
 @query("x21_gate")
 def _(s, d):
     r = v.all_replays(s, d)
-    return gate.run_gate(v.cases(s, d), {"iterations": 20}, ["site", "density"], rerun="rerun", regressions=events.regressions(r.where("policy_id = 'p2'"), r.where("policy_id = 'p1'")), costs=v.reports(s, d), path=_path(s, d))
+    return gate.run_gate(v.cases(s, d), {"iterations": 1000}, ["site", "density"], rerun="rerun", regressions=events.regressions(r.where("policy_id = 'p2'"), r.where("policy_id = 'p1'")), costs=v.reports(s, d), path=_path(s, d))
 
 
 # -- candidates and decisions --------------------------------------------------------
@@ -670,6 +676,12 @@ def _(s, d):
     return learners.best_temperature(c, grid=learners.temperature_grid(12)).select(F.round("t", 6).alias("t"), F.round("nll", 8).alias("nll"))
 
 
+@query("x11_temperature_120")
+def _(s, d):
+    c = v.cases(s, d).withColumn("logit", F.log((F.col("cand") + 1e-9) / (1 - F.col("cand") + 1e-9)))
+    return learners.best_temperature(c).select(F.round("t", 6).alias("t"), F.round("nll", 8).alias("nll"))
+
+
 @query("x12_prior_shift", f"with {CASES}, p as (select avg(y) a from cases) select round(ln(0.01e0 / (1 - 0.01e0 + 1e-9) + 1e-9) - ln(a / (1 - a + 1e-9) + 1e-9), 9) shift from p")
 def _(s, d):
     return v.cases(s, d).agg(F.avg("y").alias("a")).select(r9(learners.prior_shift(F.col("a"), F.lit(0.01))).alias("shift"))
@@ -705,7 +717,7 @@ def _(s, d):
 
 @query("x10_fit_head")
 def _(s, d):
-    h = learners.fit_head(v.cases(s, d), ["cand", "champ"], epochs=100)
+    h = learners.fit_head(v.cases(s, d), ["cand", "champ"])
     return s.createDataFrame([(k, float(w)) for k, w in enumerate([*h.weights, h.bias])], "k int, weight double")
 
 

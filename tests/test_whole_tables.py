@@ -61,3 +61,49 @@ def test_searches_ask_for_every_twentieth_row_among_all_others(spark, sf_dir):
     assert {(r.query_id, r.atlas_id, r.rank) for r in QUERIES["j6_nearest_all"](spark, sf_dir).collect()} == near
     assert {r.new_id: r.record_id for r in QUERIES["j5_nearest_record_all"](spark, sf_dir).collect()} == best
     assert {0, 480} <= {i for i, _, _ in near} and any(k < 20 for _, k, _ in near) and any(k % 2 for k in best.values())
+
+
+def _cases(sf_dir):
+    e = pd.read_parquet(f"{sf_dir}/events.parquet")
+    v = e.value / (e.value + 100.0)
+    return pd.DataFrame({"pid": e.user_id, "y": (e.event_type == "error").astype(int), "cand": v, "champ": 0.5 * v + 0.5 * ((e.event_id * 7919) % 1000 / 1000.0)})
+
+
+def test_resampling_has_the_settings_of_the_reference(spark, sf_dir):
+    import hashlib
+    import math
+
+    import numpy as np
+
+    c, deltas = _cases(sf_dir), []
+    for it in range(2000):
+        w = c.pid.map({p: int(hashlib.md5(f"{it}|{p}".encode()).hexdigest()[:4], 16) % 4 for p in c.pid.unique()}).to_numpy()
+        pos, neg, sens = np.where(c.y == 1, w, 0), np.where(c.y == 0, w, 0), []
+        for s in (c.cand.to_numpy(), c.champ.to_numpy()):
+            by = np.argsort(s, kind="stable")
+            t = s[by][np.searchsorted(np.cumsum(neg[by]), max(1, math.ceil(0.96 * neg.sum())))]
+            sens.append(pos[s > t].sum() / pos.sum())
+        deltas.append(sens[0] - sens[1])
+    row = QUERIES["a7_paired_bootstrap_2000"](spark, sf_dir).first()
+    assert row.n == 2000 and [row.lo, row.hi] == pytest.approx(list(np.quantile(deltas, [0.025, 0.975])), abs=1e-8)
+    gate = {r.name: r.value for r in QUERIES["x21_gate"](spark, sf_dir).collect()}
+    assert gate["primary_non_inferiority"] == pytest.approx(np.quantile(deltas[:1000], 0.025), abs=1e-8)
+    drawn = QUERIES["a6_bootstrap_drawn"](spark, sf_dir).groupBy("arm").count().collect()
+    assert {r.arm: r["count"] for r in drawn} == {"cand": 2000, "champ": 2000}
+
+
+def test_heads_have_the_settings_of_the_reference(spark, sf_dir):
+    import numpy as np
+
+    c = _cases(sf_dir)
+    logit, y = np.log((c.cand + 1e-9) / (1 - c.cand + 1e-9)).to_numpy(), c.y.to_numpy()
+    nll = {}
+    for t in np.geomspace(0.1, 10.0, 120):
+        p = 1 / (1 + np.exp(-np.clip(logit / t, -30, 30)))
+        nll[float(t)] = -(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean()
+    row = QUERIES["x11_temperature_120"](spark, sf_dir).first()
+    assert row.t == pytest.approx(min(nll, key=nll.get), abs=1e-6) and row.nll == pytest.approx(min(nll.values()), abs=1e-7)
+    from quillon.operators import learners
+
+    want = learners.fit_head(v.cases(spark, sf_dir), ["cand", "champ"], epochs=400)
+    assert [r.weight for r in QUERIES["x10_fit_head"](spark, sf_dir).orderBy("k").collect()] == pytest.approx([*want.weights, want.bias])
