@@ -447,6 +447,11 @@ def _(s, d):
     return v.table(s, d, "documents").select("doc_id", expr.valid_tags(F.create_map("source", F.substring("text", 1, 20))).alias("valid"))
 
 
+@query("p10_tags_whole")
+def _(s, d):
+    return v.table(s, d, "documents").select("doc_id", expr.valid_tags(F.create_map("source", "text")).alias("valid"))
+
+
 @query("p11_record_validity", f"with {BANK} select record_id, seq, record_id % 3 <> seq % 3 and not (kind = 'confirm' and record_id % 2 = 0) and seq % 4 in (0, 1) valid from bank")
 def _(s, d):
     b = v.bank_events(s, d)

@@ -107,3 +107,10 @@ def test_heads_have_the_settings_of_the_reference(spark, sf_dir):
 
     want = learners.fit_head(v.cases(spark, sf_dir), ["cand", "champ"], epochs=400)
     assert [r.weight for r in QUERIES["x10_fit_head"](spark, sf_dir).orderBy("k").collect()] == pytest.approx([*want.weights, want.bias])
+
+
+def test_tags_are_judged_whole(spark, tmp_path):
+    texts = ["good_tag", "a" * 64, "a" * 65, "a" * 20 + " b", "a" * 30 + "!"]
+    pd.DataFrame({"doc_id": range(5), "source": ["web"] * 5, "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    got = {r.doc_id: r.valid for r in QUERIES["p10_tags_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: False}
