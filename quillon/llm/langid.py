@@ -70,7 +70,7 @@ def fit(docs: DataFrame, text: str = "text", declared: str = "lang", fit_docs: i
     if not langs:
         return [], np.zeros((1 << BITS, 0), dtype=np.float32)
     # only hashes so small that a few times fit_docs texts have them are dealt out at all
-    least = spark.createDataFrame([(r.lang, int(min(1.0, 4 * fit_docs / max(r.texts, 1)) * (1 << 31))) for r in counts], "lang string, least bigint")
+    least = spark.createDataFrame(pa.table({"lang": langs, "least": [int(min(1.0, 4 * fit_docs / max(r.texts, 1)) * (1 << 31)) for r in counts]}))
     rank = F.shiftrightunsigned("h", 33)
     few = some.join(F.broadcast(least), "lang").where(rank < F.col("least")).dropDuplicates(["lang", "h"])
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(rank, "h"))).where(F.col("rank") <= fit_docs).select("lang", "text")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import mapped, materialize
+from quillon.llm.common import materialize
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,15 +37,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     from quillon.llm.suffix import remove_repeats
 
-    left = remove_repeats(docs.select(*DOCUMENTS), payload=True, carry=["lang", "source", "n_chars"])
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x.decode("utf-8", "ignore") for x in batch.column(4).to_pylist()]
-        n = [len(t) if gone else n for t, gone, n in zip(texts, batch.column(5).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[1:3], pa.array(n, pa.int64())], names=DOCUMENTS)
-
-    cut = left.select("doc_id", "lang", "source", "n_chars", "kept_bytes", "n_removed")
-    return mapped(cut, fn, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = remove_repeats(docs.select(*DOCUMENTS), payload="text", carry=["lang", "source", "n_chars"])
+    n = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -397,7 +397,7 @@ def _span_blob(start: np.ndarray, length: int) -> bytes:
 HOTS = pa.schema([*((x, pa.int64()) for x in ("k1", "k2", "doc", "offset", "block", "pos")), ("blob", pa.binary())])
 
 
-def _cut(payload: bool, key: str):
+def _cut(payload: str | None, key: str):
     def fn(held: pa.Table, spans: pa.Table) -> pa.Table:
         rows = from_blob(held["docs"][0].as_py())
         raw, at = as_bytes(rows["text"])
@@ -418,18 +418,22 @@ def _cut(payload: bool, key: str):
             left.append(out)
         id_ = pa.array(rows["id"].to_pylist(), pa.int64())
         cols = {key: id_, "row": rows["row"], "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table(cols | ({"kept_bytes": pa.array(left, pa.binary())} if payload else {}))
+        if payload == "bytes":
+            cols["kept_bytes"] = pa.array(left, pa.binary())
+        elif payload == "text":
+            cols["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
+        return pa.table(cols)
 
     return fn
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, payload: bool = False, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: key, the columns in carry, n_bytes, n_removed, n_spans, kept_sha256 and, with payload, kept_bytes.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, payload: str | None = None, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: key, the columns in carry, n_bytes, n_removed, n_spans, kept_sha256 and, with payload "bytes" or "text", kept_bytes or kept_text.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a row of a smaller key, or
     earlier in the same row. Strings are judged on the input and never cross rows. A null key comes before all
     others, a null text is empty; of rows that share a key the one in the earlier block comes first. kept_bytes
-    may not be UTF-8, as cuts fall on bytes. A seed with over `hot` members is not brought to one task: its
+    may not be UTF-8, as cuts fall on bytes; kept_text leaves out characters that a cut splits. A seed with over `hot` members is not brought to one task: its
     windows are grouped one by one, by hashes of 128 bits, the first of each content in each block.
     """
     spark = docs.sparkSession
@@ -461,6 +465,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         spans = spans.unionByName(local).unionByName(again.mapInArrow(blobs, "block bigint, blob binary"))
     spans = materialize(spans, "suffix-spans")
     release(spark)
-    kept = ", kept_bytes binary" if payload else ""
+    kept = {"bytes": ", kept_bytes binary", "text": ", kept_text string"}.get(payload, "")
     out = blocks.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(trimmed(_cut(payload, key)), schema([StructField(key, LongType()), rows.schema["row"]], f"n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept}"))
     return out.select(key, *(F.col(f"row.`{x}`").alias(x) for x in carry or []), *out.columns[2:])

@@ -103,7 +103,7 @@ def test_tokens(docs, none):
 def test_repeats(docs, none):
     from quillon.llm.suffix import remove_repeats
 
-    rows = remove_repeats(clashing(docs, "id", "key", "row", "n_bytes"), payload=True, carry=["lang", "row"]).toPandas()
+    rows = remove_repeats(clashing(docs, "id", "key", "row", "n_bytes"), payload="bytes", carry=["lang", "row"]).toPandas()
     assert len(rows) == len(ROWS) and set(rows.row) == {"mine"}
     by = rows.dropna(subset="doc_id").set_index("doc_id")
     assert by.loc[[12]].n_removed.item() == 29_999 and by.loc[[12]].n_spans.item() == 1 and bytes(by.loc[[12]].kept_bytes.item()) == b"x"

@@ -62,7 +62,7 @@ def test_repeats_by_every_path(spark, monkeypatch):
         for p in range(len(b) - 99):
             first.setdefault(b[p : p + 100], (i, p))
     for hot in (10**9, 5):
-        got = {r.doc_id: bytes(r.kept_bytes) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), payload=True, hot=hot).collect()}
+        got = {r.doc_id: bytes(r.kept_bytes) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), payload="bytes", hot=hot).collect()}
         for i, t in rows:
             b = t.encode()
             gone = np.zeros(len(b), bool)
