@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -78,6 +79,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def pages_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language from its text, its markup, its address and its host, by a model of the documents' texts."""
+    from quillon.llm.langid import fit, identify, markup_language
+
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", text.alias("text"), markup_language(F.col("html")).alias("declared"))
+    return identify(pages, declared="declared", host=None, url="url", model=fit(_table(spark, sf_dir, "documents")), carry=["page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -89,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
+    "pages_langid": pages_langid,
 }

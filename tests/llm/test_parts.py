@@ -210,6 +210,30 @@ def test_leaks_with_edits():
     row, item = search(found, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
     got = set(zip(row.tolist(), item.tolist(), strict=True))
     assert len(got & set(want)) >= 0.98 * len(want) and len(got - set(want)) <= 2
+    # no bucket, no candidate
+    found.buckets.table[:] = False
+    assert not len(search(found, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))[0])
+
+
+def test_long_items_are_found_by_a_chunk():
+    from quillon.llm.decontaminate import Items, search
+
+    rng = random.Random(7)
+    items = [" ".join(rng.choice("the of a to in it is was for on".split() + [f"w{k}" for k in range(200)]) for _ in range(n)) for n in (64, 65, 300, 5000)]
+    texts = ["so it begins " + " ".join("changed" if k % 6 == 3 else w for k, w in enumerate(x.split())) + " and ends" for x in items] + ["changed " * 400, items[2][: len(items[2]) // 2], items[3] + " " + items[0], ""]
+    raw = [t.encode() for t in texts]
+    row, item = search(Items([0, 1, 2, 3], items, 80, 5), np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert list(zip(row.tolist(), item.tolist(), strict=True)) == [(0, 0), (1, 1), (2, 2), (3, 3), (6, 0), (6, 3)]
+
+
+def test_blocks_of_items_find_what_one_finds(spark, sf_dir, monkeypatch):
+    from quillon.llm import decontaminate
+
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "benchmark"))
+    one = decontaminate.find_leaks(docs, bench, carry=["doc_id", "text"]).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(decontaminate, "ITEMS", 15)
+    many = decontaminate.find_leaks(docs, bench, carry=["doc_id", "text"]).toPandas().sort_values("doc_id")
+    assert one.n_items.sum() > 0 and [list(map(list, x.item_ids)) for x in (one, many)][0] == list(map(list, many.item_ids)) and one.text.tolist() == many.text.tolist()
 
 
 def test_edit_distance():
