@@ -149,6 +149,22 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Is raw[a[k]:a[k]+size[k]] equal to raw[b[k]:b[k]+size[k]]? Eight bytes are compared at a time."""
+    wide = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=wide, strides=(1,))
+    out = np.ones(len(a), dtype=bool)
+    left = np.flatnonzero(a != b)
+    done = 0
+    while len(left):
+        rest = np.minimum(size[left] - done, 8)
+        unlike = (eight[a[left] + done] ^ eight[b[left] + done]) << ((8 - rest) * 8).astype(np.uint64)
+        out[left[unlike != 0]] = False
+        done += 8
+        left = left[(unlike == 0) & (size[left] > done)]
+    return out
+
+
 def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

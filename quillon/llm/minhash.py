@@ -26,6 +26,9 @@ MIXED = 0xA24BAED4963EE407
 #: Odd, with an inverse modulo 2^64.
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
+#: A prime, and a primitive root of it: a second hash, without the collisions that any base has modulo a power of two.
+PRIME = (1 << 31) - 1
+ROOT = pow(7, 65537, PRIME)
 #: Text bytes handled at a time.
 PART = 2 << 20
 
@@ -36,7 +39,24 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n modulo PRIME, each stretch from the one before."""
+    out = np.ones(n + 1, dtype=np.uint32)
+    done = 1
+    while done <= n:
+        more = min(done, n + 1 - done)
+        out[done : done + more] = out[:more].astype(np.uint64) * np.uint64(pow(base, done, PRIME)) % np.uint64(PRIME)
+        done += more
+    return out
+
+
 _TABLES = [powers(BASE, PART), powers(INVERSE, PART)]
+_PRIME_TABLES = [prime_powers(ROOT, PART), prime_powers(pow(ROOT, -1, PRIME), PART)]
+
+
+def prime_tables(n: int) -> list[np.ndarray]:
+    """At least n + 1 powers of the root and of its inverse."""
+    return _PRIME_TABLES if n < len(_PRIME_TABLES[0]) else [prime_powers(ROOT, n), prime_powers(pow(ROOT, -1, PRIME), n)]
 
 
 def power_tables(n: int) -> list[np.ndarray]:
@@ -49,10 +69,11 @@ def power_tables(n: int) -> list[np.ndarray]:
     return _TABLES
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of every word of the lower-cased texts raw[at[k]:at[k+1]]; between marks the bytes that part words.
 
-    A word's hash is a polynomial of its bytes modulo 2^64, taken from running sums, then mixed with its length.
+    A word's hash mixes its length, a polynomial of its bytes modulo 2^64 and another modulo a prime, both taken
+    from running sums. plain leaves out the second, for callers that compare the bytes of words with equal hashes.
     """
     low = LOWER[raw]
     gap = between[low]
@@ -67,7 +88,15 @@ def word_spans(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) ->
     pow_, inv = power_tables(len(low))
     run = np.zeros(len(low) + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * pow_[: len(low)], out=run[1:])
-    return mix((run[end] - run[start]) * inv[start] + (end - start).astype(np.uint64) * MUL), start, end
+    h = mix((run[end] - run[start]) * inv[start] + (end - start).astype(np.uint64) * MUL)
+    if plain:
+        return h, start, end
+    pow_, inv = prime_tables(len(low))
+    terms = (low.astype(np.uint64) + np.uint64(1)) * pow_[: len(low)]
+    if len(low) > 1 << 24:
+        terms %= np.uint64(PRIME)  # the sums must stay below 2^64
+    np.cumsum(terms, out=run[1:])
+    return mix(h + (run[end] - run[start]) % np.uint64(PRIME) * inv[start] % np.uint64(PRIME)), start, end
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -242,8 +271,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """One row per row of docs: its key, n_shingles, component_id and kept.
 
     Texts are linked if the Jaccard similarity of their sets of size-word shingles is percent or more. Words are
-    lower-cased (A-Z) and parted by ASCII white space; a text of fewer words is one shingle, one without words is
-    linked with nothing. component_id is the smallest key reachable. Rows that share a key are one document; a
+    lower-cased (A-Z) and parted by ASCII white space, and told apart by hashes of 64 bits, from two polynomials of
+    their bytes; a text of fewer words is one shingle, one without words is linked with nothing. component_id is the smallest key reachable. Rows that share a key are one document; a
     null key is linked with nothing, has a null component_id and is kept. The key must be an integer.
 
     Equal sets are grouped first. In each band bucket all members are compared with the smallest. A bucket that

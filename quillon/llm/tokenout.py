@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import MUL, materialize, mix, prepare, sliced, texts, trim
+from quillon.llm.common import MUL, materialize, mix, prepare, same_bytes, sliced, texts, trim
 from quillon.llm.minhash import word_spans
 
 #: Payload bytes of a shard, words in each half of a worker's memory, levels of the hash and bits a key in each.
@@ -157,6 +157,25 @@ HIDDEN = [b for b in range(256) if b not in SEEN]
 ALPHABET = "".join(chr(b) if b in SEEN or b == 32 else chr(256 + HIDDEN.index(b)) for b in range(256))
 
 
+def distinct_words(raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word raw[start:end] among the distinct ones, and where each of these stands first; h are the words' hashes."""
+    of, distinct = pd.factorize(h)
+    first = np.empty(len(distinct), dtype=np.int64)
+    first[of[::-1]] = np.arange(len(h))[::-1]
+    size, lead = end - start, first[of]
+    unlike = np.flatnonzero((size != size[lead]) | ~same_bytes(raw, start, start[lead], np.minimum(size, size[lead])))
+    if len(unlike):
+        more: dict[bytes, int] = {}
+        heads = []
+        for k in unlike.tolist():
+            n = more.setdefault(raw[start[k] : end[k]].tobytes(), len(more))
+            if n == len(heads):
+                heads.append(k)
+            of[k] = len(first) + n
+        first = np.concatenate([first, heads])
+    return of, first
+
+
 class Memory:
     """Ids of words: those asked for lately, in two halves of bounded size, of which the older one goes."""
 
@@ -194,7 +213,6 @@ class Encoder:
 
         self.path, self._library = path, None
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.plain.get_vocab_size() <= 1 << 16 else 4
         self.words = Memory(REMEMBERED)
         with open(path, encoding="utf-8") as file:
@@ -210,6 +228,8 @@ class Encoder:
             self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.ends = np.zeros(self.plain.get_vocab_size(), dtype=bool)
             self.ends[[k for x, k in rules["model"]["vocab"].items() if x.endswith(suffix)]] = True
+        #: Strings that the library turns into single ids wherever they stand; texts with one take its plain way.
+        self.added = [x["content"].lower() for x in rules.get("added_tokens") or []]
 
     @property
     def library(self):
@@ -218,7 +238,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-            self._library.encode_special_tokens = True
         return self._library
 
     def whole(self, text: str) -> bytes:
@@ -250,28 +269,25 @@ class Encoder:
         return out
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text: words are told apart by 64-bit hashes and lengths, and only distinct ones are looked up."""
+        """The ids of each text. Only distinct words are looked up; those with equal hashes are compared byte by byte."""
         if self.pattern is None:
             return [self.whole(x) for x in batch]
         out: list[bytes] = [b""] * len(batch)
         usual, held = [], []
         for k, text in enumerate(batch):
-            if ODD.search(text):
+            low = "" if ODD.search(text) else (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+            if not low and text or any(x in low for x in self.added):
                 out[k] = self.whole(text)
             else:
                 usual.append(k)
-                held.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().encode())
+                held.append(low.encode())
         body = b"".join(held)
         at = np.concatenate([[0], np.cumsum([len(x) for x in held], dtype=np.int64)])
-        h, start, end = word_spans(np.frombuffer(body, dtype=np.uint8), at)
+        raw = np.frombuffer(body, dtype=np.uint8)
+        h, start, end = word_spans(raw, at, plain=True)
         if not len(h):
             return out
-        of, distinct = pd.factorize(h)
-        first = np.empty(len(distinct), dtype=np.int64)
-        first[of[::-1]] = np.arange(len(h))[::-1]
-        size = end - start
-        if (size != size[first][of]).any():
-            raise ValueError("two words share a hash")
+        of, first = distinct_words(raw, h, start, end)
         words = [body[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         values = self.words.look_up(words, self.learn)
         flat = np.frombuffer(b"".join(values), dtype=f"<u{self.width}")

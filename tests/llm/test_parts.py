@@ -87,6 +87,21 @@ def test_superminhash_is_unbiased(share):
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.06
 
 
+def test_superminhash_varies_less_than_minhash():
+    from quillon.llm.common import mix
+    from quillon.llm.minhash import SLOTS, signatures
+
+    rng, ours, plain = np.random.default_rng(3), [], []
+    salt = rng.integers(0, 2**63, size=SLOTS, dtype=np.uint64)
+    for _ in range(1500):
+        u = rng.integers(0, 2**63, size=27, dtype=np.uint64)
+        a, b = u[:20], np.concatenate([u[:13], u[20:]])
+        s = signatures(np.concatenate([a, b]), np.array([0, 20, 40]))
+        ours.append((s[0] == s[1]).mean())
+        plain.append((mix(a[:, None] ^ salt).min(axis=0) == mix(b[:, None] ^ salt).min(axis=0)).mean())
+    assert np.std(ours) < 0.85 * np.std(plain) and abs(np.mean(ours) - 13 / 27) < 0.01
+
+
 def test_near_duplicates_by_every_path(spark, monkeypatch):
     from quillon.llm import minhash
 
@@ -255,6 +270,51 @@ def test_edit_distance():
         assert distances(item[None], np.array([6]), region[None])[0] == best
 
 
+def thue_morse(n):
+    """Two words of n letters that share every polynomial hash modulo 2^64, whatever its base."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_equal_hashes_have_ids_of_their_own(n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillon.llm.minhash import word_spans
+    from quillon.llm.tokenout import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    a, b = thue_morse(n)
+    raw = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    at = np.array([0, len(raw)])
+    assert len(set(word_spans(raw, at, plain=True)[0].tolist())) == 1 and len(set(word_spans(raw, at)[0].tolist())) == 2
+    batch = [f"one {a} two {b} {a}", b, a, f"{b} {a} {b}", "hello <|endoftext|> world", "<|startoftext|>", f"<|ENDOFTEXT|> {b}", ""]
+    t = Tokenizer.from_file(path)
+    got = [np.frombuffer(x, f"<u{Encoder(path).width}").tolist() for x in Encoder(path)(batch)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in batch]
+
+
+def test_texts_of_words_of_equal_hashes_are_not_linked(spark):
+    from quillon.llm.minhash import near_duplicates
+
+    a, b = thue_morse(1024)
+    rows = near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, a)], "doc_id bigint, text string"), size=2).toPandas().set_index("doc_id")
+    assert rows.component_id[[1, 2, 3, 4, 5]].tolist() == [1, 2, 3, 4, 1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=20).map(lambda b: bytes(x % 2 + 97 for x in b)), min_size=1, max_size=12))
+def test_same_bytes(words):
+    from quillon.llm.common import same_bytes
+
+    at = np.cumsum([0, *map(len, words)])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    size = np.minimum(np.diff(at)[a], np.diff(at)[b])
+    got = same_bytes(np.frombuffer(b"".join(words), np.uint8), at[a], at[b], size)
+    assert got.tolist() == [words[x][:n] == words[y][:n] for x, y, n in zip(a, b, size, strict=True)]
+
+
 def test_as_bytes_of_slices_and_nulls():
     from quillon.llm.common import as_bytes
 
