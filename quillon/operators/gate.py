@@ -11,7 +11,7 @@ from quillon.operators import metrics, resample, sequential
 
 #: The bounds of a gate without rules of its own.
 RULES = {
-    "specificity": 0.96, "margin": 0.02, "iterations": 200, "alpha": 0.05, "worst_slice_margin": 0.1, "min_slice_size": 30, "max_ece": 0.1,
+    "specificity": 0.96, "margin": 0.02, "iterations": 2000, "alpha": 0.05, "worst_slice_margin": 0.1, "min_slice_size": 30, "max_ece": 0.1,
     "max_flip_rate": 0.05, "required_agreement": 1.0, "max_regressions": 0, "max_cost_ratio": 1.1, "max_call_ratio": 1.1, "sequential_alpha": 0.05,
 }
 
@@ -33,7 +33,7 @@ def run_gate(
     spec, checks = r["specificity"], []
     own = cases.withColumn("score", F.col("cand"))
     if champion:
-        ci = resample.paired_delta(cases, resample.hashed_weights(cases, r["iterations"]), alpha=r["alpha"], specificity=spec)
+        ci = resample.paired_delta(cases, r["iterations"], alpha=r["alpha"], specificity=spec)
         checks.append(row("primary_non_inferiority", ci, F.col("lo"), F.col("lo") >= -r["margin"]))
     else:
         s = metrics.sensitivity_at_specificity(own, spec)

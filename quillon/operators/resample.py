@@ -1,41 +1,148 @@
-"""Clustered resampling of patients: the metric of each resample is weighted, cases are never copied."""
+"""Clustered resampling of patients: the metric of each resample is weighted, cases are never copied.
+
+Resampling with replacement gives each of many patients a count that is nearly Poisson with mean 1. Here the count
+is a hash of patient and iteration, so any task can tell it without a table of weights, and any engine can repeat it.
+"""
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.prefix import ranged
+
+#: Modulus of the hash, and the factors that set iterations apart.
+PRIME, FIRST, SECOND = (1 << 31) - 1, 48271, 69621
+#: A hash below the k-th of these and not below the one before gives the weight k.
+CUTS = [int(PRIME * exp(-1) * sum(1 / factorial(j) for j in range(k + 1))) for k in range(12)]
+#: Cases of a range, fewest ranges, and cells (cases or patients x iterations) that a task holds at a time.
+RANGE_ROWS, RANGES, CELLS = 20_000, 64, 1 << 21
+
+
+def patient_code(pid: Column) -> Column:
+    """28 bits of a patient, by MD5."""
+    return F.conv(F.substring(F.md5(pid.cast("string")), 1, 7), 16, 10).cast("bigint")
+
+
+def weight(code: Column, it: Column) -> Column:
+    """The weight of a patient in an iteration."""
+    a, b = (it + 1) * FIRST % PRIME, (it + 1) * SECOND % PRIME
+    v = (code * a + b) % PRIME
+    for more in (a, b, code):
+        v = (v * v + more) % PRIME
+    return F.aggregate(F.array(*map(F.lit, CUTS)), F.lit(0).cast("bigint"), lambda n, cut: n + (v >= cut).cast("bigint"))
+
+
+def weight_matrix(code: np.ndarray, its: np.ndarray) -> np.ndarray:
+    """The same weights for patients x iterations."""
+    code = code.astype(np.uint64)[:, None]
+    p, it = np.uint64(PRIME), its.astype(np.uint64)[None, :] + np.uint64(1)
+    a, b = it * np.uint64(FIRST) % p, it * np.uint64(SECOND) % p
+    v = (code * a + b) % p
+    for more in (a, b, code):
+        v = (v * v + more) % p
+    return np.searchsorted(np.array(CUTS, dtype=np.uint64), v.ravel(), side="right").reshape(v.shape).astype(np.int64)
+
 
 def hashed_weights(patients: DataFrame, iterations: int, pid: str = "pid") -> DataFrame:
-    """(it, pid, w): a weight from 0 to 3 for each iteration and patient, by MD5, the same in any engine."""
-    text = F.concat(F.col("it").cast("string"), F.lit("|"), F.col(pid).cast("string"))
-    w = F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("bigint") % 4
-    return patients.select(pid).distinct().withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).select("it", pid, w.alias("w"))
+    """(it, pid, w): the weight of each patient in each iteration."""
+    each = patients.select(pid, patient_code(F.col(pid)).alias("_code")).distinct().withColumn("it", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))))
+    return each.select("it", pid, weight(F.col("_code"), F.col("it")).alias("w"))
+
+
+def _blocks(n: int, rows: int) -> list[np.ndarray]:
+    """Iterations 0 to n - 1 in blocks that fit beside so many rows."""
+    size = max(1, CELLS // max(rows, 1))
+    return [np.arange(k, min(k + size, n)) for k in range(0, n, size)]
 
 
-def weighted_sensitivity(cases: DataFrame, weights: DataFrame, scores: list[str], specificity: float = 0.96, y: str = "y", pid: str = "pid") -> DataFrame:
+def resampled_sensitivity(cases: DataFrame, scores: list[str], iterations: int = 2000, specificity: float = 0.96, y: str = "y", pid: str = "pid") -> DataFrame:
     """(it, arm, sensitivity) of each resample: the k-th negative is the first score whose running weight reaches k.
 
-    Cases are grouped by patient, arm and score before they meet their weights.
+    Scores are cut into ranges that hold about as many cases, at any size of the table. A first pass sums the
+    weights of each range, which tells where each resample's threshold lies; a second looks only there. The driver
+    holds two numbers a range, arm and iteration. A resample without positives or negatives has null; cases
+    without a score or patient are left out.
     """
-    arms = F.explode(F.array(*(F.struct(F.lit(s).alias("arm"), F.col(s).alias("s")) for s in scores)))
-    g = cases.select(pid, F.col(y).alias("y"), arms.alias("a")).groupBy(pid, "a.arm", "a.s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    g = g.join(weights.where("w > 0"), pid).groupBy("it", "arm", "s").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
-    one = Window.partitionBy("it", "arm")
-    g = g.withColumn("upto", F.sum("n").over(one.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))).withColumn("nn", F.sum("n").over(one))
-    k = F.least(F.greatest(F.ceil(F.lit(float(specificity)) * F.col("nn")), F.lit(1)), F.col("nn"))
-    g = g.withColumn("t", F.min(F.when(F.col("upto") >= k, F.col("s"))).over(one))
-    g = g.groupBy("it", "arm").agg(F.sum(F.when(F.col("s") > F.col("t"), F.col("p")).otherwise(0)).alias("caught"), F.sum("p").alias("pp"), F.max("nn").alias("nn"))
-    return g.select("it", "arm", F.when((F.col("pp") > 0) & (F.col("nn") > 0), F.col("caught") * 1.0 / F.col("pp")).alias("sensitivity"))
-
-
-def paired_delta(cases: DataFrame, weights: DataFrame, cand: str = "cand", champ: str = "champ", alpha: float = 0.05, specificity: float = 0.96, y: str = "y", pid: str = "pid") -> DataFrame:
-    """(lo, hi, n): interpolated quantiles of the paired difference over shared resamples; resamples without a value don't count."""
-    s = weighted_sensitivity(cases, weights, [cand, champ], specificity, y, pid)
+    spark = cases.sparkSession
+    arms = F.explode(F.array(*(F.struct(F.lit(k).alias("arm"), F.col(s).cast("double").alias("s")) for k, s in enumerate(scores))))
+    g = cases.select(patient_code(F.col(pid)).alias("code"), F.col(y).cast("bigint").alias("y"), arms.alias("a")).select("code", "y", "a.arm", "a.s").where("code is not null and s is not null and not isnan(s)")
+    g = g.groupBy("arm", "s", "code").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    ranges = max(RANGES, -(-cases.count() * len(scores) // RANGE_ROWS))
+    g = ranged(g, "s", ranges).select("_range", "arm", "s", "code", "p", "n")
+
+    def sums(key: tuple, rows: pa.Table) -> pa.Table:
+        arm, code, p, n = (rows[x].to_numpy() for x in ("arm", "code", "p", "n"))
+        who, at = np.unique(code, return_inverse=True)
+        held = np.zeros((2 * len(scores), len(who)), dtype=np.int64)
+        np.add.at(held, (2 * arm, at), n)
+        np.add.at(held, (2 * arm + 1, at), p)
+        out = np.concatenate([held @ weight_matrix(who, its) for its in _blocks(iterations, len(who))], axis=1)
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([out.tobytes()], pa.binary())})
+
+    found = sorted((r["range"], np.frombuffer(r["sums"], dtype=np.int64).reshape(len(scores), 2, iterations)) for r in g.groupBy("_range").applyInArrow(sums, "range bigint, sums binary").collect()) if iterations else []
+    if not found:
+        return spark.createDataFrame([], "it bigint, arm string, sensitivity double")
+    names = np.array([r for r, _ in found])
+    both = np.stack([x for _, x in found])  # range x arm x (negatives, positives) x iteration
+    upto = both[:, :, 0].cumsum(axis=0)
+    whole, positives = upto[-1], both[:, :, 1].sum(axis=0)
+    k = np.minimum(np.maximum(np.ceil(specificity * whole).astype(np.int64), 1), whole)
+    where = (upto >= k[None]).argmax(axis=0)
+    rest = k - np.take_along_axis(upto - both[:, :, 0], where[None], axis=0)[0]
+    above = np.where(np.arange(len(found))[:, None, None] > where[None], both[:, :, 1], 0).sum(axis=0)
+
+    def inside(key: tuple, rows: pa.Table) -> pa.Table:
+        mine = np.flatnonzero(names == key[0].as_py())[0]
+        out: list[np.ndarray] = []
+        rows = rows.sort_by("s")
+        for j in range(len(scores)):
+            its = np.flatnonzero((where[j] == mine) & (whole[j] > 0))
+            t = rows.filter(pa.compute.equal(rows["arm"], j))
+            if not len(its) or not t.num_rows:
+                continue
+            s, code, p, n = (t[x].to_numpy() for x in ("s", "code", "p", "n"))
+            last = np.flatnonzero(np.concatenate([s[1:] != s[:-1], [True]]))
+            who, at = np.unique(code, return_inverse=True)
+            for block in _blocks(len(its), t.num_rows):
+                some = its[block]
+                w = weight_matrix(who, some)[at]
+                stop = (np.cumsum(n[:, None] * w, axis=0)[last] >= rest[j, some][None]).argmax(axis=0)
+                caught = np.cumsum(p[:, None] * w, axis=0)[last]
+                out.append(np.stack([np.full(len(some), j), some, caught[-1] - caught[stop, np.arange(len(some))]]))
+        got = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return pa.table({x: pa.array(v, pa.int64()) for x, v in zip(("arm", "it", "caught"), got, strict=True)})
+
+    caught = above.copy()
+    for r in g.groupBy("_range").applyInArrow(inside, "arm bigint, it bigint, caught bigint").collect():
+        caught[r["arm"], r["it"]] += r["caught"]
+    ok = (whole > 0) & (positives > 0)
+    value = np.where(ok, caught / np.maximum(positives, 1), 0.0)
+    table = pa.table({
+        "it": pa.array(np.tile(np.arange(iterations), len(scores)), pa.int64()), "arm": pa.array(np.repeat(scores, iterations).tolist(), pa.string()),
+        "sensitivity": pa.array(value.ravel(), pa.float64(), mask=~ok.ravel()),
+    })
+    return spark.createDataFrame(table)
+
+
+def paired_delta(cases: DataFrame, iterations: int = 2000, cand: str = "cand", champ: str = "champ", alpha: float = 0.05, specificity: float = 0.96, y: str = "y", pid: str = "pid") -> DataFrame:
+    """(point, lo, hi, n): the paired difference of sensitivities, and its interpolated quantiles over shared resamples.
+
+    Resamples without a value don't count; without any, lo and hi are null. The point is the difference on the cases as they are.
+    """
+    from quillon.operators.metrics import sensitivity_at_specificity
+
+    s = resampled_sensitivity(cases, [cand, champ], iterations, specificity, y, pid)
     d = s.groupBy("it").agg((F.max(F.when(F.col("arm") == cand, F.col("sensitivity"))) - F.max(F.when(F.col("arm") == champ, F.col("sensitivity")))).alias("d")).where("d is not null")
-    return d.agg(F.percentile("d", F.lit(alpha / 2)).alias("lo"), F.percentile("d", F.lit(1 - alpha / 2)).alias("hi"), F.count("*").alias("n"))
+    ends = d.agg(F.percentile("d", F.lit(alpha / 2)).alias("lo"), F.percentile("d", F.lit(1 - alpha / 2)).alias("hi"), F.count("*").alias("n"))
+    arm = lambda x: sensitivity_at_specificity(cases.select(F.col(y).alias("y"), F.col(x).alias("score")), specificity).select(F.col("sensitivity").alias(f"s_{x}"))
+    # one row each
+    return ends.crossJoin(F.broadcast(arm(cand))).crossJoin(F.broadcast(arm(champ))).select((F.col(f"s_{cand}") - F.col(f"s_{champ}")).alias("point"), "lo", "hi", "n")
 
 
 def drawn_weights(patients: list[str], iterations: int, seed: int = 0) -> np.ndarray:
@@ -44,11 +151,11 @@ def drawn_weights(patients: list[str], iterations: int, seed: int = 0) -> np.nda
     return np.stack([np.bincount(rng.choice(n, size=n, replace=True), minlength=n) for _ in range(iterations)]) if iterations else np.zeros((0, n), int)
 
 
-def bootstrap(cases: DataFrame, scores: list[str], iterations: int = 2000, seed: int = 0, specificity: float = 0.96, y: str = "y", pid: str = "pid", chunk: int = 50) -> DataFrame:
+def bootstrap(cases: DataFrame, scores: list[str], iterations: int = 2000, seed: int = 0, specificity: float = 0.96, y: str = "y", pid: str = "pid", chunk: int = 250) -> DataFrame:
     """(it, arm, sensitivity) with drawn multiplicities: every task redraws its range of iterations from the seed.
 
     Patients must fit one task's memory, as ids and per-patient (score, label) groups do for the sizes a
-    resample makes sense at; use hashed_weights beyond that.
+    resample makes sense at; use resampled_sensitivity beyond that.
     """
     arms = F.explode(F.array(*(F.struct(F.lit(s).alias("arm"), F.col(s).alias("s")) for s in scores)))
     g = cases.select(F.col(pid).cast("string").alias("pid"), F.col(y).cast("int").alias("y"), arms.alias("a")).groupBy("a.arm", "pid", "a.s", "y").agg(F.count("*").alias("m"))

@@ -85,23 +85,15 @@ def bank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 BANK = "bank as (select conv_id record_id, turn seq, case when turn = 0 then 'add' when turn % 3 = 1 then 'merge' when turn % 3 = 2 then 'confirm' else 'retire' end kind from conversations)"
 
 
-def all_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a result of one of six policies on a record; record ids have three digits or more, none cut."""
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("p"), (F.col("o_orderkey") % 6).cast("string")).alias("policy_id"), (F.col("o_orderkey") % 6).alias("ts"), F.format_string("r%03d", F.floor(F.col("o_orderkey") / 6)).alias("record_id"),
-        F.when(F.floor(F.col("o_orderkey") / 6) % 4 == 0, "probation").otherwise("confirmed").alias("status"), (F.col("o_custkey") % 3 != 0).alias("passed"), "o_orderkey",
+        F.when(F.floor(F.col("o_orderkey") / 6) % 4 == 0, "probation").otherwise("confirmed").alias("status"), (F.col("o_custkey") % 3 != 0).alias("passed"),
     )
 
 
-def replays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The results on the first 100 records, which is what REPLAYS has."""
-    return all_replays(spark, sf_dir).where("o_orderkey < 600")
-
-
-REPLAYS = """replays as (select 'p' || (o_orderkey % 6) policy_id, o_orderkey % 6 ts, 'r' || lpad(cast(o_orderkey // 6 as varchar), 3, '0') record_id, case when (o_orderkey // 6) % 4 = 0 then 'probation' else 'confirmed' end status,
-  o_custkey % 3 <> 0 passed from orders where o_orderkey < 600)"""
-
-ALL_REPLAYS = """replays as (select 'p' || (o_orderkey % 6) policy_id, o_orderkey % 6 ts, printf('r%03d', o_orderkey // 6) record_id, case when (o_orderkey // 6) % 4 = 0 then 'probation' else 'confirmed' end status,
+REPLAYS = """replays as (select 'p' || (o_orderkey % 6) policy_id, o_orderkey % 6 ts, printf('r%03d', o_orderkey // 6) record_id, case when (o_orderkey // 6) % 4 = 0 then 'probation' else 'confirmed' end status,
   o_custkey % 3 <> 0 passed from orders)"""
 
 

@@ -11,7 +11,7 @@ from quillon.functions import expr
 from quillon.operators import candidates as cand
 from quillon.operators import conformal, events, gate, learners, metrics, resample, sequential, splits
 from quillon.plans import cases as v
-from quillon.plans.cases import ALL_REPLAYS, BANK, BOXES, CASES, KEPT, LEDGER, REPLAYS, REPORTS
+from quillon.plans.cases import BANK, BOXES, CASES, KEPT, LEDGER, REPLAYS, REPORTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,26 +90,33 @@ def _(s, d):
     return metrics.ece_adaptive(scored(s, d)).select(r9("ece").alias("ece"))
 
 
+_P = resample.PRIME
+_WEIGHTS = f"""p as (select distinct pid, ('0x' || substr(md5(cast(pid as varchar)), 1, 7))::bigint code from cases),
+h0 as (select it, pid, code, (it + 1) * {resample.FIRST} % {_P} a, (it + 1) * {resample.SECOND} % {_P} b from p cross join range({{n}}) r(it)),
+h1 as (select *, (code * a + b) % {_P} v1 from h0), h2 as (select *, (v1 * v1 + a) % {_P} v2 from h1), h3 as (select *, (v2 * v2 + b) % {_P} v3 from h2), h4 as (select *, (v3 * v3 + code) % {_P} v4 from h3),
+w as (select it, pid, cast({' + '.join(f'(v4 >= {c})::int' for c in resample.CUTS)} as bigint) w from h4)"""
+
+
+@query("r1_weights", f"with {CASES}, {_WEIGHTS.format(n=2000)} select it, pid, w from w")
+def _(s, d):
+    return resample.hashed_weights(v.cases(s, d), 2000)
+
+
 @query(
     "a7_paired_bootstrap",
-    f"""with {CASES}, p as (select distinct pid from cases), w as (select it, pid, ('0x' || substr(md5(cast(it as varchar) || '|' || cast(pid as varchar)), 1, 4))::bigint % 4 w from p cross join range(40) r(it)),
+    f"""with {CASES}, {_WEIGHTS.format(n=2000)}, {_THR.replace('n as (', 'nc as (').replace('from n)', 'from nc)').replace('t as (', 'tc as (')},
 a as (select pid, y, 'cand' arm, cand s from cases union all select pid, y, 'champ', champ from cases),
 g as (select it, arm, s, sum(y * w) p, sum((1 - y) * w) n from a join w using (pid) where w > 0 group by all),
 c as (select *, sum(n) over (partition by it, arm order by s) upto, sum(n) over (partition by it, arm) nn from g),
 t as (select it, arm, min(case when upto >= greatest(1, least(nn, ceil(0.96::double * nn))) then s end) thr from c group by all),
 m as (select it, arm, sum(case when s > thr then p else 0 end) * 1e0 / sum(p) sens from c join t using (it, arm) group by all),
-e as (select it, max(case when arm = 'cand' then sens end) - max(case when arm = 'champ' then sens end) d from m group by it)
-select round(quantile_cont(d, 0.025), 9) lo, round(quantile_cont(d, 0.975), 9) hi, count(d) n from e""",
+e as (select it, max(case when arm = 'cand' then sens end) - max(case when arm = 'champ' then sens end) d from m group by it),
+th as (select max(case when rn = greatest(1, least(n, cast(ceil(0.96::double * n) as bigint))) then s end) thr from (select champ s, row_number() over (order by champ) rn, count(*) over () n from cases where y = 0)),
+o as (select avg(case when cand > tc.thr then 1e0 else 0e0 end) - avg(case when champ > th.thr then 1e0 else 0e0 end) point from cases cross join tc cross join th where y = 1)
+select round(point, 9) point, lo, hi, n from o, (select round(quantile_cont(d, 0.025), 9) lo, round(quantile_cont(d, 0.975), 9) hi, count(d) n from e)""",
 )
 def _(s, d):
-    c = v.cases(s, d)
-    return resample.paired_delta(c, resample.hashed_weights(c, 40)).select(r9("lo").alias("lo"), r9("hi").alias("hi"), "n")
-
-
-@query("a7_paired_bootstrap_2000")
-def _(s, d):
-    c = v.cases(s, d)
-    return resample.paired_delta(c, resample.hashed_weights(c, 2000)).select(r9("lo").alias("lo"), r9("hi").alias("hi"), "n")
+    return resample.paired_delta(v.cases(s, d)).select(r9("point").alias("point"), r9("lo").alias("lo"), r9("hi").alias("hi"), "n")
 
 
 @query("a6_bootstrap_drawn")
@@ -117,11 +124,6 @@ def _(s, d):
     return resample.bootstrap(v.cases(s, d), ["cand", "champ"])
 
 
-@query("r1_weights", f"with {CASES}, p as (select distinct pid from cases) select it, pid, ('0x' || substr(md5(cast(it as varchar) || '|' || cast(pid as varchar)), 1, 4))::bigint % 4 w from p cross join range(5) r(it)")
-def _(s, d):
-    return resample.hashed_weights(v.cases(s, d), 5).select(F.col("it").cast("bigint").alias("it"), "pid", "w")
-
-
 @query(
     "a8_efficiency",
     f"with {CASES}, {_THR}, {REPORTS}, s as (select avg(case when cand > thr then 1e0 else 0e0 end) v from cases cross join t where y = 1), c as (select sum(tool_calls) c, sum(usd) u, sum(wall_ms) w from reports) select round(v, 9) sensitivity, round(v / (c / 1000e0), 9) per_1k_calls, round(v / u, 9) per_usd, round(v / (w / 60000e0), 9) per_minute from s, c",
@@ -207,9 +209,9 @@ def _(s, d):
     return events.regressions(r.where("policy_id = 'p2'"), r.where("policy_id = 'p1'")).select("regressions", "failed", F.array_join("first5", ",").alias("first5"))
 
 
-@query("a20_transfer_matrix", f"with {REPLAYS} select policy_id, bool_or(passed) filter (record_id = 'r001') r001, bool_or(passed) filter (record_id = 'r002') r002, bool_or(passed) filter (record_id = 'r003') r003 from replays group by 1")
+@query("a20_transfer_matrix", f"with {REPLAYS} select policy_id, record_id, bool_or(passed) passed from replays group by all")
 def _(s, d):
-    return events.transfer_matrix(v.replays(s, d), ["r001", "r002", "r003"])
+    return events.transfers(v.replays(s, d))
 
 
 @query("a20_flips", f"with {REPLAYS}, l as (select *, lag(passed) over (partition by record_id order by ts) b from replays) select record_id, policy_id from l where b and not passed")
@@ -217,30 +219,6 @@ def _(s, d):
     return events.flips(v.replays(s, d))
 
 
-@query("a18_pass_rate_all", f"with {ALL_REPLAYS} select policy_id, round(avg(passed::int), 9) pass_rate from replays where status = 'confirmed' and policy_id = 'p1' group by 1")
-def _(s, d):
-    return events.pass_rate(v.all_replays(s, d).where("policy_id = 'p1'")).select(F.lit("p1").alias("policy_id"), r9("pass_rate").alias("pass_rate"))
-
-
-@query(
-    "a19_regressions_all",
-    f"with {ALL_REPLAYS}, c as (select record_id, passed from replays where policy_id = 'p2' and status = 'confirmed'), h as (select record_id, passed b from replays where policy_id = 'p1'), j as (select c.*, coalesce(b, false) b from c left join h using (record_id)) select count(*) filter (not passed and b) regressions, count(*) filter (not passed) failed, array_to_string(list_slice(list_sort(list(record_id) filter (not passed and b)), 1, 5), ',') first5 from j",
-)
-def _(s, d):
-    r = v.all_replays(s, d)
-    return events.regressions(r.where("policy_id = 'p2'"), r.where("policy_id = 'p1'")).select("regressions", "failed", F.array_join("first5", ",").alias("first5"))
-
-
-@query("a20_transfer_all", f"with {ALL_REPLAYS} select policy_id, record_id, bool_or(passed) passed from replays group by all")
-def _(s, d):
-    return events.transfers(v.all_replays(s, d))
-
-
-@query("a20_flips_all", f"with {ALL_REPLAYS}, l as (select *, lag(passed) over (partition by record_id order by ts) b from replays) select record_id, policy_id from l where b and not passed")
-def _(s, d):
-    return events.flips(v.all_replays(s, d))
-
-
 @query("a21_efficiency_ratio", f"with {REPORTS}, g as (select avg(case when arm = 'cand' then usd end) cu, avg(case when arm = 'champ' then usd end) hu, avg(case when arm = 'cand' then tool_calls end) ct, avg(case when arm = 'champ' then tool_calls end) ht from reports) select round(cu / hu, 9) cost_ratio, round(ct / ht, 9) call_ratio from g")
 def _(s, d):
     return sequential.efficiency_ratios(v.reports(s, d)).select(r9("cost_ratio").alias("cost_ratio"), r9("call_ratio").alias("call_ratio"))
@@ -326,8 +304,8 @@ def _(s, d):
 
 @query("x21_gate")
 def _(s, d):
-    r = v.all_replays(s, d)
-    return gate.run_gate(v.cases(s, d), {"iterations": 1000}, ["site", "density"], rerun="rerun", regressions=events.regressions(r.where("policy_id = 'p2'"), r.where("policy_id = 'p1'")), costs=v.reports(s, d), path=_path(s, d))
+    r = v.replays(s, d)
+    return gate.run_gate(v.cases(s, d), None, ["site", "density"], rerun="rerun", regressions=events.regressions(r.where("policy_id = 'p2'"), r.where("policy_id = 'p1'")), costs=v.reports(s, d), path=_path(s, d))
 
 
 # -- candidates and decisions --------------------------------------------------------
@@ -442,12 +420,7 @@ def _(s, d):
     return cand.findings(k, m).select("case_id", "candidate_id", "assessment")
 
 
-@query("p10_tags", "select doc_id, regexp_matches(source, '^[A-Za-z0-9_.:+/=-]{1,64}$') and regexp_matches(substr(text, 1, 20), '^[A-Za-z0-9_.:+/=-]{1,64}$') valid from documents")
-def _(s, d):
-    return v.table(s, d, "documents").select("doc_id", expr.valid_tags(F.create_map("source", F.substring("text", 1, 20))).alias("valid"))
-
-
-@query("p10_tags_whole")
+@query("p10_tags", "select doc_id, regexp_matches(source, '^[A-Za-z0-9_.:+/=-]{1,64}$') and regexp_matches(text, '^[A-Za-z0-9_.:+/=-]{1,64}$') valid from documents")
 def _(s, d):
     return v.table(s, d, "documents").select("doc_id", expr.valid_tags(F.create_map("source", "text")).alias("valid"))
 
@@ -480,28 +453,13 @@ def _(s, d):
     return splits.near_images(_signs(s, d), 15, key="vec_id")
 
 
-@query("j5_nearest_record", "with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings), j as (select n.vec_id new_id, r.vec_id record_id, list_cosine_similarity(n.v, r.v) c from e n join e r on n.label = r.label where n.vec_id % 2 = 1 and n.vec_id < 200 and r.vec_id % 2 = 0), k as (select *, row_number() over (partition by new_id order by c desc, record_id desc) rn from j where c >= 0.2) select new_id, record_id from k where rn = 1")
-def _(s, d):
-    e = v.vectors(s, d)
-    kind = [F.lit("recall").alias("expected"), F.lit("no_recall").alias("observed")]
-    n = e.where("vec_id % 2 = 1 and vec_id < 200").select(F.col("vec_id").alias("new_id"), "label", "embedding", *kind)
-    r = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("record_id"), "label", "embedding", F.lit("confirmed").alias("status"), *kind)
-    return events.nearest_record(n, r, 0.2).select("new_id", "record_id")
-
-
-@query("j6_nearest", "with e as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings), j as (select q.vec_id query_id, a.vec_id atlas_id, list_distance(q.v, a.v) x from e q join e a on q.vec_id < 20 and a.vec_id >= 20), k as (select *, row_number() over (partition by query_id order by round(x, 4), atlas_id) rn from j) select query_id, atlas_id, cast(rn as int) rank from k where rn <= 5")
-def _(s, d):
-    e = v.vectors(s, d)
-    return splits.nearest(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id >= 20").select(F.col("vec_id").alias("atlas_id"), "embedding"))
-
-
-@query("j5_nearest_record_all")
+@query("j5_nearest_record", "with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings), j as (select n.vec_id new_id, r.vec_id record_id, list_cosine_similarity(n.v, r.v) c from e n join e r on n.label = r.label and n.vec_id <> r.vec_id where n.vec_id % 20 = 0), k as (select *, row_number() over (partition by new_id order by c desc, record_id desc) rn from j where c >= 0.2) select new_id, record_id from k where rn = 1")
 def _(s, d):
     e = v.vectors(s, d).select("vec_id", "label", "embedding", F.lit("confirmed").alias("status"), F.lit("recall").alias("expected"), F.lit("no_recall").alias("observed"))
     return events.nearest_record(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "new_id"), e.withColumnRenamed("vec_id", "record_id"), 0.2, others=True).select("new_id", "record_id")
 
 
-@query("j6_nearest_all")
+@query("j6_nearest", "with e as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings), j as (select q.vec_id query_id, a.vec_id atlas_id, list_distance(q.v, a.v) x from e q join e a on q.vec_id <> a.vec_id where q.vec_id % 20 = 0), k as (select *, row_number() over (partition by query_id order by round(x, 4), atlas_id) rn from j) select query_id, atlas_id, cast(rn as int) rank from k where rn <= 5")
 def _(s, d):
     e = v.vectors(s, d)
     return splits.nearest(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("atlas_id"), "embedding"), others=True)
@@ -602,7 +560,7 @@ def _(s, d):
     return events.replay(r, dec, "p9")
 
 
-_LINE = "reg as (select o_orderkey id, case when o_orderkey >= 10 then o_orderkey // 2 end parent from orders where o_orderkey < 2000)"
+_LINE = "reg as (select o_orderkey id, case when o_orderkey >= 10 then o_orderkey // 2 end parent from orders)"
 
 
 @query("x18_lineage", f"with recursive {_LINE}, up as (select id, parent, 0 depth from reg where id = 1500 union all select r.id, r.parent, depth + 1 from reg r join up on r.id = up.parent) select id policy_id, depth from up")
@@ -675,13 +633,7 @@ def _(s, d):
 _LOGIT = "ln((cand + 1e-9) / (1 - cand + 1e-9))"
 
 
-@query("x11_temperature", f"with {CASES}, g as (select range k, 0.1e0 * pow(100e0, range / 11e0) t from range(12)), p as (select k, t, y, 1 / (1 + exp(-greatest(-30e0, least(30e0, {_LOGIT} / t)))) p from cases cross join g), n as (select k, t, avg(-(y * ln(p + 1e-9) + (1 - y) * ln(1 - p + 1e-9))) nll from p group by all) select round(t, 6) t, round(nll, 8) nll from n order by n.nll, k limit 1")
-def _(s, d):
-    c = v.cases(s, d).withColumn("logit", F.log((F.col("cand") + 1e-9) / (1 - F.col("cand") + 1e-9)))
-    return learners.best_temperature(c, grid=learners.temperature_grid(12)).select(F.round("t", 6).alias("t"), F.round("nll", 8).alias("nll"))
-
-
-@query("x11_temperature_120")
+@query("x11_temperature", f"with {CASES}, g as (select range k, 0.1e0 * pow(100e0, range / 119e0) t from range(120)), p as (select k, t, y, 1 / (1 + exp(-greatest(-30e0, least(30e0, {_LOGIT} / t)))) p from cases cross join g), n as (select k, t, avg(-(y * ln(p + 1e-9) + (1 - y) * ln(1 - p + 1e-9))) nll from p group by all) select round(t, 6) t, round(nll, 8) nll from n order by n.nll, k limit 1")
 def _(s, d):
     c = v.cases(s, d).withColumn("logit", F.log((F.col("cand") + 1e-9) / (1 - F.col("cand") + 1e-9)))
     return learners.best_temperature(c).select(F.round("t", 6).alias("t"), F.round("nll", 8).alias("nll"))

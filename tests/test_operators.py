@@ -213,17 +213,43 @@ def test_students(spark):
     rng = np.random.default_rng(0)
     x = np.column_stack([np.linspace(0, 1, 201), rng.random(201)])
     y = np.where(x[:, 0] > 0.65, 0, np.where(x[:, 0] < 0.35, 1, 2))
-    tree = learners.fit_tree(x, y, ["a", "b"])
-    df = spark.createDataFrame([(k, float(a), float(b), learners.CLASSES[t]) for k, ((a, b), t) in enumerate(zip(x, y, strict=True))], "k int, a double, b double, truth string")
+    df = spark.createDataFrame([(k, float(a), float(b), learners.CLASSES[t], "recall" if a > 0.5 else "no_recall") for k, ((a, b), t) in enumerate(zip(x, y, strict=True))], "k int, a double, b double, truth string, two string")
+    tree = learners.fit_tree(df, ["a", "b"], "truth")
     assert tree.predict(df).where("decision = truth").count() >= 0.99 * 201
-    two = np.where(x[:, 0] > 0.5, 0, 1)
-    line = learners.fit_logistic(x, two, ["a", "b"])
-    assert line.predict(df).where("decision = if(a > 0.5, 'recall', 'no_recall')").count() >= 0.98 * 201
+    line = learners.fit_logistic(df, ["a", "b"], "two")
+    assert line.predict(df).where("decision = two").count() >= 0.98 * 201
+    assert line.params["weights"][2] == [0.0, 0.0, -30.0]
     assert learners.Student.from_dict(line.to_dict(), line.student_id()).student_id() == line.student_id()
     with pytest.raises(ValueError):
         learners.Student.from_dict(line.to_dict(), "0" * 12)
 
 
+def test_students_by_plain_numpy(spark):
+    """The tree's splits against all splits tried one by one, the logistic weights against a zero gradient."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, size=(400, 3)).astype(float)
+    y = np.where(x[:, 1] + rng.normal(0, 2, 400) > 7, 0, np.where(x[:, 0] + rng.normal(0, 2, 400) < 4, 1, 2))
+    df = spark.createDataFrame([(*map(float, a), learners.CLASSES[t]) for a, t in zip(x, y, strict=True)], "a double, b double, c double, decision string").repartition(3)
+    counts = lambda k: np.bincount(y[k], minlength=3)
+
+    def check(tree, rows, deep):
+        if "leaf" in tree:
+            assert tree["leaf"] == counts(rows).tolist()
+            return
+        worth = lambda m: (counts(rows[m]) ** 2).sum() / m.sum() + (counts(rows[~m]) ** 2).sum() / (~m).sum()
+        tried = {(f, t): worth(x[rows, f] <= t) for f in range(3) for t in np.arange(0.5, 11) if min((x[rows, f] <= t).sum(), (x[rows, f] > t).sum()) >= 5}
+        under = x[rows, tree["feature"]] <= tree["threshold"]
+        assert deep < 3 and worth(under) == pytest.approx(max(tried.values()))
+        check(tree["left"], rows[under], deep + 1)
+        check(tree["right"], rows[~under], deep + 1)
+
+    check(learners.fit_tree(df, ["a", "b", "c"]).params["tree"], np.arange(400), 0)
+    line = learners.fit_logistic(df, ["a", "b", "c"]).params
+    z = np.column_stack([(x - line["mean"]) / line["std"], np.ones(400)])
+    for k, w in enumerate(line["weights"]):
+        assert np.abs(z.T @ (learners.squash(z @ w) - (y == k)) + 1e-3 * np.array(w)).max() < 1e-3
+
+
 def test_head_and_temperature(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 2))
