@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.common import mapped, prepare, schema, texts
 
-#: Longest bytes that are merged directly, and first number of tokens on each side of a border.
-LEAF, WINDOW = 12, 2
+#: Longest bytes that are merged directly, first number of tokens on each side of a border, and bytes of a border window
+#: from which its merges are picked from a heap; ids that are decoded at a time.
+LEAF, WINDOW, HEAPED, DECODED = 8, 2, 64, 1 << 10
 #: Most pieces whose ids a worker remembers.
 REMEMBERED = 600_000
 NONE = 1 << 60
@@ -40,7 +42,9 @@ class Coder:
         self.pair_stable = lru_cache(maxsize=200_000)(self._pair_stable)
 
     def leaf(self, raw: bytes) -> list[int]:
-        """Merge a short run of bytes: the lowest rank first, the leftmost on ties."""
+        """Merge a run of bytes: the lowest rank first, the leftmost on ties."""
+        if len(raw) > HEAPED:
+            return self.heaped(raw)
         parts = [raw[k : k + 1] for k in range(len(raw))]
         get = self.ranks.get
         ranks = [get(parts[k] + parts[k + 1], NONE) for k in range(len(parts) - 1)]
@@ -57,6 +61,31 @@ class Coder:
                 ranks[k] = get(parts[k] + parts[k + 1], NONE)
         return [self.ranks[x] for x in parts]
 
+    def heaped(self, raw: bytes) -> list[int]:
+        """The same for a long run: pairs wait in a heap by rank and place, those that no longer stand are passed over."""
+        n, get = len(raw), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts at a place; a token's place is its first byte's
+        heap = [(r, k, k + 2) for k in range(n - 1) if (r := get(raw[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, stop = heapq.heappop(heap)
+            middle = end[k]
+            if middle < 0 or middle >= n or end[middle] != stop:
+                continue
+            end[k], end[middle] = stop, -1
+            if stop < n:
+                before[stop] = k
+                if (r := get(raw[k : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, k, end[stop]))
+            left = before[k]
+            if left >= 0 and (r := get(raw[left:stop])) is not None:
+                heapq.heappush(heap, (r, left, stop))
+        out, k = [], 0
+        while k < n:
+            out.append(self.ranks[raw[k : end[k]]])
+            k = end[k]
+        return out
+
     def _pair_stable(self, a: int, b: int) -> bool:
         return self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
@@ -107,7 +136,7 @@ class Coder:
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids: halves are decoded and concatenated up the tree."""
         at = np.frombuffer(ids, dtype="<u4")
-        if len(at) > 1 << 16:
+        if len(at) > DECODED:
             half = len(at) // 2 * 4
             return self.decode(ids[:half]) + self.decode(ids[half:])
         return b"".join(map(self.bytes_of.__getitem__, at.tolist()))

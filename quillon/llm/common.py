@@ -63,9 +63,11 @@ def schema(fields: Iterable[StructField], ddl: str) -> StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node sees: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder every node sees: spark.checkpoint.dir, or, in local mode alone, a folder of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)

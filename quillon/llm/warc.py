@@ -92,46 +92,65 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(z.unused_data)
 
 
+class Damaged(ValueError):
+    """A record whose length fits and whose content does not: what stands inside it is no record of the archive."""
+
+    def __init__(self, reason: str, end: int) -> None:
+        super().__init__(reason)
+        self.end = end
+
+
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
+HEADER_LINE = re.compile(rb"([^:\r\n]+):([^\r\n]*)\r\n")
+
+
 def _parse(data: bytes, at: int) -> tuple[Record, int]:
-    """The uncompressed record at a place, and where it ends; ValueError if anything about it is wrong."""
-    head_end = data.find(b"\r\n\r\n", at)
-    if not re.match(rb"WARC/1\.[01]\r?\n", data[at : at + 12]):
+    """The uncompressed record at a place, and where it ends; ValueError if anything about it is wrong.
+
+    Lines are read one by one up to the first that is no header, so a false version line costs no more than them.
+    """
+    found = VERSION_LINE.match(data, at)
+    if not found:
         raise ValueError("no version line")
-    if head_end < 0:
-        raise ValueError("header is cut off")
     headers: dict[str, str] = {}
-    for line in data[at:head_end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise ValueError("bad header line")
-        headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdecimal():
+    start = found.end()
+    while data[start : start + 2] != b"\r\n":
+        line = HEADER_LINE.match(data, start)
+        if not line:
+            raise ValueError("bad header line" if data.find(b"\n", start, start + (1 << 16)) >= 0 else "header is cut off")
+        headers[line[1].decode("latin-1").strip().lower()] = line[2].decode("utf-8", "replace").strip()
+        start = line.end()
+    if not (headers.get("content-length", "").isascii() and headers.get("content-length", "").isdecimal()):
         raise ValueError("no length")
-    start = head_end + 4
+    start += 2
     end = start + int(headers["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("length does not fit")
     record = Record(headers, data[start:end])
     said = headers.get("warc-block-digest", "")
-    if said and said != f"sha1:{digest(record.content)}":
-        raise ValueError("block digest does not fit")
-    if headers.get("warc-type") == "response" and (said := headers.get("warc-payload-digest", "")) and said != f"sha1:{digest(record.payload)}":
-        raise ValueError("payload digest does not fit")
+    if said.startswith("sha1:") and said != f"sha1:{digest(record.content)}":
+        raise Damaged("block digest does not fit", end + 4)
+    if headers.get("warc-type") == "response" and (said := headers.get("warc-payload-digest", "")).startswith("sha1:") and said != f"sha1:{digest(record.payload)}":
+        raise Damaged("payload digest does not fit", end + 4)
     return record, end + 4
 
 
 def salvage(data: bytes) -> Salvaged:
     """All intact records of an archive, compressed or not, in order.
 
-    Where a record or member fails its checks, the search goes on at the next gzip magic or version line; the
-    bytes up to the next intact record are a gap. Every byte lies in a record or in a gap.
+    Where a record or member fails its checks, the search goes on at the next gzip magic or version line, or, where
+    its length fits and only a digest does not, after its end: a record that stands in the payload of a damaged one
+    is not taken for one of the archive. The bytes up to the next intact record are a gap. Every byte lies in a
+    record or in a gap. Digests of other kinds than sha1 are not checked.
     """
     out, at, view = Salvaged(), 0, memoryview(data)
     bad: tuple[int, str] | None = None
     while at < len(data):
+        later, end = at + 1, at
         try:
             if data[at : at + 3] == GZIP:
                 body, end = _inflate(view, at)
+                later = end  # the member is sound; if its records are not, there is nothing to find inside it
                 found, k = [], 0
                 while k < len(body):
                     record, k = _parse(body, k)
@@ -145,8 +164,10 @@ def salvage(data: bytes) -> Salvaged:
                 found = [record]
         except (ValueError, zlib.error) as error:
             bad = bad or (at, str(error))
-            later = CANDIDATE.search(data, at + 1)
-            at = later.start() if later else len(data)
+            if isinstance(error, Damaged) and data[at : at + 3] != GZIP:
+                later = error.end
+            candidate = CANDIDATE.search(data, later)
+            at = candidate.start() if candidate else len(data)
             continue
         if bad:
             out.gaps.append((bad[0], at, bad[1]))
@@ -196,6 +217,11 @@ def _number(value: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
+def _length(value: str | None, otherwise: int) -> int:
+    """A length as the header gives it; archives of other writers may have none, or something else there."""
+    return int(value) if value and re.fullmatch(r"[0-9]{1,18}", value) else otherwise
+
+
 def read_archives(archives: DataFrame, key: str = "page_id", payload: bool = False) -> DataFrame:
     """One row per intact record: key, payload_bytes, payload_digest, record_type, refers_to and, with payload, url and html."""
     names = [key, "payload_bytes", "payload_digest", "record_type", "refers_to", *(["url", "html"] if payload else [])]
@@ -207,7 +233,7 @@ def read_archives(archives: DataFrame, key: str = "page_id", payload: bool = Fal
                 h = [r.headers for r in found]
                 cols = [
                     pa.array([_number(x.get("warc-record-id")) for x in h], pa.int64()),
-                    pa.array([int(x.get("warc-payload-length", len(r.payload))) for x, r in zip(h, found, strict=True)], pa.int64()),
+                    pa.array([_length(x.get("warc-payload-length"), len(r.payload)) for x, r in zip(h, found, strict=True)], pa.int64()),
                     pa.array([x.get("warc-payload-digest", "").removeprefix("sha1:") for x in h], pa.string()),
                     pa.array([x.get("warc-type") for x in h], pa.string()),
                     pa.array([_number(x.get("warc-refers-to")) for x in h], pa.int64()),

@@ -154,6 +154,52 @@ def test_bpe_joins(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and c.decode(ids) == t.encode()
 
 
+def test_bpe_of_very_long_words():
+    import base64
+    import time
+
+    import public_tokenizers
+    import tiktoken
+
+    from quillon.llm.bpe import coder
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    c = coder(path, public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    rng = random.Random(3)
+    for t in ("".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "ab" * 20_000, "a" * 30_001):
+        begun = time.time()
+        ids = c.encode(t)
+        assert time.time() - begun < 20
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and c.decode(ids) == t.encode()
+
+
+def test_salvage_of_hostile_archives():
+    import time
+
+    from quillon.llm.warc import salvage, write_record
+
+    # a record inside the payload of a damaged one is not taken for a record
+    inner = write_record(77, "u", b"inner", compress=False)
+    raw = bytearray(write_record(1, "u", b"before " + inner + b" after", compress=False) + write_record(2, "u", b"fine", compress=False))
+    raw[raw.index(b"before")] ^= 1
+    out = salvage(bytes(raw))
+    assert [r.headers["warc-record-id"] for r in out.records] == ["<urn:page:2>"] and len(out.gaps) == 1
+    for false in (b"WARC/1.0\r\n" * 40_000, b"WARC/1.0\r\nA: b\r\n" * 20_000, b"WARC/1.0\r\n" + b"A: b\r\n" * 60_000):
+        begun = time.time()
+        out = salvage(false + write_record(3, "u", b"x", compress=False))
+        assert [r.headers["warc-record-id"] for r in out.records] == ["<urn:page:3>"] and out.gaps[0][:2] == (0, len(false)) and time.time() - begun < 5
+
+
+def test_foreign_archives(spark):
+    from quillon.llm.warc import read_archives
+
+    body = b"HTTP/1.1 200 OK\r\n\r\nhi"
+    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Length: many\r\nWARC-Block-Digest: md5:00\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    row = read_archives(spark.createDataFrame([(1, bytearray(raw))], "archive bigint, data binary")).first()
+    assert (row.page_id, row.payload_bytes, row.record_type) == (None, 2, "response")
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("abcAB ", max_size=30), min_size=1, max_size=12), st.lists(st.text("abcd ", max_size=20), min_size=1, max_size=4))
 def test_ppm(train, other):
