@@ -678,60 +678,108 @@ def _(s, d):
     return s.createDataFrame([(k, float(w)) for k, w in enumerate([*h.weights, h.bias])], "k int, weight double")
 
 
+def _labelled(s, d):
+    """Cases with the decision that fixed thresholds of their score give."""
+    return v.cases(s, d).select("case_id", "cand", "champ", F.when(F.col("cand") > 0.65, "recall").when(F.col("cand") < 0.35, "no_recall").otherwise("defer_to_human").alias("decision"))
+
+
+@query("x13_fit_logistic")
+def _(s, d):
+    p = learners.fit_logistic(_labelled(s, d), ["cand", "champ"]).params
+    return s.createDataFrame([(c, k, float(w)) for c, row in zip(learners.CLASSES, p["weights"], strict=True) for k, w in enumerate(row)], "class string, k int, weight double")
+
+
+@query("x14_fit_tree", f"with {CASES} select case_id, case when cand > 0.65e0 then 'recall' when cand < 0.35e0 then 'no_recall' else 'defer_to_human' end decision from cases where cand < 0.34e0 or cand between 0.36e0 and 0.64e0 or cand > 0.66e0")
+def _(s, d):
+    """Away from its thresholds, a tree fitted to a rule of two thresholds decides as the rule does."""
+    c = _labelled(s, d)
+    tree = learners.fit_tree(c, ["cand", "champ"])
+    return tree.predict(c.drop("decision")).where("cand < 0.34 or cand between 0.36 and 0.64 or cand > 0.66").select("case_id", "decision")
+
+
 # -- images: no SQL, tested against plain numpy -------------------------------------------------
 
 
-def _images(s):
+def _images(s, d):
+    """An image for each supplier, a dozen at least."""
     from quillon.sources.phantom import generate
 
-    return generate(s, patients=12, images=1, prevalence=0.5, size=96)
+    return generate(s, patients=max(12, v.table(s, d, "supplier").count()), images=1, prevalence=0.5, size=96)
 
 
 @query("s13_phantom")
 def _(s, d):
-    return _images(s).select("case_id", "patient_id", "site", "label", F.size("pixels").alias("n_pixels"))
+    return _images(s, d).select("case_id", "patient_id", "site", "label", F.size("pixels").alias("n_pixels"))
 
 
 @query("x2_detect")
 def _(s, d):
     from quillon.operators.kernels import detect
 
-    return detect(_images(s))
+    return detect(_images(s, d))
 
 
 @query("x3_reads")
 def _(s, d):
     from quillon.operators.kernels import reads
 
-    return reads(_images(s))
+    return reads(_images(s, d))
 
 
 @query("x5_segments")
 def _(s, d):
     from quillon.operators.kernels import detect, segments
 
-    return segments(_images(s), detect(_images(s)))
+    return segments(_images(s, d), detect(_images(s, d)))
 
 
 @query("x9_embeddings")
 def _(s, d):
     from quillon.operators.kernels import embeddings
 
-    return embeddings(_images(s)).select("case_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return embeddings(_images(s, d)).select("case_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query("x6_measurements")
+def _(s, d):
+    from quillon.operators.kernels import detect, measurements
+
+    return measurements(_images(s, d), detect(_images(s, d)))
+
+
+def _earlier(im):
+    """Each image moved by four rows and three columns."""
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda x: F.get("pixels", ((y + 4) % F.col("h")) * F.col("w") + (x + 3) % F.col("w")))))
+    return im.select("case_id", rows.alias("pixels"), "h", "w")
+
+
+@query("x7_registrations")
+def _(s, d):
+    from quillon.operators.kernels import registrations
+
+    return registrations(_images(s, d), _earlier(_images(s, d)))
+
+
+@query("x8_comparisons")
+def _(s, d):
+    from quillon.operators.kernels import comparisons
+
+    im = _images(s, d)
+    return comparisons(im, _earlier(im), im.select("case_id", F.lit(20).alias("x0"), F.lit(20).alias("y0"), F.lit(60).alias("x1"), F.lit(60).alias("y1")))
 
 
 @query("h7_average_hash")
 def _(s, d):
     from quillon.operators.kernels import hashes
 
-    return hashes(_images(s))
+    return hashes(_images(s, d))
 
 
 @query("x22_image_pipeline")
 def _(s, d):
     from quillon.operators import kernels as k
 
-    im = _images(s)
+    im = _images(s, d)
     base, second = k.detect(im), k.detect(im, "blindspot")
     qc = im.select("case_id", cand.quality_verdict(F.col("pixels")).alias("qc"))
     return cand.run_cases(qc, base, k.reads(im), second)

@@ -173,3 +173,41 @@ def test_tags_are_judged_whole(spark, tmp_path):
     pd.DataFrame({"doc_id": range(5), "source": ["web"] * 5, "text": texts}).to_parquet(tmp_path / "documents.parquet")
     got = {r.doc_id: r.valid for r in QUERIES["p10_tags"](spark, str(tmp_path)).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False}
+
+
+def test_image_queries_are_the_kernels(spark, sf_dir):
+    """Each image query, row by row, against the plain kernel on the same pixels."""
+    import numpy as np
+
+    from quillon.operators import kernels as k
+    from quillon.plans.queries import _images
+
+    images = {r.case_id: np.array(r.pixels, np.float32).reshape(r.h, r.w) for r in _images(spark, sf_dir).collect()}
+    rows = lambda name: [r.asDict() for r in QUERIES[name](spark, sf_dir).collect()]
+    boxes = {(c, f"p{n}"): b for c, im in images.items() for n, b in enumerate(k.propose(im))}
+    assert {(r["case_id"], r["candidate_id"]): (r["x0"], r["y0"], r["x1"], r["y1"], r["score"]) for r in rows("x2_detect")} == boxes
+    assert sorted((r["case_id"], r["read_id"], r["x0"], r["y0"], r["score"]) for r in rows("x3_reads")) == sorted((c, b[0], b[1], b[2], b[5]) for c, im in images.items() for b in k.shifted_reads(im))
+    for name, fn in (("x5_segments", k.segment), ("x6_measurements", k.measure)):
+        got = {(r.pop("case_id"), r.pop("candidate_id")): r for r in rows(name)}
+        assert got.keys() == boxes.keys()
+        for (c, n), r in got.items():
+            want = fn(images[c], boxes[c, n][:4])
+            assert {x: r[x] for x in want} == want
+    assert {r["case_id"]: r["ahash"] for r in rows("h7_average_hash")} == {c: k.average_hash(im) for c, im in images.items()}
+    for r in rows("x9_embeddings"):
+        assert r["embedding"] == pytest.approx(k.embed(images[r["case_id"]]).tolist(), abs=1e-5)
+    assert {(r["dy"], r["dx"], r["passed"]) for r in rows("x7_registrations")} == {(4, 3, True)}
+    assert {(r["status"], r["change"]) for r in rows("x8_comparisons")} == {("compared", "stable_within_measurement_error")}
+
+
+def test_logistic_query_has_a_zero_gradient(spark, sf_dir):
+    import numpy as np
+
+    c = _cases(sf_dir)
+    x = c[["cand", "champ"]].to_numpy()
+    y = np.where(c.cand > 0.65, 0, np.where(c.cand < 0.35, 1, 2))
+    z = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones(len(x))])
+    rows = sorted(QUERIES["x13_fit_logistic"](spark, sf_dir).collect(), key=lambda r: (["recall", "no_recall", "defer_to_human"].index(r["class"]), r.k))
+    for k in range(3):
+        w = np.array([r.weight for r in rows[3 * k : 3 * k + 3]])
+        assert np.abs(z.T @ (1 / (1 + np.exp(-(z @ w))) - (y == k)) + 1e-3 * w).max() < 1e-3 * len(x)
