@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from quillon.functions.expr import box, center_inside, iou, near_center
 
 #: Parameters of the default policy.
-DEFAULTS = {"min_reproduced": 3, "max_zoom_crops": 8, "zoom_score_ratio": 0.4, "fp_max_aspect_ratio": 3.0, "blindspot_min_score": 0.55, "band_low": 0.35, "band_high": 0.65, "max_disagreement": 0.4, "fast_negative_max_score": 0.2}
+DEFAULTS = {
+    "min_reproduced": 3, "max_zoom_crops": 8, "zoom_score_ratio": 0.4, "fp_max_aspect_ratio": 3.0, "blindspot_min_score": 0.55, "band_low": 0.35, "band_high": 0.65, "max_disagreement": 0.4, "fast_negative_max_score": 0.2,
+    "fast_negative_requires_blindspot_clean": True, "llm_on_rule_deferral": True, "llm_on_conformal_ambiguous": True, "llm_max_fraction": 0.25, "student_min_confidence": None,
+}
 
 
 def quality_verdict(pixels: Column) -> Column:
@@ -146,23 +149,3 @@ def findings(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Kept candidates with the assessment their case's map gives them, uncertain by default."""
     j = candidates.where("kept").join(verdicts, "case_id", "left")
     return j.withColumn("assessment", F.coalesce(F.try_element_at("per_candidate", F.col("candidate_id").cast("string")), F.lit("uncertain"))).drop("per_candidate")
-
-
-def run_cases(cases: DataFrame, candidates: DataFrame, reads: DataFrame, blindspots: DataFrame, n_reads: int = 5, policy: dict | None = None) -> DataFrame:
-    """The flagship path over all cases at once: (case_id, qc, lane, n_kept, case_score, disagreement, n_blindspot, decision).
-
-    cases has case_id and qc. Inadequate cases are deferred with score 0.5 and disagreement 1 and take no lane.
-    """
-    p = DEFAULTS | (policy or {})
-    kept = reproduction(candidates, reads, n_reads, least=p["min_reproduced"])
-    left = unexamined(blindspots, candidates, p["blindspot_min_score"]).groupBy("case_id").agg(F.count("*").alias("n_blindspot"))
-    tops = candidates.groupBy("case_id").agg(F.max("score").alias("top"))
-    out = cases.join(tops, "case_id", "left").join(left, "case_id", "left").join(case_score(kept), "case_id", "left").join(disagreement(reads), "case_id", "left")
-    out = out.join(kept.groupBy("case_id").agg(F.count_if("kept").alias("n_kept")), "case_id", "left")
-    out = out.withColumns({"n_blindspot": F.coalesce("n_blindspot", F.lit(0)), "n_kept": F.coalesce("n_kept", F.lit(0)), "case_score": F.coalesce("case_score", F.lit(0.0)), "disagreement": F.coalesce("disagreement", F.lit(0.0))})
-    bad = F.col("qc") == "inadequate_defer"
-    out = out.withColumn("lane", F.when(~bad, lane(F.col("top"), F.col("n_blindspot"), p["fast_negative_max_score"])))
-    fast = F.col("lane") == "fast_negative"
-    out = out.withColumns({"case_score": F.when(bad, 0.5).when(fast, 0.0).otherwise(F.col("case_score")), "disagreement": F.when(bad, 1.0).when(fast, 0.0).otherwise(F.col("disagreement")), "n_kept": F.when(fast | bad, 0).otherwise(F.col("n_kept"))})
-    decision = decide(F.col("qc"), F.col("disagreement"), F.col("case_score"), F.col("n_blindspot"), p["band_low"], p["band_high"], p["max_disagreement"])
-    return out.select("case_id", "qc", "lane", "n_kept", "case_score", "disagreement", "n_blindspot", decision.alias("decision"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -231,6 +229,47 @@ def tool_calls(events: DataFrame) -> DataFrame:
     return g.groupBy("case_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tool", "n")))).alias("calls"))
 
 
+#: What a case may have spent on a language model: event columns and the names of their sums.
+SPENT = {"turns": "llm_turns", "input_tokens": "llm_input_tokens", "output_tokens": "llm_output_tokens", "cache_read_tokens": "llm_cache_read_tokens", "usd": "llm_usd"}
+
+
+def case_costs(marks: DataFrame) -> DataFrame:
+    """One row for each case: tool calls (all and by tool), memo hits, detector pixels, wall times, language-model spend.
+
+    marks has (case_id, kind, ts, tool, wall_ms, pixels, cached) and the columns of SPENT; kind is start, finish, tool or
+    llm. wall_ms is from the first start to the last finish, null unless both are there; ts is in milliseconds. Null
+    numbers are 0, a null case_id is the unnamed case, null tools count as "". Sums are partial by tool before a case meets.
+    """
+    tool, llm = F.col("kind") == "tool", F.col("kind") == "llm"
+    number = lambda when, c: F.sum(F.when(when, F.coalesce(F.col(c), F.lit(0))).otherwise(0))
+    per = marks.groupBy("case_id", F.when(tool, F.coalesce("tool", F.lit(""))).alias("tool")).agg(
+        F.count_if(tool).alias("calls"), F.count_if(tool & F.col("cached")).alias("cached_hits"), number(tool, "pixels").alias("detector_pixels"), number(tool, "wall_ms").alias("tool_wall_ms"),
+        F.min(F.when(F.col("kind") == "start", F.col("ts"))).alias("a"), F.max(F.when(F.col("kind") == "finish", F.col("ts"))).alias("b"), *(number(llm, c).alias(name) for c, name in SPENT.items()),
+    )
+    named = F.collect_list(F.when(F.col("tool").isNotNull(), F.struct("tool", "calls")))
+    return per.groupBy("case_id").agg(
+        F.map_from_entries(F.array_sort(named)).alias("tool_calls"), F.sum("calls").alias("total_tool_calls"), *(F.sum(c).alias(c) for c in ("cached_hits", "detector_pixels")),
+        (F.max("b") - F.min("a")).alias("wall_ms"), F.sum("tool_wall_ms").alias("tool_wall_ms"), *(F.sum(name).alias(name) for name in SPENT.values()),
+    )
+
+
+def lane_counts(routes: DataFrame) -> DataFrame:
+    """The router's counters by lane: (lane, n, wanted, absorbed, invoked, denied) of the routed cases."""
+    flags = {"wanted": "escalation_wanted", "absorbed": "student_absorbed", "invoked": "llm_invoked", "denied": "llm_denied_by_cap"}
+    return routes.where("lane is not null").groupBy("lane").agg(F.count("*").alias("n"), *(F.count_if(F.col(c)).alias(name) for name, c in flags.items()))
+
+
+def audit_log(evaluations: DataFrame, by: str, seq: str) -> DataFrame:
+    """Gate evaluations (by, seq, policy_id, gate_passed, e_value, checks) as chained entries (by, seq, kind, body, hashes).
+
+    One chain for each value of by. The body has the verdict, the e-value ("none" without one) and the checks.
+    """
+    told = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    body = F.concat_ws("|", F.lit("gate_evaluation"), told("policy_id", ""), F.when(F.coalesce("gate_passed", F.lit(False)), "passed").otherwise("failed"), told("e_value", "none"), told("checks", ""))
+    entries = evaluations.select(by, seq, F.lit("gate_evaluation").alias("kind"), body.alias("body"))
+    return chain(entries, by, seq, "body")
+
+
 class Breaker:
     """Grants the n-th request while fewer than ceil(fraction * seen) were granted; a fold, since a grant depends on those before."""
 
@@ -243,15 +282,19 @@ class Breaker:
         return bool(allowed)
 
 
-def admitted(cases: DataFrame, fraction: float, by: str, order: str = "seq", wants: str = "wants") -> DataFrame:
-    """(by, order, granted) for cases that want the expensive lane, in order; one breaker for each batch of column by."""
+def admitted(cases: DataFrame, fraction: float, by: str, order: str = "seq", wants: str = "wants", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(by, order, keep, granted) for cases that want the expensive lane, in order; one breaker for each batch of column by.
+
+    The breaker's fold as sums: the slack, what is allowed so far less what was wanted so far, falls by one at most, and
+    the wish that takes it to a negative value for the first time is denied. Null wishes are none; cases that tie in
+    order come in any order among them.
+    """
+    from quillon.plans.prefix import running_by
 
-    def run(batches: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        rows, b, out = batches.sort_values(order), Breaker(fraction), []
-        for want in rows[wants]:
-            b.seen += 1
-            out.append(bool(want) and b.admit())
-        return pd.DataFrame({by: rows[by], order: rows[order], "granted": out})
+    want = F.coalesce(F.col(wants), F.lit(False))
+    at = running_by(cases.select(by, order, *keep, want.alias("_want")), [by], order, {"_n": F.lit(1).cast("bigint"), "_w": F.col("_want").cast("bigint")})
+    at = at.withColumn("_slack", F.ceil(F.lit(float(max(fraction, 0.0))) * F.col("_n")) - F.col("_w"))
+    denied = at.where("_slack < 0").groupBy(by, "_slack").agg(F.min("_n").alias("_n")).alias("d")
+    out = at.alias("a").join(denied, F.col(f"a.{by}").eqNullSafe(F.col(f"d.{by}")) & (F.col("a._n") == F.col("d._n")), "left")
+    return out.select(f"a.{by}", f"a.{order}", *(f"a.{c}" for c in keep), (F.col("_want") & F.col("d._n").isNull()).alias("granted"))
 
-    kinds = dict(cases.dtypes)
-    return cases.select(by, order, wants).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, granted boolean")

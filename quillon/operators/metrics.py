@@ -6,10 +6,12 @@ tables give null where the metric needs both classes, unless stated otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.prefix import numbered, running
+from quillon.plans.prefix import numbered, running, running_by
 
 
 def by_score(df: DataFrame, y: str = "y", score: str = "score", weight: Column | None = None) -> DataFrame:
@@ -26,15 +28,32 @@ def auroc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
 
 def auroc_by(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    """AUROC of each group. A group's distinct scores meet in one task."""
-    from pyspark.sql import Window
-
-    g = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("n"))
-    g = g.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
-    g = g.groupBy(*by).agg(F.sum(F.col("p") * (2 * F.col("upto") - F.col("n"))).alias("t"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    """AUROC of each group."""
+    g = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
+    g = running_by(g, by, "s", {"upto": F.col("n")})
+    g = g.groupBy(*by).agg(F.sum((F.col("p") * (2 * F.col("upto") - F.col("n"))).cast("decimal(38,0)")).alias("t"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return g.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("t").cast("double") / (2.0 * F.col("p") * F.col("n"))).alias("auroc"), (F.col("p") + F.col("n")).alias("n_cases"))
 
 
+def sensitivity_by(df: DataFrame, by: list[str], specificity: float = 0.96, y: str = "y", score: str = "score") -> DataFrame:
+    """(by, p, n, sensitivity) of each group: its positives above its own threshold at that specificity; null without both classes."""
+    g = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
+    g = running_by(g, by, "s", {"upto": F.col("n")}).alias("g")
+    sizes = g.groupBy(*(f"g.{k}" for k in by)).agg(F.sum("p").alias("pp"), F.sum("n").alias("nn")).alias("z")
+    same = lambda a, b: reduce(lambda x, z: x & z, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by))
+    k = F.least(F.greatest(F.ceil(F.lit(float(specificity)) * F.col("nn")), F.lit(1)), F.col("nn"))
+    cut = g.join(sizes, same("g", "z")).groupBy(*(F.col(f"z.{x}") for x in by)).agg(F.first("pp").alias("pp"), F.first("nn").alias("nn"), F.min(F.when((F.col("n") > 0) & (F.col("upto") >= k), F.col("s"))).alias("threshold")).alias("c")
+    above = F.sum(F.when(F.col("s") > F.col("threshold"), F.col("p")).otherwise(0))
+    out = g.join(cut, same("g", "c")).groupBy(*(F.col(f"c.{x}") for x in by)).agg(F.first("pp").alias("p"), F.first("nn").alias("n"), above.alias("hit"))
+    return out.select(*by, "p", "n", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("hit") / F.col("p")).alias("sensitivity"))
+
+
+def ablation(arms: DataFrame, specificity: float = 0.96, costs: tuple[str, ...] = ("tool_calls", "wall_ms", "usd")) -> DataFrame:
+    """(arm, auroc, sensitivity, n_cases, mean of each cost) of arms(arm, y, score, costs); a cost that is null counts as 0."""
+    means = arms.groupBy("arm").agg(*(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"mean_{c}") for c in costs))
+    return auroc_by(arms, ["arm"]).join(sensitivity_by(arms, ["arm"], specificity).select("arm", "sensitivity"), "arm").join(means, "arm")
+
+
 def threshold_at_specificity(df: DataFrame, specificity: float = 0.96, y: str = "y", score: str = "score") -> DataFrame:
     """The k-th smallest negative score, k = ceil(specificity * negatives), at least 1: an order statistic."""
     g = running(by_score(df.where(F.col(y) == 0), y, score), "s", {"upto": F.col("n")})
@@ -109,13 +128,6 @@ def efficiency(df: DataFrame, sensitivity: DataFrame, calls: str = "tool_calls",
 
 def worst_slice(df: DataFrame, attributes: list[str], specificity: float = 0.96, min_n: int = 1, y: str = "y", score: str = "score") -> DataFrame:
     """Sensitivity of every level of every attribute with min_n cases and both classes: (slice, n, sensitivity)."""
-    from pyspark.sql import Window
-
     long = df.select(F.col(y).alias("y"), F.col(score).alias("s"), F.explode(F.array(*(F.concat(F.lit(f"{a}="), F.col(a).cast("string")) for a in attributes))).alias("slice"))
-    g = long.groupBy("slice", "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    w = Window.partitionBy("slice")
-    g = g.withColumn("upto", F.sum("n").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))).withColumn("nn", F.sum("n").over(w)).withColumn("pp", F.sum("p").over(w))
-    k = F.least(F.greatest(F.ceil(F.lit(float(specificity)) * F.col("nn")), F.lit(1)), F.col("nn"))
-    g = g.withColumn("threshold", F.min(F.when(F.col("upto") >= k, F.col("s"))).over(w))
-    g = g.where("nn > 0 and pp > 0").groupBy("slice").agg(F.sum(F.col("p") + F.col("n")).alias("n"), (F.sum(F.when(F.col("s") > F.col("threshold"), F.col("p")).otherwise(0)) * 1.0 / F.sum("p")).alias("sensitivity"))
-    return g.where(F.col("n") >= min_n)
+    g = sensitivity_by(long.where("slice is not null"), ["slice"], specificity, score="s")
+    return g.where(F.col("sensitivity").isNotNull() & (F.col("p") + F.col("n") >= min_n)).select("slice", (F.col("p") + F.col("n")).alias("n"), "sensitivity")

@@ -47,7 +47,7 @@ def settings(policy: Policy, student_id: str | None = None) -> dict:
     low, high = policy.adjudicator.get("deferral_band", (0.35, 0.65))
     given = {k: v for k, v in policy.pipeline.items() if k in ("min_reproduced", "max_zoom_crops", "zoom_score_ratio", "fp_max_aspect_ratio", "blindspot_min_score")}
     given |= {"band_low": low, "band_high": high} | {k: policy.adjudicator[k] for k in ("max_disagreement",) if k in policy.adjudicator}
-    return given | ({"fast_negative_max_score": r["fast_negative_max_score"]} if "fast_negative_max_score" in r else {})
+    return given | {k: value for k, value in r.items() if k != "student_id"}
 
 
 class Registry:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,3 +41,20 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], descending: bool
 def numbered(df: DataFrame, order: str, tie: list[Column] | None = None, name: str = "rn", ranges: int = RANGES) -> DataFrame:
     """df with row numbers from 1 over the whole table, in order of a numeric column, then tie."""
     return running(df, order, {name: F.lit(1).cast("bigint")}, tie=tie, ranges=ranges)
+
+
+def running_by(df: DataFrame, by: list[str], order: str, sums: dict[str, Column], ranges: int = RANGES) -> DataFrame:
+    """df with running sums inside each group of by. Groups are cut into the same ranges, so a large one isn't one task.
+
+    Rows that tie in order get sums in any order among them; null groups are groups.
+    """
+    df = ranged(df, order, ranges)
+    key = [*by, "_range"]
+    inside = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # at most `ranges` rows of each group
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    local = df.select("*", *(F.sum(x).over(inside).alias(name) for name, x in sums.items())).alias("l")
+    totals = df.groupBy(*key).agg(*(F.sum(x).alias(name) for name, x in sums.items()))
+    offsets = totals.select(*key, *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in sums)).alias("o")
+    same = reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key))
+    return local.join(offsets, same).select(*(f"l.{c}" for c in df.columns[:-1]), *((F.col(f"l.{name}") + F.col(f"o.{name}")).alias(name) for name in sums))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import expr
 from quillon.operators import candidates as cand
-from quillon.operators import conformal, events, gate, learners, metrics, resample, sequential, splits
+from quillon.operators import case_path, conformal, events, gate, learners, metrics, resample, sequential, splits
 from quillon.plans import cases as v
 from quillon.plans.cases import BANK, BOXES, CASES, KEPT, LEDGER, REPLAYS, REPORTS
 
@@ -141,12 +141,17 @@ def _(s, d):
 
 @query(
     "a10_ablation",
-    f"with {CASES}, x as (select 'cand' arm, y, cand s from cases union all select 'champ', y, champ from cases), r as (select arm, y, rank() over (partition by arm order by s) + (count(*) over (partition by arm, s) - 1) / 2e0 r from x), g as (select arm, sum(case when y = 1 then r end) rp, sum(y) p, sum(1 - y) n from r group by arm) select arm, round((rp - p * (p + 1) / 2e0) / (cast(p as double) * n), 9) auroc, cast(p + n as bigint) n_cases from g",
+    f"""with {CASES}, x as (select 'cand' arm, case_id, y, cand s from cases union all select 'champ', case_id, y, champ from cases), r as (select *, rank() over (partition by arm order by s) + (count(*) over (partition by arm, s) - 1) / 2e0 r from x),
+g as (select arm, sum(case when y = 1 then r end) rp, sum(y) p, sum(1 - y) n, avg(case when arm = 'cand' then coalesce(nullif(case_id % 9, 0), 0) else 4 end) c, avg(case_id % 50 * 1e0) w, avg(case when arm = 'cand' then 0.25e0 else 0e0 end) u from r group by arm),
+neg as (select arm, s, row_number() over (partition by arm order by s) i, count(*) over (partition by arm) m from x where y = 0), t as (select arm, s t from neg where i = greatest(1, ceil(0.96e0 * m))), h as (select arm, avg(case when s > t then 1e0 else 0e0 end) sens from x join t using (arm) where y = 1 group by arm)
+select arm, round((rp - p * (p + 1) / 2e0) / (cast(p as double) * n), 9) auroc, round(sens, 9) sensitivity, cast(p + n as bigint) n_cases, round(c, 9) mean_tool_calls, round(w, 9) mean_wall_ms, round(u, 9) mean_usd from g join h using (arm)""",
 )
 def _(s, d):
-    c = v.cases(s, d)
-    arms = c.select("y", F.lit("cand").alias("arm"), F.col("cand").alias("score")).unionByName(c.select("y", F.lit("champ").alias("arm"), F.col("champ").alias("score")))
-    return metrics.auroc_by(arms, ["arm"]).select("arm", r9("auroc").alias("auroc"), F.col("n_cases").cast("bigint").alias("n_cases"))
+    c, k = v.cases(s, d), F.col("case_id")
+    arm = lambda name, calls, usd: c.select("y", F.lit(name).alias("arm"), F.col(name).alias("score"), calls.alias("tool_calls"), (k % 50 * 1.0).alias("wall_ms"), usd.alias("usd"))
+    arms = arm("cand", F.nullif(k % 9, F.lit(0)), F.lit(0.25)).unionByName(arm("champ", F.lit(4).cast("bigint"), F.lit(None).cast("double")))
+    out = metrics.ablation(arms)
+    return out.select("arm", r9("auroc").alias("auroc"), r9("sensitivity").alias("sensitivity"), F.col("n_cases").cast("bigint").alias("n_cases"), *(r9(x).alias(x) for x in out.columns if x.startswith("mean_")))
 
 
 @query("a11_tool_calls", "with g as (select user_id case_id, event_type tool, count(*) n from events group by all) select case_id, string_agg(tool || '=' || n, ',' order by tool) calls from g group by case_id")
@@ -351,18 +356,70 @@ def _(s, d):
     return v.patients(s, d).join(t, "case_id", "left").join(b, "case_id", "left").select("case_id", cand.lane(F.col("top"), F.coalesce("n", F.lit(0)), 0.7).alias("lane"))
 
 
-_RUN = f"""with {BOXES}, {KEPT}, t as (select case_id, max(score) top, max(case when kept then score end) sc, count(*) filter (kept) k from kept group by 1),
-left_ as (select case_id, count(*) n from blindspots b where score >= 0.55e0 and not exists (select 1 from candidates e where e.case_id = b.case_id and (((b.x0 + b.x1) / 2e0 between e.x0 and e.x1 and (b.y0 + b.y1) / 2e0 between e.y0 and e.y1) or {v.sql_iou('b', 'e')} > 0.1e0)) group by 1),
-rd as (select case_id, read_id, max(case when score >= 0.5e0 then 1 else 0 end) p from reads group by all), dis as (select case_id, avg(p) p from rd group by 1),
-j as (select p.case_id, qc, coalesce(n, 0) nb, coalesce(k, 0) k, coalesce(sc, 0) sc, coalesce(dis.p * (1 - dis.p) * 4, 0) ds, case when qc <> 'inadequate_defer' then case when coalesce(top, 0) < 0.2e0 and coalesce(n, 0) = 0 then 'fast_negative' else 'routine' end end lane from patients p left join t using (case_id) left join left_ using (case_id) left join dis using (case_id)),
-f as (select case_id, qc, lane, nb, case when lane = 'routine' then k else 0 end k, case when qc = 'inadequate_defer' then 0.5 when lane = 'routine' then sc else 0 end sc, case when qc = 'inadequate_defer' then 1 when lane = 'routine' then ds else 0 end ds from j)
-select case_id, qc, lane, k n_kept, round(sc, 9) case_score, round(ds, 9) disagreement, nb n_blindspot, case when qc = 'inadequate_defer' then 'defer_to_human' when ds > 0.4e0 then 'defer_to_human' when sc between 0.35e0 and 0.65e0 then 'defer_to_human' when sc > 0.65e0 then 'recall' when nb > 0 then 'defer_to_human' else 'no_recall' end decision from f"""
+_CROPPED = """crops as (select c.case_id, c.candidate_id, r.x0, r.y0, r.x1, r.y1, r.score from candidates c join reads r on r.case_id = c.case_id and r.event_id % 7 = c.candidate_id % 7)"""
+_LEFT = f"""left_ as (select case_id, count(*) n from blindspots b where score >= 0.55e0 and not exists (select 1 from candidates e where e.case_id = b.case_id and (((b.x0 + b.x1) / 2e0 between e.x0 and e.x1 and (b.y0 + b.y1) / 2e0 between e.y0 and e.y1) or {v.sql_iou('b', 'e')} > 0.1e0)) group by 1)"""
+_RUN = f"""with {BOXES}, {KEPT}, {_CROPPED}, {_LEFT},
+tops as (select case_id, max(score) top, count(*) m from candidates group by 1),
+lanes as (select p.case_id, qc, coalesce(n, 0) nb, m, case when qc <> 'inadequate_defer' then case when coalesce(top, 0) < 0.2e0 and coalesce(n, 0) = 0 then 'fast_negative' else 'routine' end end lane from patients p left join tops using (case_id) left join left_ using (case_id)),
+v1 as (select k.* exclude (kept, reproduced_fraction), lane = 'routine' and kept kept, case when lane = 'routine' then reproduced_fraction else 0e0 end fraction from kept k join lanes using (case_id) where lane is not null),
+v2 as (select *, kept and row_number() over (partition by case_id, kept order by candidate_id) <= 8 zoomed from v1),
+ok as (select distinct c.case_id, c.candidate_id from v2 c join crops r using (case_id, candidate_id) where zoomed and abs((r.x0 + r.x1) / 2e0 - 110e0) < 220 / 3e0 and abs((r.y0 + r.y1) / 2e0 - 100e0) < 200 / 3e0 and r.score >= 0.4e0 * c.score),
+v3 as (select v2.* exclude (kept), case when zoomed then ok.case_id is not null else kept end zoom_confirmed, kept and (case when zoomed then ok.case_id is not null else kept end) zk from v2 left join ok using (case_id, candidate_id)),
+v4 as (select *, zk and (candidate_id % 11 = 0 or candidate_id % 9 > 6) vetoed, zk and not (candidate_id % 11 = 0 or candidate_id % 9 > 6) keep from v3),
+rd as (select case_id, read_id, max(case when score >= 0.5e0 then 1 else 0 end) p from reads group by all), dis as (select case_id, 4 * avg(p) * (1 - avg(p)) ds from rd group by 1),
+agg as (select case_id, max(case when keep then score end) sc, count(*) filter (keep) k, count(*) filter (vetoed) nv, avg(fraction) fr from v4 group by 1),
+s as (select l.case_id, qc, lane, nb, coalesce(k, 0) k, coalesce(nv, 0) nv, coalesce(fr, 0) fr, case when lane is null then 0.5e0 else 0.5e0 * coalesce(sc, 0) + 0.5e0 * (l.case_id % 100 / 100e0) end sc, case when lane is null then 1e0 when lane = 'routine' and m is not null then coalesce(ds, 0) else 0e0 end ds from lanes l left join agg using (case_id) left join dis using (case_id)),
+r as (select *, case when lane is null or ds > 0.4e0 or sc between 0.35e0 and 0.65e0 then 'defer_to_human' when sc > 0.65e0 then 'recall' when nb > 0 then 'defer_to_human' else 'no_recall' end rule, ((1 - sc <= 0.45e0)::int + (sc <= 0.7e0)::int) <> 1 amb from s),
+w as (select *, lane is not null and (rule = 'defer_to_human' or amb or nb > 0) wanted from r),
+st as (select *, case when not wanted then null when fr <= 0.05e0 then case when sc <= 0.3e0 then 'no_recall' end else case when sc > 0.6e0 then 'recall' end end said from w),
+q as (select *, wanted and said is null wants, case_id % 3 batch from st),
+n as (select case_id, ceil(0.25e0 * row_number() over o) - sum(wants::int) over o slack from q where lane is not null window o as (partition by batch order by case_id rows between unbounded preceding and current row)),
+b as (select q.*, wants and not (slack < 0 and slack < coalesce(min(slack) over (partition by batch order by case_id rows between unbounded preceding and 1 preceding), 0)) inv from q join n using (case_id) union all by name select q.*, false inv from q where lane is null),
+d as (select *, case when said is not null then said when inv and case_id % 5 <> 0 then case when case_id % 2 = 0 then 'recall' else 'defer_to_human' end else rule end dec from b),
+fin as (select case_id, qc, case when inv then 'hard' else lane end lane, k n_kept, round(sc, 9) case_score, round(ds, 9) disagreement, nb n_blindspot, wanted escalation_wanted, said is not null student_absorbed, inv llm_invoked, wants and not inv llm_denied_by_cap,
+  case when lane is not null and amb and dec <> 'defer_to_human' then 'defer_to_human' else dec end decision,
+  case when lane is null then 'preflight QC' when dec <> 'defer_to_human' then case when amb then 'conformal set is not a singleton' end when said is not null then 'student' when inv then 'costly adjudicator' else 'rules' end deferral_reason from d),
+found as (select case_id, candidate_id, score, greatest(x1 - x0, y1 - y0) * 0.1e0 size_mm, case when fraction >= 0.6e0 and zoom_confirmed then case when score >= 0.5e0 then 'present' else 'uncertain' end else 'absent' end assessment from v4 where keep)"""
+
+#: Sure of low scores without reproduction and of high ones with it, unsure of the rest.
+_SURE = {"tree": {"feature": 0, "threshold": 0.05, "left": {"feature": 1, "threshold": 0.3, "left": {"leaf": [0, 9, 1]}, "right": {"leaf": [4, 3, 3]}}, "right": {"feature": 1, "threshold": 0.6, "left": {"leaf": [3, 4, 3]}, "right": {"leaf": [8, 0, 2]}}}}
+
+
+def _run(s, d):
+    """Every stage of the case path over the view of the tables as cases."""
+    c, r = v.candidates(s, d), v.reads(s, d)
+    at = r.select("case_id", (F.col("event_id") % 7).alias("_m"), "x0", "y0", "x1", "y1", "score")
+    crops = c.select("case_id", "candidate_id", (F.col("candidate_id") % 7).alias("_m")).join(at, ["case_id", "_m"]).withColumns({"width": F.lit(220), "height": F.lit(200)})
+    segments = c.select("case_id", "candidate_id", (F.col("candidate_id") % 11 != 0).alias("found"), F.lit("no seed").alias("reason"), (F.col("candidate_id") % 9 / 2.0).alias("aspect_ratio"))
+    k = F.col("case_id")
+    people = v.patients(s, d).withColumns({"head": k % 100 / 100.0, "batch": k % 3})
+    answers = people.where(k % 5 != 0).select("case_id", F.when(k % 2 == 0, "recall").otherwise("defer_to_human").alias("decision"))
+    return case_path.run(
+        people, c, r, v.blindspots(s, d), 5, {"min_reproduced": 2, "student_min_confidence": 0.75}, crops=crops, segments=segments, head="head", thresholds=s.range(1).selectExpr("0.45d as q_pos", "0.7d as q_neg"),
+        student=learners.Student("tree", ["mean_reproduced_fraction", "case_score"], _SURE), answers=answers, batch="batch",
+    )
+
+
+@query("x22_run_cases", f"{_RUN} select * from fin")
+def _(s, d):
+    r = _run(s, d).cases
+    return r.withColumns({"case_score": r9("case_score"), "disagreement": r9("disagreement")})
+
+
+@query("x22_findings", f"{_RUN} select case_id, candidate_id, score, round(size_mm, 9) size_mm, assessment from found")
+def _(s, d):
+    return _run(s, d).findings.select("case_id", "candidate_id", "score", r9("size_mm").alias("size_mm"), "assessment")
 
 
-@query("x22_run_cases", _RUN)
+@query("x22_reviews", f"{_RUN}, g as (select case_id, count(*) n, string_agg(candidate_id, ',' order by candidate_id) ids from found group by 1) select case_id, deferral_reason reason, coalesce(n, 0) n_regions, coalesce(ids, '') ids from fin left join g using (case_id) where decision = 'defer_to_human'")
 def _(s, d):
-    r = cand.run_cases(v.patients(s, d), v.candidates(s, d), v.reads(s, d), v.blindspots(s, d), 5, {"min_reproduced": 2})
-    return r.select("case_id", "qc", "lane", "n_kept", r9("case_score").alias("case_score"), r9("disagreement").alias("disagreement"), "n_blindspot", "decision")
+    r = _run(s, d).reviews
+    return r.select("case_id", "reason", F.size("regions").cast("bigint").alias("n_regions"), F.array_join(F.transform("regions", lambda x: x["candidate_id"].cast("string")), ",").alias("ids"))
+
+
+@query("x23_lane_counts", f"{_RUN} select lane, count(*) n, count(*) filter (escalation_wanted) wanted, count(*) filter (student_absorbed) absorbed, count(*) filter (llm_invoked) invoked, count(*) filter (llm_denied_by_cap) denied from fin where lane is not null group by 1")
+def _(s, d):
+    return events.lane_counts(_run(s, d).cases)
 
 
 @query(
@@ -622,12 +679,50 @@ def _(s, d):
     return enforce_budget(o, 200_000.0, 80).select("case_id", "fallback_reason", "decision")
 
 
-@query("w6_breaker")
+@query(
+    "w6_breaker",
+    f"""with {CASES}, n as (select site, case_id seq, cand > 0.2e0 wants, ceil(0.25e0 * row_number() over o) - sum((cand > 0.2e0)::int) over o slack from cases window o as (partition by site order by case_id rows between unbounded preceding and current row)),
+m as (select *, least(0, min(slack) over (partition by site order by seq rows between unbounded preceding and 1 preceding)) low from n) select site, seq, wants and slack >= coalesce(low, 0) granted from m""",
+)
 def _(s, d):
     c = v.cases(s, d).select("site", F.col("case_id").alias("seq"), (F.col("cand") > 0.2).alias("wants"))
     return events.admitted(c, 0.25, "site")
 
 
+_MARK = "case event_type when 'signup' then 'start' when 'error' then 'finish' when 'purchase' then 'llm' else 'tool' end"
+
+
+@query(
+    "x19_case_costs",
+    f"""with m as (select user_id case_id, {_MARK} kind, event_id ts, event_type tool, value wall_ms, event_id % 100 pixels, event_id % 3 = 0 cached, event_id % 4 turns, event_id % 50 i, event_id % 20 o, case when event_id % 7 > 0 then event_id % 10 end c, value / 100e0 usd from events),
+g as (select case_id, string_agg(tool || '=' || n, ',' order by tool) calls from (select case_id, tool, count(*) n from m where kind = 'tool' group by all) group by 1)
+select case_id, coalesce(any_value(calls), '') tool_calls, count(*) filter (kind = 'tool') total_tool_calls, count(*) filter (kind = 'tool' and cached) cached_hits, cast(coalesce(sum(pixels) filter (kind = 'tool'), 0) as bigint) detector_pixels, max(ts) filter (kind = 'finish') - min(ts) filter (kind = 'start') wall_ms,
+  round(coalesce(sum(wall_ms) filter (kind = 'tool'), 0), 6) tool_wall_ms, cast(coalesce(sum(turns) filter (kind = 'llm'), 0) as bigint) llm_turns, cast(coalesce(sum(i) filter (kind = 'llm'), 0) as bigint) llm_input_tokens, cast(coalesce(sum(o) filter (kind = 'llm'), 0) as bigint) llm_output_tokens,
+  cast(coalesce(sum(c) filter (kind = 'llm'), 0) as bigint) llm_cache_read_tokens, round(coalesce(sum(usd) filter (kind = 'llm'), 0), 6) llm_usd from m left join g using (case_id) group by 1""",
+)
+def _(s, d):
+    e = F.col("event_id")
+    m = v.table(s, d, "events").select(
+        F.col("user_id").alias("case_id"), F.expr(_MARK).alias("kind"), e.alias("ts"), F.col("event_type").alias("tool"), F.col("value").alias("wall_ms"), (e % 100).alias("pixels"), (e % 3 == 0).alias("cached"), (e % 4).alias("turns"),
+        (e % 50).alias("input_tokens"), (e % 20).alias("output_tokens"), F.when(e % 7 > 0, e % 10).alias("cache_read_tokens"), (F.col("value") / 100.0).alias("usd"),
+    )
+    calls = F.array_join(F.transform(F.map_entries("tool_calls"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return events.case_costs(m).withColumns({"tool_calls": calls, "tool_wall_ms": F.round("tool_wall_ms", 6), "llm_usd": F.round("llm_usd", 6)})
+
+
+@query(
+    "k9_gate_audit",
+    """with recursive e as (select o_custkey cust, o_orderkey seq, 'gate_evaluation|' || (o_orderkey % 6) || '|' || case when o_custkey % 3 <> 0 then 'passed' else 'failed' end || '|' || case when o_orderkey % 4 > 0 then cast(o_orderkey % 40 as varchar) else 'none' end || '|' || o_orderstatus body,
+  row_number() over (partition by o_custkey order by o_orderkey) i from orders),
+c as (select cust, seq, i, body, repeat('0', 64) prev_sha, sha256(body || '|' || repeat('0', 64)) entry_sha from e where i = 1 union all select e.cust, e.seq, e.i, e.body, c.entry_sha, sha256(e.body || '|' || c.entry_sha) from c join e on e.cust = c.cust and e.i = c.i + 1)
+select cust, seq, 'gate_evaluation' kind, body, prev_sha, entry_sha from c""",
+)
+def _(s, d):
+    k = F.col("o_orderkey")
+    e = v.table(s, d, "orders").select(F.col("o_custkey").alias("cust"), k.alias("seq"), (k % 6).alias("policy_id"), (F.col("o_custkey") % 3 != 0).alias("gate_passed"), F.when(k % 4 > 0, k % 40).alias("e_value"), F.col("o_orderstatus").alias("checks"))
+    return events.audit_log(e, "cust", "seq")
+
+
 # -- learners --------------------------------------------------------------------------------
 
 _LOGIT = "ln((cand + 1e-9) / (1 - cand + 1e-9))"
@@ -782,4 +877,4 @@ def _(s, d):
     im = _images(s, d)
     base, second = k.detect(im), k.detect(im, "blindspot")
     qc = im.select("case_id", cand.quality_verdict(F.col("pixels")).alias("qc"))
-    return cand.run_cases(qc, base, k.reads(im), second)
+    return case_path.run_cases(qc, base, k.reads(im), second, crops=k.zoom_reads(im, base), segments=k.segments(im, base))

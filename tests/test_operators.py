@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import candidates, conformal, events, gate, kernels, learners, metrics, resample, sequential, splits
+from quillon.operators import candidates, case_path, conformal, events, gate, kernels, learners, metrics, resample, sequential, splits
 
 
 def cohort(n=400, seed=0, ties=False):
@@ -172,6 +172,17 @@ def test_breaker(spark):
     df = spark.createDataFrame([("b", k, True) for k in range(4)], "batch string, seq int, wants boolean")
     assert [r.granted for r in events.admitted(df, 0.25, "batch").orderBy("seq").collect()] == [True, False, False, False]
     assert not any(r.granted for r in events.admitted(df, 0.0, "batch").collect())
+    rng = np.random.default_rng(3)
+    rows = [(None if b == 2 else f"b{b}", k, None if k % 17 == 0 else bool(rng.random() < 0.2 + 0.3 * b)) for b in range(3) for k in range(200)]
+    df = spark.createDataFrame(rows, "batch string, seq int, wants boolean")
+    for fraction in (0.1, 0.3, 1.0):
+        want = {}
+        for b in {r[0] for r in rows}:
+            breaker = events.Breaker(fraction)
+            for _, k, w in (r for r in rows if r[0] == b):
+                breaker.seen += 1
+                want[b, k] = bool(w) and breaker.admit()
+        assert {(r.batch, r.seq): r.granted for r in events.admitted(df, fraction, "batch").collect()} == want
 
 
 def test_memo(spark):
@@ -319,7 +330,7 @@ def test_image_pipeline(spark):
     images = generate(spark, patients=20, images=1, prevalence=0.5, size=96, seed=11).cache()
     base = kernels.detect(images)
     qc = images.select("case_id", candidates.quality_verdict(F.col("pixels")).alias("qc"))
-    out = candidates.run_cases(qc, base, kernels.reads(images), kernels.detect(images, "blindspot"))
+    out = case_path.run_cases(qc, base, kernels.reads(images), kernels.detect(images, "blindspot"))
     assert out.count() == 20
     scored = out.join(images.select("case_id", F.col("label").alias("y")), "case_id").withColumn("score", F.col("case_score"))
     assert metrics.auroc(scored).first()[0] > 0.7
