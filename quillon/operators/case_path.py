@@ -15,6 +15,7 @@ from quillon.operators import conformal
 from quillon.operators.candidates import DEFAULTS, assess, case_score, decide, disagreement, escalate, features, lane, reproduction, unexamined, veto, zoom_budget, zoom_confirm
 from quillon.operators.events import admitted
 from quillon.operators.learners import Student
+from quillon.plans.written import written
 
 
 class Run(NamedTuple):
@@ -49,6 +50,7 @@ def run(
     """Run every case of cases(case_id, qc; a head score named by head; a breaker's batch named by batch).
 
     Inadequate cases are deferred with score 0.5 and disagreement 1; they take no lane and the breaker doesn't see them.
+    Rows of lanes, verified candidates and escalations are written once each, since later stages read them several times.
     case_id must be unique in cases; candidates, reads and blind spots of other cases are ignored. answers has
     (case_id, decision) of the costly adjudicator; a granted case without an answer keeps its rule verdict. spacing is
     (y, x) millimetres a pixel.
@@ -59,7 +61,8 @@ def run(
     tops = candidates.groupBy("case_id").agg(F.max("score").alias("_top"), F.count("*").alias("_any"))
     out = cases.join(tops, "case_id", "left").join(missed.groupBy("case_id").agg(F.count("*").alias("n_blindspot")), "case_id", "left").withColumn("n_blindspot", F.coalesce("n_blindspot", F.lit(0)))
     out = out.withColumn("lane", F.when(~bad, lane(F.col("_top"), F.col("n_blindspot"), p["fast_negative_max_score"], p["fast_negative_requires_blindspot_clean"])))
-    checked = verified(out, candidates, reads, n_reads, p, crops, segments)
+    out = written(out, "lanes")
+    checked = written(verified(out, candidates, reads, n_reads, p, crops, segments), "verified")
 
     sums = case_score(checked).join(checked.groupBy("case_id").agg(F.count_if("kept").alias("n_kept")), "case_id")
     out = out.join(sums, "case_id", "left").join(disagreement(reads), "case_id", "left")
@@ -93,6 +96,7 @@ def _cascade(out: DataFrame, checked: DataFrame, missed: DataFrame, p: dict, stu
         told = features(out.where("escalation_wanted").select("case_id", "case_score", "disagreement", "qc"), checked, missed)
         told = student.predict(told).where(F.col("confidence") >= p["student_min_confidence"]).select("case_id", F.col("decision").alias("_said"))
         out = out.join(told, "case_id", "left").withColumns({"student_absorbed": F.col("_said").isNotNull(), "decision": F.coalesce("_said", "decision")}).drop("_said")
+    out = written(out, "escalated")
     if answers is None:
         return out.withColumns({"llm_invoked": off, "llm_denied_by_cap": off})
     wants = F.col("escalation_wanted") & ~F.col("student_absorbed")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.canonical import content_id
+
 LEDGER = "ts string, kind string, payload string, prev_sha string, entry_sha string"
 TRACE = "case_id string, decision string, fallback_used boolean, features map<string,double>"
 
@@ -69,7 +71,15 @@ def read_replays(spark: SparkSession, path: str) -> DataFrame:
 
 def read_addressed(spark: SparkSession, path: str, size: int = 12) -> DataFrame:
     """(id, text) of files named by the hash of their text; a file whose text has another hash fails."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([0-9a-f]+)\.\w+$", 1).alias("id"), F.col("value").alias("text"))
+    return _addressed(spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([0-9a-f]+)\.\w+$", 1).alias("id"), F.col("value").alias("text")), size)
+
+
+def read_store(spark: SparkSession, path: str, size: int = 12) -> DataFrame:
+    """(id, text) of a table that write_store made; an edited row fails."""
+    return _addressed(spark.read.schema("id string, text string").parquet(path), size)
+
+
+def _addressed(raw: DataFrame, size: int) -> DataFrame:
     good = F.substring(F.sha2("text", 256), 1, size) == F.col("id")
     return raw.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("content does not match its id: "), F.col("id"))).cast("boolean")))
 
@@ -133,6 +143,41 @@ def write_artifacts(artifacts: DataFrame, path: str) -> DataFrame:
     return artifacts.withColumn("sha256", sha).select(F.concat(F.lit("art:"), F.substring("sha256", 1, 12)).alias("handle"), "sha256")
 
 
+def write_store(texts: DataFrame, path: str, size: int = 12) -> DataFrame:
+    """Append policies, prompts or students (text) under the hash of their text, and give (id, text); known ones are not written again.
+
+    Null texts are left out. One writer at a time: two at once may both append the same text.
+    """
+    spark = texts.sparkSession
+    named = texts.where("text is not null").select(F.substring(F.sha2("text", 256), 1, size).alias("id"), "text").distinct()
+    try:
+        new = named.join(read_store(spark, path, size).select("id"), "id", "left_anti")
+    except Exception as error:  # the first write finds no table
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        new = named
+    new.write.mode("append").parquet(path)
+    return named
+
+
+def derived_versions(spark: SparkSession, parameters: dict[str, object], data: dict[str, str | None], fixed: tuple[str, ...] = ("crop_region", "segment", "measure")) -> dict[str, str]:
+    """A version of each tool from what decides its results: its parameters, the bytes of its data file, or a constant of the code.
+
+    Data that is not there is "absent"; a folder counts as the hashes of its files. Files are hashed where they are read
+    (2 GB each at most), and only hashes reach the driver.
+    """
+    out = {tool: content_id(value, compact=False) for tool, value in parameters.items()} | dict.fromkeys(fixed, "v1")
+    for tool, path in data.items():
+        try:
+            found = [r[0] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).orderBy("h").collect()] if path else []
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            found = []
+        out[tool] = "absent" if not found else found[0][:12] if len(found) == 1 else content_id(found)
+    return out
+
+
 def write_replays(results: DataFrame, path: str) -> None:
     """Pass vectors by policy: those of the policies in results are replaced, others stay."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("policy_id").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -59,6 +60,25 @@ def test_toolbelt():
     assert [e["kind"] for e in t.ledger.entries] == ["tool_call", "tool_result", "tool_call", "tool_result_cached"] and t.ledger.verify()
 
 
+def test_store_and_versions(spark, tmp_path):
+    path = str(tmp_path / "store")
+    texts = spark.createDataFrame([("look twice\nthen decide",), ("",), (None,), ("",)], "text string")
+    ids = {r.id for r in files.write_store(texts, path).collect()}
+    files.write_store(texts, path)
+    assert len(ids) == 2 and sorted(r.text for r in files.read_store(spark, path).collect()) == ["", "look twice\nthen decide"]
+    spark.createDataFrame([("0" * 12, "edited")], "id string, text string").write.mode("append").parquet(path)
+    with pytest.raises(Exception, match="does not match"):
+        files.read_store(spark, path).collect()
+    atlas = tmp_path / "atlas.npz"
+    atlas.write_bytes(b"one")
+    versions = lambda p: files.derived_versions(spark, {"run_detector": p}, {"retrieve_similar": str(atlas), "lookup_criteria": str(tmp_path / "none"), "other": None})
+    a, b = versions({"sigma": 2}), versions({"sigma": 3})
+    assert a["run_detector"] != b["run_detector"] and a["retrieve_similar"] == b["retrieve_similar"] == hashlib.sha256(b"one").hexdigest()[:12]
+    assert a["lookup_criteria"] == a["other"] == "absent" and a["measure"] == "v1"
+    atlas.write_bytes(b"two")
+    assert versions({"sigma": 2})["retrieve_similar"] != a["retrieve_similar"]
+
+
 def test_rules_and_sinks(spark, tmp_path):
     (tmp_path / "rules.json").write_text(json.dumps({"primary": {"specificity": 0.9}, "calibration": {"max_ece_adaptive": 0.2}}))
     assert files.read_rules(str(tmp_path / "rules.json")) == {"specificity": 0.9, "max_ece": 0.2}
