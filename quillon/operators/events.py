@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillon.functions.canonical import dumps
 from quillon.functions.expr import cosine
@@ -17,25 +21,39 @@ GENESIS = "0" * 64
 def chain(events: DataFrame, key: str, seq: str, body: str) -> DataFrame:
     """events with prev_sha and entry_sha: each entry's hash covers its body and the hash before it, within its chain.
 
-    A chain is folded in its order, chains in parallel. The fold is an ordered aggregate, so a chain's bodies
-    meet in one row.
+    A chain is folded in its order as its rows stream by, chains in parallel; a task holds one batch of rows and one
+    hash, so long chains cost time in proportion and no more memory. seq should be unique within a chain: entries that
+    tie come in order of their bodies. A null body counts as empty, rows with a null key are one chain, and columns
+    named prev_sha or entry_sha are replaced.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(seq, body)))
-    first = F.array(F.struct(F.lit(None).cast(events.schema[seq].dataType).alias(seq), F.lit("").alias("prev_sha"), F.lit(GENESIS).alias("entry_sha")))
-    link = lambda acc, e: F.concat(acc, F.array(F.struct(e[seq].alias(seq), F.element_at(acc, -1)["entry_sha"].alias("prev_sha"), F.sha2(F.concat(e[body], F.lit("|"), F.element_at(acc, -1)["entry_sha"]), 256).alias("entry_sha"))))
-    folded = events.groupBy(key).agg(ordered.alias("_e")).select(key, F.explode(F.slice(F.aggregate("_e", first, link), 2, 1 << 30)).alias("_x"))
-    return folded.select(key, f"_x.{seq}", "_x.prev_sha", "_x.entry_sha").join(events, [key, seq])
+    events = events.drop("prev_sha", "entry_sha")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sha = object(), GENESIS
+        for batch in batches:
+            before, after = [], []
+            for k, text in zip(batch.column(key).to_pylist(), batch.column(body).to_pylist(), strict=True):
+                if k != of:
+                    of, sha = k, GENESIS
+                before.append(sha)
+                sha = hashlib.sha256(f"{text or ''}|{sha}".encode()).hexdigest()
+                after.append(sha)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names, "prev_sha", "entry_sha"])
+
+    out_type = StructType([*events.schema.fields, StructField("prev_sha", StringType()), StructField("entry_sha", StringType())])
+    return events.repartition(key).sortWithinPartitions(key, seq, body).mapInArrow(over, out_type)
 
 
 def verify_chain(entries: DataFrame, key: str, seq: str, body: str) -> DataFrame:
     """(key, entries, head, intact): every link and every hash is checked in parallel.
 
-    head and the count anchor the tail: a chain cut short stays intact but has another head.
+    head and the count anchor the tail: a chain cut short stays intact but has another head. A null body counts as
+    empty; a missing hash breaks its chain.
     """
-    w = Window.partitionBy(key).orderBy(seq)
-    linked = F.lag("entry_sha", 1, GENESIS).over(w) == F.col("prev_sha")
-    hashed = F.sha2(F.concat(F.col(body), F.lit("|"), F.col("prev_sha")), 256) == F.col("entry_sha")
-    e = entries.withColumn("_ok", linked & hashed)
+    w = Window.partitionBy(key).orderBy(seq, body)
+    linked = F.lag("entry_sha", 1, GENESIS).over(w).eqNullSafe(F.col("prev_sha"))
+    hashed = F.sha2(F.concat(F.coalesce(body, F.lit("")), F.lit("|"), F.col("prev_sha")), 256).eqNullSafe(F.col("entry_sha"))
+    e = entries.withColumn("_ok", linked & hashed & F.col("entry_sha").isNotNull())
     return e.groupBy(key).agg(F.count("*").alias("entries"), F.max_by("entry_sha", seq).alias("head"), F.every("_ok").alias("intact"))
 
 

@@ -139,6 +139,28 @@ def test_chain_and_tampering(spark):
     assert events.verify_chain(cut, "key", "seq", "body").where("key = 1").first().head != heads[1]
 
 
+def test_chains_of_any_length_nulls_and_emptiness(spark):
+    """A chain of 30,000 entries, far beyond a batch, beside short ones, a null key, null bodies and a clashing column."""
+    import hashlib
+
+    rows = [(1, k, f"é{k}" if k % 7 else None) for k in range(30_000)] + [(2, 0, ""), (None, 0, "a"), (None, 1, "b")]
+    table = spark.createDataFrame(rows, "key int, seq int, body string").withColumn("prev_sha", F.lit("x"))
+    got = events.chain(table, "key", "seq", "body")
+    assert got.columns == ["key", "seq", "body", "prev_sha", "entry_sha"]
+    found = {(r.key, r.seq): (r.prev_sha, r.entry_sha) for r in got.collect()}
+    last, want = {}, {}
+    for key, seq, body in rows:
+        before = last.get(key, events.GENESIS)
+        last[key] = hashlib.sha256(f"{body or ''}|{before}".encode()).hexdigest()
+        want[key, seq] = before, last[key]
+    assert found == want
+    checked = {r.key: r for r in events.verify_chain(got, "key", "seq", "body").collect()}
+    assert {k: (r.entries, r.head, r.intact) for k, r in checked.items()} == {1: (30_000, last[1], True), 2: (1, last[2], True), None: (2, last[None], True)}
+    lost = got.withColumn("entry_sha", F.when(F.col("seq") != 1, F.col("entry_sha")))
+    assert {r.key for r in events.verify_chain(lost, "key", "seq", "body").collect() if r.intact} == {2}
+    assert events.chain(table.limit(0), "key", "seq", "body").count() == 0
+
+
 def test_ledger_lines(spark, tmp_path):
     from quillon.sources import files
 
