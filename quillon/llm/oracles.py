@@ -52,4 +52,17 @@ j as (select page_id, octet_length(p.body) payload_bytes, sha1(p.body) h, first
 select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(i // 4 * 5 as int) + 1, 5) as bigint) >> cast((3 - i % 4) * 5 as int)) & 31 as int) + 1, 1)), '') payload_digest,
   case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to from j"""
 
-ORACLE_SQL = {"op1_quality": OP1, "op4_minhash": OP4, "op6_suffix": OP6, "op8_warc": OP8}
+OP13 = """with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') ws from p),
+g as (select lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from w, (select unnest(range(1, 5)) k))),
+f as materialized (select lang, k, phrase, count(*) f from g group by all),
+n as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') ws from f where k > 1 and f >= 30),
+u as (select c.lang, c.phrase, a, cut, l.f l, r.f r, (2000000::hugeint * a) // (l.f + r.f) score from (select *, unnest(range(1, k)) cut from c) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(list_slice(c.ws, 1, cut), ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(list_slice(c.ws, cut + 1, c.k), ' ')),
+s as (select lang, phrase, a, l, r, score::bigint score from u qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+i as (select lang, phrase, max(a) a from (select lang, a, array_to_string(list_slice(ws, start, start + size - 1), ' ') phrase from (select *, unnest(range(1, k - size + 2)) start from (select *, unnest(range(2, k)) size from c))) group by all),
+o as (select s.lang, s.phrase, s.a, l, r, score, row_number() over (partition by s.lang order by score desc, s.a desc, encode(s.phrase)) rank from s left join i on i.lang = s.lang and i.phrase = s.phrase where i.a is null or 100::hugeint * i.a < 80::hugeint * s.a)
+select o.lang, rank, phrase, a, l, r, n, score from o join n on n.lang = o.lang where rank <= 2000"""
+
+ORACLE_SQL = {"op1_quality": OP1, "op4_minhash": OP4, "op6_suffix": OP6, "op8_warc": OP8, "op13_phrases": OP13}

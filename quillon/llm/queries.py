@@ -79,6 +79,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op11_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.gif import features, store
+
+    return features(store(_table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.whitening import whiten
+
+    out = whiten(_table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def pages_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's language from its text, its markup, its address and its host, by a model of the documents' texts."""
     from quillon.llm.langid import fit, identify, markup_language
@@ -99,5 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
+    "op11_gif": op11_gif,
+    "op12_whitening": op12_whitening,
+    "op13_phrases": op13_phrases,
     "pages_langid": pages_langid,
 }
