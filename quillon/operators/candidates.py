@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.expr import box, center_inside, iou, near_center
+from quillon.operators.boxes import EDGES, touching
 
 #: Parameters of the default policy.
 DEFAULTS = {
@@ -27,11 +28,11 @@ def quality_verdict(pixels: Column) -> Column:
 def reproduction(candidates: DataFrame, reads: DataFrame, n_reads: Column | int, overlap: float = 0.3, least: int = 3) -> DataFrame:
     """candidates with reproduced, reproduced_fraction and kept: in how many reads of the case some box overlaps.
 
-    Boxes only meet within a case; a case's pairs are candidates x read boxes, both of which the detector bounds.
+    Boxes meet on a grid, equal ones of a case (and read) once. A candidate with a null edge is reproduced by none.
     """
-    pairs = candidates.alias("c").join(reads.alias("r"), F.col("c.case_id") == F.col("r.case_id")).where(iou(box("", "c"), box("", "r")) >= overlap)
-    hit = pairs.groupBy("c.case_id", "c.candidate_id").agg(F.count_distinct("r.read_id").alias("reproduced"))
-    out = candidates.join(hit, ["case_id", "candidate_id"], "left").withColumn("reproduced", F.coalesce("reproduced", F.lit(0)))
+    pairs = touching(candidates.select("case_id", *EDGES).distinct(), reads.select("case_id", "read_id", *EDGES).distinct(), ["case_id"]).where(iou(box("", "l"), box("", "r")) >= overlap)
+    hit = pairs.groupBy("l").agg(F.count_distinct("r.read_id").alias("reproduced")).select("l.*", "reproduced")
+    out = candidates.join(hit, ["case_id", *EDGES], "left").select(*candidates.columns, F.coalesce("reproduced", F.lit(0)).alias("reproduced"))
     n = F.lit(n_reads) if isinstance(n_reads, int) else n_reads
     return out.withColumn("reproduced_fraction", F.col("reproduced") / n).withColumn("kept", F.col("reproduced") >= least)
 
@@ -62,10 +63,11 @@ def veto(found: Column, reason: Column, aspect: Column, most: float = 3.0) -> Co
 
 
 def unexamined(blindspots: DataFrame, examined: DataFrame, least: float = 0.55, overlap: float = 0.1) -> DataFrame:
-    """Blind-spot boxes of enough score that no examined box of the case covers."""
-    b, e = blindspots.where(F.col("score") >= least).alias("b"), examined.alias("e")
-    covered = center_inside(box("", "b"), box("", "e")) | (iou(box("", "b"), box("", "e")) > overlap)
-    return b.join(e, (F.col("b.case_id") == F.col("e.case_id")) & covered, "left_anti")
+    """Blind-spot boxes of enough score that no examined box of the case covers. Boxes meet on a grid, equal ones of a case once."""
+    b = blindspots.where(F.col("score") >= least)
+    pairs = touching(b.select("case_id", *EDGES).distinct(), examined.select("case_id", *EDGES).distinct(), ["case_id"])
+    covered = center_inside(box("", "l"), box("", "r")) | (iou(box("", "l"), box("", "r")) > overlap)
+    return b.join(pairs.where(covered).select("l.*").distinct(), ["case_id", *EDGES], "left_anti").select(*blindspots.columns)
 
 
 def disagreement(reads: DataFrame, floor: float = 0.5) -> DataFrame:

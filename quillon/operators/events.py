@@ -4,27 +4,29 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillon.functions.canonical import dumps
-from quillon.functions.expr import cosine
+from quillon.operators.leaders import TYPE
+from quillon.operators.leaders import add_records as add_records
+from quillon.operators.neighbours import most_alike
 
 GENESIS = "0" * 64
 
 
-def chain(events: DataFrame, key: str, seq: str, body: str) -> DataFrame:
+def chain(events: DataFrame, key: str, seq: str, body: str, start: str | None = None) -> DataFrame:
     """events with prev_sha and entry_sha: each entry's hash covers its body and the hash before it, within its chain.
 
     A chain is folded in its order as its rows stream by, chains in parallel; a task holds one batch of rows and one
     hash, so long chains cost time in proportion and no more memory. seq should be unique within a chain: entries that
     tie come in order of their bodies. A null body counts as empty, rows with a null key are one chain, and columns
-    named prev_sha or entry_sha are replaced.
+    named prev_sha or entry_sha are replaced. start names a column with the hash that a chain goes on from, one for all its rows.
     """
     events = events.drop("prev_sha", "entry_sha")
 
@@ -32,9 +34,10 @@ def chain(events: DataFrame, key: str, seq: str, body: str) -> DataFrame:
         of, sha = object(), GENESIS
         for batch in batches:
             before, after = [], []
-            for k, text in zip(batch.column(key).to_pylist(), batch.column(body).to_pylist(), strict=True):
+            begins = batch.column(start).to_pylist() if start else [GENESIS] * batch.num_rows
+            for k, text, begin in zip(batch.column(key).to_pylist(), batch.column(body).to_pylist(), begins, strict=True):
                 if k != of:
-                    of, sha = k, GENESIS
+                    of, sha = k, begin
                 before.append(sha)
                 sha = hashlib.sha256(f"{text or ''}|{sha}".encode()).hexdigest()
                 after.append(sha)
@@ -90,43 +93,20 @@ def bank_state(events: DataFrame) -> DataFrame:
     return g.where("_a > 0").drop("_a")
 
 
-def nearest_record(new: DataFrame, records: DataFrame, least: float = 0.85, others: bool = False) -> DataFrame:
-    """(new_id, record_id, cos): the most similar active record of the same type; equal ones give the largest id. With others, never itself."""
-    n, r = new.alias("n"), records.where("status != 'retired'").alias("r")
-    same = (F.col("n.label") == F.col("r.label")) & (F.col("n.expected") == F.col("r.expected")) & (F.col("n.observed") == F.col("r.observed"))
-    same = same & (F.col("n.new_id") != F.col("r.record_id")) if others else same
-    j = n.join(r, same).withColumn("cos", cosine(F.col("n.embedding"), F.col("r.embedding"))).where(F.col("cos") >= least)
-    best = j.groupBy(F.col("n.new_id").alias("new_id")).agg(F.max(F.struct("cos", F.col("r.record_id").alias("record_id"))).alias("b"))
-    return best.select("new_id", "b.record_id", "b.cos")
+def valid_record(label: Column, expected: Column, observed: Column, source: Column, status: Column) -> Column:
+    """May a record enter the bank? The outcome must miss what was expected, the label be 0 or 1, and what an evaluation missed not be confirmed. Nulls may not."""
+    return F.coalesce((observed != expected) & label.isin(0, 1) & ~((source == "eval_miss") & (status == "confirmed")), F.lit(False))
 
 
-def add_records(reports: DataFrame, least: float = 0.85) -> DataFrame:
-    """(record_id, target, merged) of reports in order of seq: each merges into the nearest earlier record of its type, or starts one.
+def topic_entries(corpus: DataFrame, topic: str, *columns: str) -> DataFrame:
+    """The entries whose topic holds a text, in any case; of several columns one is enough. Null topics hold none, the empty text is in all others."""
+    hits = [F.coalesce(F.contains(F.lower(c), F.lower(F.lit(topic))), F.lit(False)) for c in columns or ("topic",)]
+    return corpus.where(reduce(lambda a, b: a | b, hits))
 
-    The choice depends on those before it, so a failure type is folded in order, types in parallel. A batch of
-    at most a bank's worth of reports is meant (hundreds a type).
-    """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        ids: list[str] = []
-        units: list[np.ndarray | None] = []
-        out = []
-        for rid, e in zip(rows["record_id"], rows["embedding"], strict=True):
-            v = None if e is None else np.asarray(e, dtype=np.float64)
-            size = 0.0 if v is None else float(np.linalg.norm(v))
-            target = rid if rid in ids else None
-            if target is None and size > 0:
-                near = [(float(v @ u / size), k) for k, u in zip(ids, units, strict=True) if u is not None and len(u) == len(v)]
-                near = [x for x in near if x[0] >= least]
-                target = max(near)[1] if near else None
-            if target is None:
-                ids.append(rid)
-                units.append(v / size if size > 0 else None)
-            out.append((rid, int(rows["seq"].iloc[len(out)]), target or rid, target is not None))
-        return pd.DataFrame(out, columns=["record_id", "seq", "target", "merged"])
-
-    return reports.groupBy("label", "expected", "observed").applyInPandas(fold, "record_id string, seq bigint, target string, merged boolean")
+def nearest_record(new: DataFrame, records: DataFrame, least: float = 0.85, others: bool = False) -> DataFrame:
+    """(new_id, record_id, cos): the most similar active record of the same type; equal ones give the largest id. With others, never itself."""
+    return most_alike(new, records.where("status != 'retired'"), TYPE, least, others)
 
 
 def replay(records: DataFrame, decisions: DataFrame, policy_id: str) -> DataFrame:

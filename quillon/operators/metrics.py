@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.selection import quantiles
 from quillon.plans.prefix import numbered, running, running_by
 
 
@@ -104,11 +105,14 @@ def ece_adaptive(df: DataFrame, bins: int = 10, y: str = "y", score: str = "scor
 
 
 def negative_flips(df: DataFrame, specificity: float = 0.96, y: str = "y", cand: str = "cand", champ: str = "champ") -> DataFrame:
-    """Positives that the champion catches and the candidate misses, at thresholds that are interpolated quantiles of each arm's negatives."""
-    t = df.where(F.col(y) == 0).agg(F.percentile(cand, F.lit(specificity)).alias("t_cand"), F.percentile(champ, F.lit(specificity)).alias("t_champ"))
-    x = df.where(F.col(y) == 1).crossJoin(F.broadcast(t))
-    right = F.col(champ) > F.col("t_champ")
-    x = x.agg(F.count_if(right & (F.col(cand) <= F.col("t_cand"))).alias("flips"), F.count_if(right).alias("champion_correct"))
+    """Positives that the champion catches and the candidate misses, at thresholds that are interpolated quantiles of each arm's negatives.
+
+    The thresholds are exact, by repeated counts of ranges; without negatives there are none and nothing counts.
+    """
+    found = quantiles(df.where(F.col(y) == 0), {cand: [specificity], champ: [specificity]})
+    t_cand, t_champ = (F.lit(found[c, specificity]).cast("double") for c in (cand, champ))
+    right = F.col(champ) > t_champ
+    x = df.where(F.col(y) == 1).agg(F.count_if(right & (F.col(cand) <= t_cand)).alias("flips"), F.count_if(right).alias("champion_correct"))
     return x.select("flips", "champion_correct", (F.col("flips") * 1.0 / F.greatest("champion_correct", F.lit(1))).alias("flip_rate"))
 
 

@@ -6,22 +6,24 @@ is a hash of patient and iteration, so any task can tell it without a table of w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.prefix import ranged
-
 #: Modulus of the hash, and the factors that set iterations apart.
 PRIME, FIRST, SECOND = (1 << 31) - 1, 48271, 69621
 #: A hash below the k-th of these and not below the one before gives the weight k.
 CUTS = [int(PRIME * exp(-1) * sum(1 / factorial(j) for j in range(k + 1))) for k in range(12)]
-#: Cases of a range, fewest ranges, and cells (cases or patients x iterations) that a task holds at a time.
-RANGE_ROWS, RANGES, CELLS = 20_000, 64, 1 << 21
+#: Cases of a segment that one task looks into, parts that an arm is cut into at once, and cells (cases x iterations) that a task holds at a time.
+RANGE_ROWS, CUTS_OF_ARM, CELLS = 20_000, 64, 1 << 21
+#: Tasks that add up the sums of many.
+FAN = 32
 
 
 def patient_code(pid: Column) -> Column:
@@ -61,75 +63,177 @@ def _blocks(n: int, rows: int) -> list[np.ndarray]:
     return [np.arange(k, min(k + size, n)) for k in range(0, n, size)]
 
 
+@dataclass
+class Segment:
+    """Scores above low and up to high of one arm: cases, least and largest score, weighted negatives and positives of each iteration."""
+
+    low: float
+    high: float
+    cases: int
+    least: float
+    largest: float
+    negatives: np.ndarray
+    positives: np.ndarray
+
+    def single(self) -> bool:
+        return self.least == self.largest
+
+
+def _sums(rows: DataFrame, edges: list[np.ndarray], wanted: list[np.ndarray], iterations: int) -> list[list[Segment | None]]:
+    """For each arm the segments between its edges, those that wanted marks, over all rows (code, y, s0, s1, ...).
+
+    No row is moved: every task adds up its own, a few tasks add up theirs, one those. The driver gets one state an arm.
+    """
+    sizes = [len(e) + 1 for e in edges]
+    schema = "arm int, cases binary, least binary, largest binary, sums binary"
+
+    def empty(n: int) -> list[np.ndarray]:
+        return [np.zeros(n, np.int64), np.full(n, np.inf), np.full(n, -np.inf), np.zeros((2 * n, iterations), np.int64)]
+
+    def batches_of(states: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for arm, state in enumerate(states):
+            if state[0].any():
+                yield pa.RecordBatch.from_arrays([pa.array([arm], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in state)], names=["arm", "cases", "least", "largest", "sums"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = [empty(n) for n in sizes]
+        for batch in batches:
+            code, y, *scores = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
+            for (cases, least, largest, sums), s, edge, some in zip(states, scores, edges, wanted, strict=True):
+                part = np.searchsorted(edge, s)
+                mine = np.flatnonzero(~np.isnan(s) & some[part])
+                if not len(mine):
+                    continue
+                key = 2 * part[mine] + y[mine]
+                order = np.argsort(key, kind="stable")
+                mine, key = mine[order], key[order]
+                np.add.at(cases, part[mine], 1)
+                np.minimum.at(least, part[mine], s[mine])
+                np.maximum.at(largest, part[mine], s[mine])
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                who, at = np.unique(code[mine], return_inverse=True)
+                for its in _blocks(iterations, len(mine)):
+                    sums[key[starts][:, None], its] += np.add.reduceat(weight_matrix(who, its)[at], starts, axis=0)
+        yield from batches_of(states)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = [empty(n) for n in sizes]
+        for batch in batches:
+            for row in batch.to_pylist():
+                cases, least, largest, sums = states[row["arm"]]
+                cases += np.frombuffer(row["cases"], np.int64)
+                np.minimum(least, np.frombuffer(row["least"]), out=least)
+                np.maximum(largest, np.frombuffer(row["largest"]), out=largest)
+                sums += np.frombuffer(row["sums"], np.int64).reshape(sums.shape)
+        yield from batches_of(states)
+
+    states = rows.mapInArrow(count, schema).withColumn("_to", F.spark_partition_id()).repartition(FAN, "_to").drop("_to").mapInArrow(add, schema)
+    out: list[list[Segment | None]] = [[None] * n for n in sizes]
+    for row in states.repartition(1).mapInArrow(add, schema).collect():
+        cases, least, largest = np.frombuffer(row.cases, np.int64), np.frombuffer(row.least), np.frombuffer(row.largest)
+        sums = np.frombuffer(row.sums, np.int64).reshape(-1, 2, iterations)
+        bounds = [-np.inf, *edges[row.arm], np.inf]
+        out[row.arm] = [Segment(bounds[k], bounds[k + 1], int(cases[k]), least[k], largest[k], sums[k, 0], sums[k, 1]) if cases[k] else None for k in range(len(cases))]
+    return out
+
+
+def _cuts(rows: DataFrame, segments: list[list[Segment]], parts: int) -> list[np.ndarray]:
+    """Edges that part each arm's segments: approximate quantiles, and what sets the least and the largest score of a segment apart."""
+    fractions = [k / parts for k in range(1, parts)]
+    asks = [F.percentile_approx(F.when(_between(F.col(f"s{arm}"), g.low, g.high), F.col(f"s{arm}")), fractions, 1000).alias(f"c{arm}_{k}") for arm, found in enumerate(segments) for k, g in enumerate(found)]
+    seen = rows.agg(*asks).first() if asks else {}
+    out = []
+    for arm, found in enumerate(segments):
+        edges = {x for k, g in enumerate(found) for x in (g.low, g.high, g.least, np.nextafter(g.largest, -np.inf), *(seen[f"c{arm}_{k}"] or []))}
+        out.append(np.array(sorted(x for x in edges if np.isfinite(x)), dtype=np.float64))
+    return out
+
+
 def resampled_sensitivity(cases: DataFrame, scores: list[str], iterations: int = 2000, specificity: float = 0.96, y: str = "y", pid: str = "pid") -> DataFrame:
     """(it, arm, sensitivity) of each resample: the k-th negative is the first score whose running weight reaches k.
 
-    Scores are cut into ranges that hold about as many cases, at any size of the table. A first pass sums the
-    weights of each range, which tells where each resample's threshold lies; a second looks only there. The driver
-    holds two numbers a range, arm and iteration. A resample without positives or negatives has null; cases
-    without a score or patient are left out.
+    Scores are cut into segments whose weights are summed for all resamples at once. Those that hold a resample's threshold are
+    cut again until none has more than RANGE_ROWS cases or more than one score; a last pass looks inside them. The driver
+    holds a few hundred segments of an arm, two numbers an iteration each, however many cases there are. A resample
+    without positives or negatives has null; cases without a label, a patient or a score are left out (of that arm).
     """
     spark = cases.sparkSession
-    arms = F.explode(F.array(*(F.struct(F.lit(k).alias("arm"), F.col(s).cast("double").alias("s")) for k, s in enumerate(scores))))
-    g = cases.select(patient_code(F.col(pid)).alias("code"), F.col(y).cast("bigint").alias("y"), arms.alias("a")).select("code", "y", "a.arm", "a.s").where("code is not null and s is not null and not isnan(s)")
-    g = g.groupBy("arm", "s", "code").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    ranges = max(RANGES, -(-cases.count() * len(scores) // RANGE_ROWS))
-    g = ranged(g, "s", ranges).select("_range", "arm", "s", "code", "p", "n")
-
-    def sums(key: tuple, rows: pa.Table) -> pa.Table:
-        arm, code, p, n = (rows[x].to_numpy() for x in ("arm", "code", "p", "n"))
-        who, at = np.unique(code, return_inverse=True)
-        held = np.zeros((2 * len(scores), len(who)), dtype=np.int64)
-        np.add.at(held, (2 * arm, at), n)
-        np.add.at(held, (2 * arm + 1, at), p)
-        out = np.concatenate([held @ weight_matrix(who, its) for its in _blocks(iterations, len(who))], axis=1)
-        return pa.table({"range": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([out.tobytes()], pa.binary())})
-
-    found = sorted((r["range"], np.frombuffer(r["sums"], dtype=np.int64).reshape(len(scores), 2, iterations)) for r in g.groupBy("_range").applyInArrow(sums, "range bigint, sums binary").collect()) if iterations else []
-    if not found:
+    rows = cases.select(patient_code(F.col(pid)).alias("code"), F.col(y).cast("int").alias("y"), *(F.col(s).cast("double").alias(f"s{k}") for k, s in enumerate(scores))).where("code is not null and y in (0, 1)")
+    whole = [Segment(-np.inf, np.inf, 0, np.inf, np.inf, np.zeros(iterations, np.int64), np.zeros(iterations, np.int64)) for _ in scores]
+    held: list[list[Segment]] = [[g] for g in whole]
+    needed: list[list[Segment]] = held
+    total, where = np.zeros((len(scores), iterations), np.int64), np.zeros((len(scores), iterations), np.int64)
+    while any(needed) and iterations:
+        edges = _cuts(rows, needed, max(4, CUTS_OF_ARM // max(1, *map(len, needed))))
+        lows = [{g.low: g for g in found} for found in needed]
+        parts = [np.concatenate([[-np.inf], e]) for e in edges]
+        inside = [np.array([any(g.low <= a < g.high for g in found) for a in at], dtype=bool) for at, found in zip(parts, needed, strict=True)]
+        new = _sums(rows, edges, inside, iterations)
+        for arm, found in enumerate(new):
+            kept = [g for g in held[arm] if g.low not in lows[arm]]
+            held[arm] = sorted([*kept, *(g for g in found if g is not None)], key=lambda g: g.low)
+            if held[arm]:
+                upto = np.stack([g.negatives for g in held[arm]]).cumsum(axis=0)
+                total[arm] = upto[-1]
+                where[arm] = (upto >= _rank(specificity, upto[-1])[None]).argmax(axis=0)
+        # cut again what holds a threshold and is large
+        needed = [[g for k in np.unique(where[arm][total[arm] > 0]) if (g := held[arm][k]).cases > RANGE_ROWS and not g.single()] for arm in range(len(scores))]
+
+    if not any(held[arm] and held[arm][0].cases for arm in range(len(scores))):
         return spark.createDataFrame([], "it bigint, arm string, sensitivity double")
-    names = np.array([r for r, _ in found])
-    both = np.stack([x for _, x in found])  # range x arm x (negatives, positives) x iteration
-    upto = both[:, :, 0].cumsum(axis=0)
-    whole, positives = upto[-1], both[:, :, 1].sum(axis=0)
-    k = np.minimum(np.maximum(np.ceil(specificity * whole).astype(np.int64), 1), whole)
-    where = (upto >= k[None]).argmax(axis=0)
-    rest = k - np.take_along_axis(upto - both[:, :, 0], where[None], axis=0)[0]
-    above = np.where(np.arange(len(found))[:, None, None] > where[None], both[:, :, 1], 0).sum(axis=0)
-
-    def inside(key: tuple, rows: pa.Table) -> pa.Table:
-        mine = np.flatnonzero(names == key[0].as_py())[0]
-        out: list[np.ndarray] = []
-        rows = rows.sort_by("s")
-        for j in range(len(scores)):
-            its = np.flatnonzero((where[j] == mine) & (whole[j] > 0))
-            t = rows.filter(pa.compute.equal(rows["arm"], j))
-            if not len(its) or not t.num_rows:
-                continue
-            s, code, p, n = (t[x].to_numpy() for x in ("s", "code", "p", "n"))
-            last = np.flatnonzero(np.concatenate([s[1:] != s[:-1], [True]]))
-            who, at = np.unique(code, return_inverse=True)
-            for block in _blocks(len(its), t.num_rows):
-                some = its[block]
-                w = weight_matrix(who, some)[at]
-                stop = (np.cumsum(n[:, None] * w, axis=0)[last] >= rest[j, some][None]).argmax(axis=0)
-                caught = np.cumsum(p[:, None] * w, axis=0)[last]
-                out.append(np.stack([np.full(len(some), j), some, caught[-1] - caught[stop, np.arange(len(some))]]))
-        got = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pa.table({x: pa.array(v, pa.int64()) for x, v in zip(("arm", "it", "caught"), got, strict=True)})
-
-    caught = above.copy()
-    for r in g.groupBy("_range").applyInArrow(inside, "arm bigint, it bigint, caught bigint").collect():
-        caught[r["arm"], r["it"]] += r["caught"]
-    ok = (whole > 0) & (positives > 0)
-    value = np.where(ok, caught / np.maximum(positives, 1), 0.0)
+    values = np.full((len(scores), iterations), np.nan)
+    above, rest, groups = np.zeros_like(total), np.zeros_like(total), []
+    for arm, found in enumerate(held):
+        if not found or not iterations:
+            continue
+        negatives, positives = np.stack([g.negatives for g in found]), np.stack([g.positives for g in found])
+        after = np.arange(len(found))[:, None] > where[arm][None]
+        above[arm] = np.where(after, positives, 0).sum(axis=0)
+        rest[arm] = _rank(specificity, total[arm]) - np.where(np.arange(len(found))[:, None] < where[arm][None], negatives, 0).sum(axis=0)
+        values[arm] = positives.sum(axis=0)
+        groups += [(arm, k, found[k].low, found[k].high) for k in np.unique(where[arm][total[arm] > 0]) if not found[k].single()]
+
+    def look(key: tuple, t: pa.Table) -> pa.Table:
+        arm, k = (x.as_py() for x in key)
+        its = np.flatnonzero((where[arm] == k) & (total[arm] > 0))
+        t = t.sort_by("s")
+        s, code, label = (t[x].to_numpy() for x in ("s", "code", "y"))
+        last = np.flatnonzero(np.concatenate([s[1:] != s[:-1], [True]]))
+        who, at = np.unique(code, return_inverse=True)
+        caught = np.zeros(len(its), np.int64)
+        for block in _blocks(len(its), len(s)):
+            w = weight_matrix(who, its[block])[at]
+            stop = (np.cumsum(np.where(label[:, None] == 0, w, 0), axis=0)[last] >= rest[arm, its[block]][None]).argmax(axis=0)
+            hits = np.cumsum(np.where(label[:, None] == 1, w, 0), axis=0)[last]
+            caught[block] = hits[-1] - hits[stop, np.arange(len(block))]
+        return pa.table({"arm": np.full(len(its), arm), "it": its, "caught": caught})
+
+    if groups:
+        arms = []
+        for arm in range(len(scores)):
+            s = F.col(f"s{arm}")
+            at = F.coalesce(*(F.when(_between(s, low, high), F.lit(int(k))) for a, k, low, high in groups if a == arm), F.lit(None).cast("int"))
+            arms.append(rows.select(F.lit(arm).alias("arm"), at.alias("k"), "code", "y", s.alias("s")).where("k is not null and not isnan(s)"))
+        found = reduce(DataFrame.unionByName, arms).groupBy("arm", "k").applyInArrow(look, "arm bigint, it bigint, caught bigint")
+        for r in found.collect():
+            above[r.arm, r.it] += r.caught
+    ok = (total > 0) & (values > 0)
     table = pa.table({
         "it": pa.array(np.tile(np.arange(iterations), len(scores)), pa.int64()), "arm": pa.array(np.repeat(scores, iterations).tolist(), pa.string()),
-        "sensitivity": pa.array(value.ravel(), pa.float64(), mask=~ok.ravel()),
+        "sensitivity": pa.array(np.where(ok, above / np.where(ok, values, 1), 0.0).ravel(), pa.float64(), mask=~ok.ravel()),
     })
     return spark.createDataFrame(table)
 
 
+def _between(s: Column, low: float, high: float) -> Column:
+    return ~F.isnan(s) & (s <= high) & (s > low if low > -np.inf else F.lit(True))
+
+
+def _rank(specificity: float, negatives: np.ndarray) -> np.ndarray:
+    """Which of so many negatives has the threshold, counted from 1."""
+    return np.minimum(np.maximum(np.ceil(specificity * negatives).astype(np.int64), 1), negatives)
+
+
 def paired_delta(cases: DataFrame, iterations: int = 2000, cand: str = "cand", champ: str = "champ", alpha: float = 0.05, specificity: float = 0.96, y: str = "y", pid: str = "pid") -> DataFrame:
     """(point, lo, hi, n): the paired difference of sensitivities, and its interpolated quantiles over shared resamples.
 

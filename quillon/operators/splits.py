@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.canonical import content_id, dumps
-from quillon.functions.expr import distance, hamming
+from quillon.functions.expr import hamming
+from quillon.operators.neighbours import nearest as nearest
 
 SPLITS = ("train", "val", "test", "sealed")
 
@@ -94,20 +95,6 @@ def near_images(images: DataFrame, most: int = 4, bits: int = 64, key: str = "ca
     return pairs.join(x, "h1").join(y, "h2").where("sx != sy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
 
 
-def nearest(queries: DataFrame, atlas: DataFrame, k: int = 5, digits: int | None = 4, blocks: int = 32, others: bool = False) -> DataFrame:
-    """(query_id, atlas_id, rank): the k nearest atlas entries of each query, equal (rounded) distances in atlas order.
-
-    A stated query set against all entries, in blocks: every block of the atlas keeps k entries a query before
-    the blocks meet, so no task holds more than a block's share. With others, an entry of a query's own id is left out.
-    """
-    d = distance(F.col("q.embedding"), F.col("a.embedding"))
-    d = F.round(d, digits) if digits is not None else d
-    j = queries.alias("q").join(atlas.alias("a"), F.col("q.query_id") != F.col("a.atlas_id") if others else F.lit(True)).select("q.query_id", "a.atlas_id", d.alias("d"), F.pmod(F.xxhash64("a.atlas_id"), F.lit(blocks)).alias("block"))
-    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("d", "atlas_id"))
-    j = j.withColumn("r", place("query_id", "block")).where(F.col("r") <= k)
-    return j.withColumn("rank", place("query_id")).where(F.col("rank") <= k).select("query_id", "atlas_id", "rank")
-
-
 def balanced_sample(df: DataFrame, group: str, key: str) -> DataFrame:
     """As many rows of each group as the smallest has, by the order of the MD5 of their key."""
     n = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))

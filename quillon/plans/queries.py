@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import expr
 from quillon.operators import candidates as cand
-from quillon.operators import case_path, conformal, events, gate, learners, metrics, resample, sequential, splits
+from quillon.operators import case_path, conformal, events, gate, intervals, learners, memo, metrics, resample, sequential, splits
 from quillon.plans import cases as v
 from quillon.plans.cases import BANK, BOXES, CASES, KEPT, LEDGER, REPLAYS, REPORTS
+from quillon.plans.written import shared_dir
+from quillon.sources.snapshots import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,6 +123,22 @@ def _(s, d):
     return resample.paired_delta(v.cases(s, d)).select(r9("point").alias("point"), r9("lo").alias("lo"), r9("hi").alias("hi"), "n")
 
 
+@query(
+    "a6_intervals",
+    f"""with {CASES}, {_WEIGHTS.format(n=2000)}, w1 as (select it, pid, w from w where w > 0 union all select -1, pid, 1 from p),
+g as (select it, cand s, sum(y * w) p, sum((1 - y) * w) n, sum(w * (cand - y) * (cand - y)) d from cases join w1 using (pid) group by all),
+c as (select *, sum(n) over (partition by it order by s) upto, sum(n) over (partition by it) nn, sum(p) over (partition by it) pp from g),
+t as (select it, min(case when upto >= greatest(1, least(nn, ceil(0.96::double * nn))) then s end) thr from c group by it),
+m as (select it, sum(d) / sum(p + n) brier, case when min(pp) > 0 and min(nn) > 0 then sum(p * (upto - n / 2e0)) / (cast(min(pp) as double) * min(nn)) end auroc, case when min(pp) > 0 and min(nn) > 0 then sum(case when s > thr then p else 0 end) * 1e0 / min(pp) end sensitivity from c join t using (it) group by it),
+u as (select it, 'auroc' metric, auroc x from m union all select it, 'brier', brier from m union all select it, 'sensitivity', sensitivity from m)
+select metric, round(max(case when it < 0 then x end), 9) point, round(quantile_cont(x, 0.025) filter (it >= 0), 9) lo, round(quantile_cont(x, 0.975) filter (it >= 0), 9) hi, count(x) filter (it >= 0) n from u group by metric""",
+)
+def _(s, d):
+    kinds = {"auroc": intervals.Auroc(), "brier": intervals.Brier(), "sensitivity": "sensitivity"}
+    rows = [intervals.interval(v.cases(s, d), m, score="cand").select(F.lit(name).alias("metric"), r9("point").alias("point"), r9("lo").alias("lo"), r9("hi").alias("hi"), "n") for name, m in kinds.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("a6_bootstrap_drawn")
 def _(s, d):
     return resample.bootstrap(v.cases(s, d), ["cand", "champ"])
@@ -593,6 +613,35 @@ def _(s, d):
     return events.memo_lookup(o.select("o_orderkey", "key"), events.memo_load(o.where("seq % 3 = 0"))).select("o_orderkey", "result", "hit")
 
 
+_TOOL = "case event_type when 'view' then 'measure' when 'click' then 'segment' when 'purchase' then 'run_detector' when 'error' then 'crop_region' else 'list_reports' end"
+
+
+@query(
+    "h5_nested_keys",
+    f"""with c as (select event_id, {_TOOL} tool, event_id * 7 % (select 2 * max(doc_id) from documents) a, user_id b, event_id % 8 / 8e0 part, cast(floor(value * 100) as bigint) cents, user_id % 5 run from events),
+h as (select doc_id, sha256(text) sha from documents)
+select event_id, case when tool in ('measure', 'run_detector') then 'cross:' when tool in ('segment', 'crop_region') then 'inrun:' || run || ':' end || sha256('{{"kwargs":{{"boxes":[[0.123456789012,' || cents || '],{{"of":[{{"__artifact_sha256__":"' || y.sha || '"}},' || part || ']}}],"image":{{"__artifact_sha256__":"' || x.sha || '"}},"note":"no art:1"}},"tool":"' || tool || '","version":"' || case tool when 'measure' then 'v2' else '' end || '"}}') key
+from c left join h x on x.doc_id = a left join h y on y.doc_id = b""",
+)
+def _(s, d):
+    docs = v.table(s, d, "documents").select(F.concat(F.lit("art:"), F.col("doc_id").cast("string")).alias("handle"), F.sha2("text", 256).alias("sha256"), "doc_id")
+    most = docs.agg(F.max("doc_id").alias("_m"))
+    e, handle = v.table(s, d, "events").crossJoin(F.broadcast(most)), lambda c: F.concat(F.lit("art:"), c.cast("string"))
+    of = F.concat(F.lit('{"of": ["'), handle(F.col("user_id")), F.lit('", '), (F.col("event_id") % 8 / 8.0).cast("string"), F.lit("]}"))
+    text = F.concat(F.lit('{"note": "no art:1", "image": "'), handle(F.col("event_id") * 7 % (2 * F.col("_m"))), F.lit('", "boxes": [[0.12345678901234, '), F.floor(F.col("value") * 100).cast("string"), F.lit("], "), of, F.lit("]}"))
+    return memo.call_keys(e.select("event_id", F.expr(_TOOL).alias("tool"), text.alias("arguments"), (F.col("user_id") % 5).alias("run")), docs, {"measure": "v2"}).select("event_id", "key")
+
+
+@query("k5_memo_store", "with m as (select o_custkey % 500 k, o_orderkey seq, o_orderstatus result, octet_length(encode('cross:' || (o_custkey % 500))) + octet_length(encode(o_orderstatus)) bytes from orders), l as (select *, row_number() over (partition by k order by seq desc) rn from m), r as (select *, sum(bytes) over (order by seq desc) t, max(seq) over () newest from l where rn = 1) select 'cross:' || k key, seq, result from r where t <= 2000 or seq = newest")
+def _(s, d):
+    o = v.table(s, d, "orders").select(F.concat(F.lit("cross:"), (F.col("o_custkey") % 500).cast("string")).alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("result"))
+    store = memo.Memo(Snapshots(s, f"{shared_dir(s)}/memo-{uuid.uuid4().hex}"), cap=2000)
+    for k in range(3):  # three writers' parts, in no order
+        store.put(o.where(F.col("seq") % 3 == (k + 1) % 3))
+    store.compact()
+    return store.load().select("key", "seq", "result")
+
+
 @query("w9_memo_compact", "with m as (select o_custkey key, max(o_orderkey) seq, max_by(cast(floor(o_totalprice) as bigint), o_orderkey) bytes from orders group by 1), r as (select *, sum(bytes) over (order by seq desc) t, max(seq) over () newest from m) select key, seq, bytes from r where t <= 5000000 or seq = newest")
 def _(s, d):
     log = v.table(s, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.floor("o_totalprice").alias("bytes"))

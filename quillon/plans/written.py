@@ -8,15 +8,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir, which outlives lost executors and stays until cleaned.
-
-    Runs df at once. Without that setting a local folder serves in local mode; a cluster must name a shared one.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without that setting a local folder serves in local mode; a cluster must name a shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -24,6 +20,12 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
         root = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df as a Parquet table in the shared folder, which outlives lost executors and stays until cleaned. Runs df at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

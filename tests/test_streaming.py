@@ -3,27 +3,78 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from quillon.operators.sequential import EProcess
 from quillon.streaming import eprocess
 
 
-def test_eprocess_stream(spark, tmp_path):
+SCHEMA = "trial string, seq bigint, pid string, y int, cand double, champ double"
+
+
+@pytest.fixture
+def keyed(spark):
+    name, value = next(iter(eprocess.STORE.items()))
+    spark.conf.set(name, value)
+    yield spark
+    spark.conf.unset(name)
+
+
+def _run(spark, tmp_path, until=None, **options):
+    """What a query emits over all that is there; with until, which ends it, of one that goes on for its timers."""
+    import time
+
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in" / "*"))
+    found = []
+    q = eprocess.test_stream(stream, **options).writeStream.outputMode("update").foreachBatch(lambda df, k: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c"))
+    if until is None:
+        q.trigger(availableNow=True).start().awaitTermination(100)
+        return found
+    q = q.trigger(processingTime="100 milliseconds").start()
+    begun = time.time()
+    while not until(found) and time.time() - begun < 60:
+        time.sleep(0.2)
+    q.stop()
+    return found
+
+
+def test_eprocess_stream_over_ten_batches_and_a_restart(keyed, tmp_path):
+    """Two trials; six micro-batches, then four more by a new query from the same checkpoint. Repeated clusters are refused across the restart."""
     rng = np.random.default_rng(6)
-    rows = [("t", k, f"P{k}", 1, float(rng.random() < 0.95), float(rng.random() < 0.7)) for k in range(60)]
-    schema = "trial string, seq bigint, pid string, y int, cand double, champ double"
-    for k in range(3):
-        part = rows[20 * k : 20 * k + 20] + ([rows[0]] if k == 2 else [])
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    q = eprocess.test_stream(stream).writeStream.format("memory").queryName("e").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = spark.table("e").orderBy("n").collect()[-1]
-    e = EProcess(0.02)
-    for k in range(3):
-        e.update([(y, c, h, p) for _, _, p, y, c, h in rows[20 * k : 20 * k + 20]])
-    assert last.n == 60 and last.refused == 1 and last.accepted_at == e.accepted_at
-    assert abs(last.log_wealth - e.log_wealth) < 1e-9
+    tests, refused = {"t": EProcess(0.02), "u": EProcess(0.02)}, {"t": 0, "u": 0}
+    got = []
+    for k in range(10):
+        part = [("tu"[i % 2], 100 * k + i, f"P{100 * k + i // 4}", int(i % 7 > 0), float(rng.random() < 0.95), float(rng.random() < 0.6)) for i in range(60)]
+        again = [("t", 100 * k + 98, "P200", 1, 1.0, 0.0), ("u", 100 * k + 99, None, 1, 1.0, 0.0)] if k in (3, 7) else []
+        keyed.createDataFrame(part + again, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k:02}"))
+        for t, e in tests.items():
+            e.update([(y, c, h, p) for trial, _, p, y, c, h in part if trial == t])
+            refused[t] += len(again) // 2 * (t == "t")
+        if k in (5, 9):
+            got += _run(keyed, tmp_path)
+    assert len(got) == 20
+    last = {r.trial: r for r in got}
+    for t, e in tests.items():
+        r = last[t]
+        assert (r.n, r.accepted_at, r.refused, r.closed) == (e.n, e.accepted_at, refused[t], False)
+        assert abs(r.log_wealth - e.log_wealth) < 1e-9 and abs(r.max_log_wealth - e.max_log_wealth) < 1e-9
+    assert tests["t"].accepted_at
+
+
+def test_an_idle_trial_closes(keyed, tmp_path):
+    """Its result stays, its clusters go, and what comes later is refused, also by a query that starts again."""
+    put = lambda k: keyed.createDataFrame([("t", k, f"P{k}", 1, 1.0, 0.0)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    put(0)
+    got = _run(keyed, tmp_path, lambda found: any(r.closed for r in found), idle=50)
+    assert (got[-1].n, got[-1].refused, got[-1].closed) == (1, 0, True)
+    put(1)
+    got = _run(keyed, tmp_path, lambda found: any(r.refused for r in found), idle=50)
+    assert (got[-1].n, got[-1].refused, got[-1].closed) == (1, 1, True)
+
+
+def test_state_needs_the_store(spark):
+    with pytest.raises(ValueError, match="RocksDB"):
+        eprocess.test_stream(spark.createDataFrame([], SCHEMA))
 
 
 def test_ingest_and_windows(spark, sf_dir, tmp_path):

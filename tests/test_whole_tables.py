@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -46,8 +47,6 @@ def test_lineage_registers_every_order(spark, orders):
 
 
 def test_searches_ask_for_every_twentieth_row_among_all_others(spark, sf_dir):
-    import numpy as np
-
     e = pd.read_parquet(f"{sf_dir}/embeddings.parquet").sort_values("vec_id", ignore_index=True)
     ids, x = e.vec_id.to_numpy(), np.stack(e.embedding.to_list()).astype(np.float64)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -73,8 +72,6 @@ def test_resampling_by_plain_numpy(spark, sf_dir):
     import hashlib
     import math
 
-    import numpy as np
-
     from quillon.operators.resample import weight_matrix
 
     c, deltas = _cases(sf_dir), []
@@ -101,8 +98,6 @@ def test_resampling_by_plain_numpy(spark, sf_dir):
 
 def test_the_gate_by_plain_numpy(spark, sf_dir):
     """The other checks of the gate from the rows themselves."""
-    import numpy as np
-
     e, o = pd.read_parquet(f"{sf_dir}/events.parquet"), pd.read_parquet(f"{sf_dir}/orders.parquet")
     c = _cases(sf_dir)
     got = {r.name: (r.value, r.passed) for r in QUERIES["x21_gate"](spark, sf_dir).collect()}
@@ -122,8 +117,6 @@ def test_the_gate_by_plain_numpy(spark, sf_dir):
 
 def test_hashed_weights_are_as_wide_as_true_draws(spark):
     """Counts have mean and variance 1, and the spread of a resampled mean is that of draws with replacement."""
-    import numpy as np
-
     from quillon.operators.resample import drawn_weights, hashed_weights, weight_matrix
 
     rng = np.random.default_rng(2)
@@ -152,8 +145,6 @@ def test_resampling_of_odd_tables(spark):
 
 
 def test_heads_have_the_settings_of_the_reference(spark, sf_dir):
-    import numpy as np
-
     c = _cases(sf_dir)
     logit, y = np.log((c.cand + 1e-9) / (1 - c.cand + 1e-9)).to_numpy(), c.y.to_numpy()
     nll = {}
@@ -177,8 +168,6 @@ def test_tags_are_judged_whole(spark, tmp_path):
 
 def test_image_queries_are_the_kernels(spark, sf_dir):
     """Each image query, row by row, against the plain kernel on the same pixels."""
-    import numpy as np
-
     from quillon.operators import kernels as k
     from quillon.plans.queries import _images
 
@@ -201,8 +190,6 @@ def test_image_queries_are_the_kernels(spark, sf_dir):
 
 
 def test_logistic_query_has_a_zero_gradient(spark, sf_dir):
-    import numpy as np
-
     c = _cases(sf_dir)
     x = c[["cand", "champ"]].to_numpy()
     y = np.where(c.cand > 0.65, 0, np.where(c.cand < 0.35, 1, 2))
@@ -211,3 +198,73 @@ def test_logistic_query_has_a_zero_gradient(spark, sf_dir):
     for k in range(3):
         w = np.array([r.weight for r in rows[3 * k : 3 * k + 3]])
         assert np.abs(z.T @ (1 / (1 + np.exp(-(z @ w))) - (y == k)) + 1e-3 * w).max() < 1e-3 * len(x)
+
+
+def _reference_intervals(y, s, pid, its=400):
+    import hashlib
+
+    from quillon.operators.resample import weight_matrix
+
+    code = np.array([int(hashlib.md5(str(p).encode()).hexdigest()[:7], 16) for p in pid], dtype=np.uint64)
+    w = np.concatenate([np.ones((len(y), 1)), weight_matrix(code, np.arange(its))], axis=1)
+    brier = ((s - y) ** 2) @ w / w.sum(axis=0)
+    hit = ((s >= 0.5) == (y == 1)) @ w / w.sum(axis=0)
+    auroc, sens = [], []
+    order = np.argsort(s, kind="stable")
+    for c in w.T:
+        p, n = c * (y == 1), c * (y == 0)
+        below = np.array([n[order][: np.searchsorted(s[order], v)].sum() for v in s])
+        tied = np.array([n[s == v].sum() for v in s])
+        auroc.append((p * (below + tied / 2)).sum() / (p.sum() * n.sum()) if p.sum() and n.sum() else np.nan)
+        k = min(max(int(np.ceil(0.96 * n.sum())), 1), n.sum()) if n.sum() else 0
+        cut = s[order][np.searchsorted(np.cumsum(n[order]), k)] if k else np.nan
+        sens.append(p[s > cut].sum() / p.sum() if p.sum() and n.sum() else np.nan)
+    return {"brier": brier, "accuracy": hit, "auroc": np.array(auroc), "sensitivity": np.array(sens)}
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 70])
+def test_intervals_of_any_metric(spark, partitions):
+    """A third of the scores tie, patients have several cases, some rows have no place; against weighted numpy."""
+    from quillon.operators import intervals
+
+    rng = np.random.default_rng(partitions)
+    n = 300
+    pid = rng.integers(0, 120, n)
+    y = (rng.random(n) < 0.4).astype(int)
+    s = np.clip(np.round(0.3 * y + rng.random(n) * 0.7, 2), 0, 1)
+    s[rng.permutation(n)[:100]] = 0.5
+    rows = [(int(a), int(b), float(c)) for a, b, c in zip(pid, y, s, strict=True)]
+    odd = [(None, 1, 0.3), (1, None, 0.2), (2, 1, None), (3, 0, float("nan")), (4, 2, 0.1)]
+    df = spark.createDataFrame(rows + odd, "pid int, y int, score double").repartition(min(partitions, 9))
+    want = _reference_intervals(y, s, pid)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for name, metric in {"brier": intervals.Brier(), "accuracy": intervals.Accuracy(), "auroc": intervals.Auroc(), "sensitivity": "sensitivity"}.items():
+            got = intervals.interval(df, metric, 400).first()
+            lo, hi = np.nanquantile(want[name][1:], [0.025, 0.975])
+            assert (got.point, got.lo, got.hi, got.n) == (pytest.approx(want[name][0]), pytest.approx(lo), pytest.approx(hi), 400), name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    empty = intervals.interval(df.limit(0), intervals.Auroc(), 5).first()
+    assert tuple(empty) == (None, None, None, 0)
+    one = intervals.interval(df.where("y = 1"), intervals.Auroc(), 5).first()
+    assert tuple(one) == (None, None, None, 0)
+
+
+def test_segments_are_cut_until_they_are_small(spark, monkeypatch):
+    """Many passes give what one gives, with a score that a third of the cases share, and infinite scores."""
+    from quillon.operators import resample
+
+    rng = np.random.default_rng(9)
+    n = 4000
+    s = rng.random(n)
+    s[rng.permutation(n)[: n // 3]] = 0.93
+    s[:5], s[5:9] = np.inf, -np.inf
+    df = spark.createDataFrame(pd.DataFrame({"pid": rng.integers(0, 900, n), "y": (rng.random(n) < 0.3).astype(int), "a": s, "b": rng.permutation(s)})).repartition(5)
+    got = {}
+    for rows, cuts in ((20_000, 64), (50, 4), (1, 8)):
+        monkeypatch.setattr(resample, "RANGE_ROWS", rows)
+        monkeypatch.setattr(resample, "CUTS_OF_ARM", cuts)
+        got[rows] = {(r.it, r.arm): r.sensitivity for r in resample.resampled_sensitivity(df, ["a", "b"], 60).collect()}
+    assert len(got[1]) == 120 and got[1] == got[50] == got[20_000]
