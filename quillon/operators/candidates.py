@@ -19,10 +19,11 @@ DEFAULTS = {
 }
 
 
-def quality_verdict(pixels: Column) -> Column:
-    """QC of an array of intensities: flat images are inadequate, mostly saturated ones degraded."""
-    bright = F.size(F.filter(pixels, lambda p: p >= 0.999)) / F.size(pixels)
-    return F.when(F.array_max(pixels) - F.array_min(pixels) < 0.05, "inadequate_defer").when(bright > 0.5, "degraded").otherwise("adequate")
+def quality_verdict(pixels: Column, flat: float = 0.05, bright: float = 0.999, most: float = 0.5) -> Column:
+    """QC of an array of intensities: flat images are inadequate, mostly saturated ones degraded. No pixels, or null ones, are inadequate."""
+    share = F.try_divide(F.size(F.filter(pixels, lambda p: p >= bright)), F.size(pixels))
+    spread = F.array_max(pixels) - F.array_min(pixels)
+    return F.when(spread.isNull() | (spread < flat), "inadequate_defer").when(share > most, "degraded").otherwise("adequate")
 
 
 def reproduction(candidates: DataFrame, reads: DataFrame, n_reads: Column | int, overlap: float = 0.3, least: int = 3) -> DataFrame:

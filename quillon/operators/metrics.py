@@ -38,15 +38,15 @@ def auroc_by(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -
 
 def sensitivity_by(df: DataFrame, by: list[str], specificity: float = 0.96, y: str = "y", score: str = "score") -> DataFrame:
     """(by, p, n, sensitivity) of each group: its positives above its own threshold at that specificity; null without both classes."""
-    g = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    g = running_by(g, by, "s", {"upto": F.col("n")}).alias("g")
-    sizes = g.groupBy(*(f"g.{k}" for k in by)).agg(F.sum("p").alias("pp"), F.sum("n").alias("nn")).alias("z")
-    same = lambda a, b: reduce(lambda x, z: x & z, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by))
+    each = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
+    # the first score whose negatives reach the k-th is the threshold; positives up to it are missed
+    g = running_by(each, by, "s", {"upto": F.col("n"), "missed": F.col("p")}).alias("g")
+    z = each.groupBy(*by).agg(F.sum("p").alias("pp"), F.sum("n").alias("nn")).alias("z")
+    same = reduce(lambda x, y: x & y, (F.col(f"g.{k}").eqNullSafe(F.col(f"z.{k}")) for k in by))
     k = F.least(F.greatest(F.ceil(F.lit(float(specificity)) * F.col("nn")), F.lit(1)), F.col("nn"))
-    cut = g.join(sizes, same("g", "z")).groupBy(*(F.col(f"z.{x}") for x in by)).agg(F.first("pp").alias("pp"), F.first("nn").alias("nn"), F.min(F.when((F.col("n") > 0) & (F.col("upto") >= k), F.col("s"))).alias("threshold")).alias("c")
-    above = F.sum(F.when(F.col("s") > F.col("threshold"), F.col("p")).otherwise(0))
-    out = g.join(cut, same("g", "c")).groupBy(*(F.col(f"c.{x}") for x in by)).agg(F.first("pp").alias("p"), F.first("nn").alias("n"), above.alias("hit"))
-    return out.select(*by, "p", "n", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("hit") / F.col("p")).alias("sensitivity"))
+    cut = F.min(F.when((F.col("n") > 0) & (F.col("upto") >= k), F.struct("s", "missed")))
+    out = g.join(z, same).groupBy(*(F.col(f"z.{x}") for x in by)).agg(F.first("pp").alias("p"), F.first("nn").alias("n"), cut.alias("cut"))
+    return out.select(*by, "p", "n", F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("p") - F.col("cut.missed")) / F.col("p")).alias("sensitivity"))
 
 
 def ablation(arms: DataFrame, specificity: float = 0.96, costs: tuple[str, ...] = ("tool_calls", "wall_ms", "usd")) -> DataFrame:
