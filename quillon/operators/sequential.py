@@ -14,6 +14,21 @@ def payoffs(cases: DataFrame, margin: float, y: str = "y", cand: str = "cand", c
     return g.agg((F.avg(F.col(cand).cast("double") - F.col(champ).cast("double")) + F.lit(margin)).alias("x"), F.min(order).alias("first"))
 
 
+def paired(cand: DataFrame, champ: DataFrame, key: str = "case_id", score: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, cand, champ): the scores of both arms, case by case; keep are columns of the candidate's arm.
+
+    Every case must be there once in either arm; a case that is not fails the job, as do null keys. The arms meet in one
+    grouping, so a key that repeats costs a count and no pairs.
+    """
+    arm = lambda df, mine: df.select(F.col(key).alias("_k"), F.struct(F.lit(mine).alias("mine"), F.col(score).alias("s"), *(F.col(c) if mine else F.lit(None).alias(c) for c in keep)).alias("_r"))
+    rows = arm(cand, True).select("_k", F.col("_r").alias("a"), F.lit(None).alias("b")).unionByName(arm(champ, False).select("_k", F.lit(None).alias("a"), F.struct("_r.s").alias("b")))
+    g = rows.groupBy("_k").agg(F.count("a").alias("_a"), F.count("b").alias("_b"), F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
+    once = F.col("_k").isNotNull() & (F.col("_a") == 1) & (F.col("_b") == 1)
+    said = F.concat(F.lit("a case must be once in each arm: "), F.coalesce(F.col("_k").cast("string"), F.lit("null")))
+    g = g.where(F.when(once, True).otherwise(F.raise_error(said).cast("boolean")))
+    return g.select(F.col("_k").alias(key), *(F.col(f"a.{c}").alias(c) for c in keep), F.col("a.s").alias("cand"), F.col("b.s").alias("champ"))
+
+
 def repeated_clusters(payoff: DataFrame) -> DataFrame:
     """Clusters bet on in more than one batch, which the test refuses."""
     return payoff.groupBy("pid").agg(F.count_distinct("batch").alias("batches")).where("batches > 1")
