@@ -28,11 +28,11 @@ class Run(NamedTuple):
 
 
 def verified(routed: DataFrame, candidates: DataFrame, reads: DataFrame, n_reads: int, p: dict, crops: DataFrame | None = None, segments: DataFrame | None = None) -> DataFrame:
-    """The candidates of routed(case_id, lane) with reproduction, zoom and veto; in the fast lane none is looked at and none is kept."""
+    """The candidates of routed(case_id, lane) with examined, reproduction, zoom and veto; in the fast lane none is looked at and none is kept."""
     mine = candidates.join(routed.where("lane is not null").select("case_id", "lane"), "case_id")
     slow = reproduction(mine.where("lane <> 'fast_negative'").drop("lane"), reads, n_reads, least=p["min_reproduced"])
     none = {"reproduced": F.lit(0).cast("bigint"), "reproduced_fraction": F.lit(0.0), "kept": F.lit(False)}
-    out = slow.unionByName(mine.where("lane = 'fast_negative'").drop("lane").withColumns(none))
+    out = slow.withColumn("examined", F.lit(True)).unionByName(mine.where("lane = 'fast_negative'").drop("lane").withColumns(none | {"examined": F.lit(False)}))
     out = out.withColumn("zoom_confirmed", F.lit(None).cast("boolean")) if crops is None else zoom_confirm(zoom_budget(out, p["max_zoom_crops"]), crops, p["zoom_score_ratio"])
     if segments is None:
         return out.withColumns({"veto_reason": F.lit(None).cast("string"), "vetoed": F.lit(False)})

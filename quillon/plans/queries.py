@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from quillon.functions import expr
 from quillon.operators import candidates as cand
-from quillon.operators import case_path, conformal, events, gate, intervals, learners, memo, metrics, resample, sequential, splits
+from quillon.operators import case_path, conformal, events, gate, intervals, learners, memo, metrics, neighbours, resample, sequential, splits, toolcalls, trail
 from quillon.plans import cases as v
 from quillon.plans.cases import BANK, BOXES, CASES, KEPT, LEDGER, REPLAYS, REPORTS
-from quillon.plans.written import shared_dir
+from quillon.plans.written import shared_dir, written
+from quillon.sources.grids import grids
 from quillon.sources.snapshots import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,8 +366,7 @@ def _(s, d):
 
 @query("p1_quality_verdict", "with x as (select vec_id, list_max(embedding) - list_min(embedding) r, len(list_filter(embedding, lambda e: e >= 0.1::float)) / cast(len(embedding) as double) b from embeddings) select vec_id, case when r < 0.4e0 then 'inadequate_defer' when b > 0.2e0 then 'degraded' else 'adequate' end qc from x")
 def _(s, d):
-    x = v.vectors(s, d).withColumn("r", F.array_max("embedding") - F.array_min("embedding")).withColumn("b", F.size(F.filter("embedding", lambda e: e >= F.lit(0.1).cast("float"))) / F.size("embedding"))
-    return x.select("vec_id", F.when(F.col("r") < 0.4, "inadequate_defer").when(F.col("b") > 0.2, "degraded").otherwise("adequate").alias("qc"))
+    return v.vectors(s, d).select("vec_id", cand.quality_verdict(F.col("embedding"), 0.4, 0.1, 0.2).alias("qc"))
 
 
 @query("p2_lane", f"with {BOXES}, t as (select case_id, max(score) top from candidates group by 1), b as (select case_id, count(*) n from blindspots where score >= 0.3e0 group by 1) select p.case_id, case when coalesce(top, 0) < 0.7e0 and coalesce(n, 0) = 0 then 'fast_negative' else 'routine' end lane from patients p left join t using (case_id) left join b using (case_id)")
@@ -431,6 +431,19 @@ def _(s, d):
     return _run(s, d).findings.select("case_id", "candidate_id", "score", r9("size_mm").alias("size_mm"), "assessment")
 
 
+@query(
+    "x22_trail",
+    f"{_RUN}, e as (select v4.case_id, count(*) nv, count(*) filter (vetoed) nx, count(*) filter (keep) nk from v4 join lanes l on l.case_id = v4.case_id where l.lane = 'routine' group by 1) select lanes.case_id, 2 + (lane is not null)::int + coalesce(nv, 0) + coalesce(nx, 0) + coalesce(nk, 0) entries, true intact, 2 * coalesce(nk, 0) cited, true resolved from lanes left join e using (case_id)",
+)
+def _(s, d):
+    """How many entries of each kind the chains have, whether all chains are whole, and whether each cited hash is an entry of the finding's case."""
+    entries, cited = trail.trail(_run(s, d))
+    whole = events.verify_chain(entries, "case_id", "seq", "body").select("case_id", "entries", "intact")
+    refs = cited.select("case_id", F.explode("evidence").alias("entry_sha"))
+    found = refs.join(entries.select("case_id", "entry_sha", F.lit(True).alias("_there")), ["case_id", "entry_sha"], "left").groupBy("case_id").agg(F.count("*").alias("cited"), F.every(F.coalesce("_there", F.lit(False))).alias("resolved"))
+    return whole.join(found, "case_id", "left").select("case_id", "entries", "intact", F.coalesce("cited", F.lit(0)).alias("cited"), F.coalesce("resolved", F.lit(True)).alias("resolved"))
+
+
 @query("x22_reviews", f"{_RUN}, g as (select case_id, count(*) n, string_agg(candidate_id, ',' order by candidate_id) ids from found group by 1) select case_id, deferral_reason reason, coalesce(n, 0) n_regions, coalesce(ids, '') ids from fin left join g using (case_id) where decision = 'defer_to_human'")
 def _(s, d):
     r = _run(s, d).reviews
@@ -504,15 +517,15 @@ def _(s, d):
 
 @query("p11_record_validity", f"with {BANK} select record_id, seq, record_id % 3 <> seq % 3 and not (kind = 'confirm' and record_id % 2 = 0) and seq % 4 in (0, 1) valid from bank")
 def _(s, d):
-    b = v.bank_events(s, d)
-    ok = (F.col("record_id") % 3 != F.col("seq") % 3) & ~((F.col("kind") == "confirm") & (F.col("record_id") % 2 == 0)) & (F.col("seq") % 4).isin(0, 1)
-    return b.select("record_id", "seq", ok.alias("valid"))
+    b, c = v.bank_events(s, d), F.col
+    source, status = F.when(c("record_id") % 2 == 0, "eval_miss").otherwise("report"), F.when(c("kind") == "confirm", "confirmed").otherwise("probation")
+    return b.select("record_id", "seq", events.valid_record(c("seq") % 4, c("record_id") % 3, c("seq") % 3, source, status).alias("valid"))
 
 
 @query("p14_topic_search", "select p_partkey, p_name from part where contains(lower(p_name), '7') or contains(lower(p_type), 'e')")
 def _(s, d):
-    hit = F.contains(F.lower("p_name"), F.lower(F.lit("7"))) | F.contains(F.lower("p_type"), F.lower(F.lit("E")))
-    return v.table(s, d, "part").where(hit).select("p_partkey", "p_name")
+    part = v.table(s, d, "part")
+    return events.topic_entries(part, "7", "p_name").unionByName(events.topic_entries(part, "E", "p_type")).select("p_partkey", "p_name").distinct()
 
 
 # -- joins, splits ----------------------------------------------------------------------
@@ -571,9 +584,15 @@ def _(s, d):
     return splits.interleaved(v.table(s, d, "documents").select("doc_id"), "doc_id")
 
 
+@query("j8_paired", f"with {CASES} select case_id, pid, y, cand, champ from cases")
+def _(s, d):
+    c = v.cases(s, d)
+    return sequential.paired(c.select("case_id", "pid", "y", F.col("cand").alias("score")), c.select(F.col("champ").alias("score"), "case_id"), keep=("pid", "y"))
+
+
 @query("j9_labelled", "select d.doc_id, quality, n_chars from documents d join labels using (doc_id)")
 def _(s, d):
-    return v.table(s, d, "documents").join(v.table(s, d, "labels"), "doc_id").select("doc_id", "quality", "n_chars")
+    return learners.labelled(v.table(s, d, "documents"), v.table(s, d, "labels"), "doc_id", "quality").select("doc_id", "quality", "n_chars")
 
 
 # -- event stores ---------------------------------------------------------------------------
@@ -720,6 +739,40 @@ def _(s, d):
     return e.select("event_id", F.sha2(F.concat_ws("|", F.lit("embed"), F.coalesce("sha", F.lit("absent"))), 256).alias("key"))
 
 
+_CALL = "case event_type when 'click' then 'retrieve_similar' when 'purchase' then 'submit_review' when 'error' then 'run_eval_gate' else 'lookup_criteria' end"
+
+
+@query(
+    "x20_tool_calls",
+    f"""with c as (select event_id call, {_CALL} tool, event_id * 3 % (select 2 * max(vec_id) from embeddings) crop, event_id % 9 policy, user_id % 40 topic from events),
+f as (select *, case when tool = 'lookup_criteria' then min(call) over (partition by tool, topic) when tool = 'retrieve_similar' then min(call) over (partition by tool, crop) else call end original,
+  case tool when 'retrieve_similar' then crop in (select vec_id from embeddings) when 'run_eval_gate' then policy < 6 else true end fine from c),
+k as (select tool, 'tool_call' kind from f union all select tool, case when not fine then 'tool_failure' when original <> call then 'tool_result_cached' else 'tool_result' end from f)
+select tool, kind, count(*) n, true intact from k group by all""",
+)
+def _(s, d):
+    """Every event as a tool call of its user's case: how many entries of each kind each tool has, and whether all chains are whole."""
+    vectors = v.vectors(s, d).select(F.col("vec_id").alias("id"), "embedding")
+    most, e = vectors.agg(F.max("id").alias("_m")), F.col("event_id")
+    crop = F.concat(F.lit('{"crop": "'), (e * 3 % (2 * F.col("_m"))).cast("string"), F.lit('"}'))
+    policy = F.concat(F.lit('{"policy_id": "p'), (e % 9).cast("string"), F.lit('"}'))
+    topic = F.concat(F.lit('{"topic": "'), (F.col("user_id") % 40).cast("string"), F.lit('"}'))
+    review = F.concat(F.lit('{"case_id": "'), F.col("user_id").cast("string"), F.lit('"}'))
+    calls = v.table(s, d, "events").crossJoin(F.broadcast(most)).select(e.alias("call"), F.col("user_id").alias("case_id"), e.alias("seq"), F.expr(_CALL).alias("tool"), "event_type", crop.alias("crop"), policy.alias("policy"), topic.alias("topic"), review.alias("review"), F.lit("run").alias("run"))
+    calls = calls.withColumn("arguments", F.expr("case tool when 'retrieve_similar' then crop when 'run_eval_gate' then policy when 'submit_review' then review else topic end"))
+    calls = memo.call_keys(calls, s.createDataFrame([], "handle string, sha256 string"))
+    verdicts = v.replays(s, d).groupBy("policy_id").agg(F.every("passed").alias("passed"), F.count("*").cast("string").alias("summary"))
+    corpus = v.table(s, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(" "), "n_name").alias("topic"), F.col("n_name").alias("text"))
+    tools = {
+        "retrieve_similar": toolcalls.retrieve_similar(vectors, neighbours.build(vectors.withColumnRenamed("id", "atlas_id"), "atlas_id")), "lookup_criteria": toolcalls.lookup_criteria(corpus, "v1"),
+        "run_eval_gate": toolcalls.run_eval_gate(verdicts), "submit_review": toolcalls.submit_review(),
+    }
+    entries = written(toolcalls.answer(calls, tools), "entries")
+    whole = events.verify_chain(entries, "case_id", "seq", "body").agg(F.every("intact").alias("intact"))
+    counted = entries.groupBy(F.get_json_object("body", "$.tool").alias("tool"), "kind").agg(F.count("*").alias("n"))
+    return counted.crossJoin(F.broadcast(whole))
+
+
 @query("x24_budget", "select o_orderkey case_id, case when o_totalprice > 200000 then 'usd' when o_custkey % 100 > 80 then 'output_tokens' end fallback_reason, case when o_totalprice > 200000 or o_custkey % 100 > 80 then 'no_recall' else 'recall' end decision from orders")
 def _(s, d):
     from quillon.operators.adjudicate import enforce_budget
@@ -841,19 +894,21 @@ def _(s, d):
     return tree.predict(c.drop("decision")).where("cand < 0.34 or cand between 0.36 and 0.64 or cand > 0.66").select("case_id", "decision")
 
 
-# -- images: no SQL, tested against plain numpy -------------------------------------------------
+# -- images: tested against plain numpy where SQL can't say it -------------------------------------------------
 
 
 def _images(s, d):
-    """An image for each supplier, a dozen at least."""
-    from quillon.sources.phantom import generate
-
-    return generate(s, patients=max(12, v.table(s, d, "supplier").count()), images=1, prevalence=0.5, size=96)
+    """An image for each vector."""
+    return grids(v.vectors(s, d), "vec_id", "embedding")
 
 
 @query("s13_phantom")
 def _(s, d):
-    return _images(s, d).select("case_id", "patient_id", "site", "label", F.size("pixels").alias("n_pixels"))
+    """A drawn case for each supplier, its stream and label by the supplier's key."""
+    from quillon.sources.phantom import generate
+
+    drawn = generate(s, patients=v.table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), images=1, prevalence=0.5, size=96)
+    return drawn.select("case_id", "patient_id", "site", "label", F.size("pixels").alias("n_pixels"))
 
 
 @query("x2_detect")
@@ -912,7 +967,13 @@ def _(s, d):
     return comparisons(im, _earlier(im), im.select("case_id", F.lit(20).alias("x0"), F.lit(20).alias("y0"), F.lit(60).alias("x1"), F.lit(60).alias("y1")))
 
 
-@query("h7_average_hash")
+@query(
+    "h7_average_hash",
+    """with x as (select vec_id, list_transform(embedding, lambda e: least(1e0, greatest(0e0, 0.5e0 + 1.5e0 * e::double))::float::double) p from embeddings where len(embedding) = 64),
+b as (select vec_id, list_transform(p, lambda e: (e > (list_sort(p)[32] + list_sort(p)[33]) / 2)::int::bigint) b from x),
+h as (select vec_id, list_reduce(list_slice(b, 1, 32), lambda a, c: a * 2 + c) hi, list_reduce(list_slice(b, 33, 64), lambda a, c: a * 2 + c) lo from b)
+select vec_id case_id, (case when hi >= 2147483648 then hi - 4294967296 else hi end) * 4294967296 + lo ahash from h""",
+)
 def _(s, d):
     from quillon.operators.kernels import hashes
 
@@ -924,6 +985,6 @@ def _(s, d):
     from quillon.operators import kernels as k
 
     im = _images(s, d)
-    base, second = k.detect(im), k.detect(im, "blindspot")
+    base, second, read = (written(x, "detected") for x in (k.detect(im), k.detect(im, "blindspot"), k.reads(im)))
     qc = im.select("case_id", cand.quality_verdict(F.col("pixels")).alias("qc"))
-    return case_path.run_cases(qc, base, k.reads(im), second, crops=k.zoom_reads(im, base), segments=k.segments(im, base))
+    return case_path.run_cases(qc, base, read, second, crops=k.zoom_reads(im, base), segments=k.segments(im, base))

@@ -7,7 +7,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.canonical import content_id
@@ -16,11 +16,24 @@ LEDGER = "ts string, kind string, payload string, prev_sha string, entry_sha str
 TRACE = "case_id string, decision string, fallback_used boolean, features map<string,double>"
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, line) of text files: seq is a line's place in its file, from 0. Blank lines count and are left out.
+
+    Files are read in splits, as many tasks as they need. A split's rows come one after another, so a line's place is its
+    distance from the first one of its split, and the lines of the splits before it; only those two numbers a split are added up.
+    """
+    place = F.monotonically_increasing_id()
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("at"), F.col("value").alias("line"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return raw.join(splits, ["file", "block"]).where("length(line) > 0").select("file", (F.col("start") + F.col("at") - F.col("first")).alias("seq"), "line")
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines as (seq, line, ts, kind, payload, prev_sha, entry_sha); seq is the place in its file, payload and line are exact text."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("length(line) > 0")
     v = F.parse_json("line")
-    return raw.select("seq", "line", *(F.variant_get(v, f"$.{k}", "string").alias(k) for k in ("ts", "kind", "payload", "prev_sha", "entry_sha")))
+    return read_lines(spark, path).select("seq", "line", *(F.variant_get(v, f"$.{k}", "string").alias(k) for k in ("ts", "kind", "payload", "prev_sha", "entry_sha")))
 
 
 def verify_lines(ledger: DataFrame) -> DataFrame:

@@ -22,8 +22,11 @@ def phantom(rng: np.random.Generator, size: int, lesion: bool) -> tuple[np.ndarr
     return np.clip(image, 0, 1).astype(np.float32), boxes
 
 
-def generate(spark: SparkSession, patients: int = 60, images: int = 2, prevalence: float = 0.3, sites: tuple[str, ...] = ("site_a", "site_b"), size: int = 128, seed: int = 7) -> DataFrame:
-    """A table of cases. Labels are by patient; each patient has a random stream of its own, so patients come in parallel."""
+def generate(spark: SparkSession, patients: int | DataFrame = 60, images: int = 2, prevalence: float = 0.3, sites: tuple[str, ...] = ("site_a", "site_b"), size: int = 128, seed: int = 7) -> DataFrame:
+    """A table of cases. Labels are by patient; each patient has a random stream of its own, so patients come in parallel.
+
+    patients is their number, or a table with their whole, not negative numbers as id.
+    """
 
     def make(batches):
         import pandas as pd
@@ -38,4 +41,5 @@ def generate(spark: SparkSession, patients: int = 60, images: int = 2, prevalenc
                     rows.append((f"P{p:04d}_img{k}", f"P{p:04d}", sites[p % len(sites)], "abc"[p % 3], ("40-49", "50-59")[p % 2], label, size, size, image.ravel().tolist(), boxes))
             yield pd.DataFrame(rows, columns=["case_id", "patient_id", "site", "density_band", "age_band", "label", "h", "w", "pixels", "lesion_boxes"])
 
-    return spark.range(patients).mapInPandas(make, SCHEMA)
+    ids = spark.range(patients) if isinstance(patients, int) else patients.select("id").where("id >= 0")
+    return ids.mapInPandas(make, SCHEMA)

@@ -401,3 +401,37 @@ def test_compact_request_leaves_nulls_out(spark):
     r = json.loads(candidates.compact_request(cases, cand).first().request)
     assert r["omitted_candidates"] == 2 and r["max_omitted_score"] == 0.1 and [x["candidate_id"] for x in r["candidates"]] == [f"k{n}" for n in range(9, 1, -1)]
     assert "veto_reason" not in r["candidates"][0] and r["consistency"]["case_score"] == 0.512
+
+
+def test_quality_verdict_edges(spark):
+    rows = [(1, [0.1, 0.9]), (2, [0.5, 0.52]), (3, [0.0, 1.0, 1.0]), (4, []), (5, None), (6, [None, 0.5]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, pixels array<double>").select("id", candidates.quality_verdict(F.col("pixels")).alias("qc"))
+    assert {r.id: r.qc for r in df.collect()} == {1: "adequate", 2: "inadequate_defer", 3: "degraded", 4: "inadequate_defer", 5: "inadequate_defer", 6: "inadequate_defer", 7: "adequate"}
+
+
+def test_valid_records_and_topics(spark):
+    rows = [(1, "a", "b", "report", "probation"), (1, "a", "a", "report", "probation"), (2, "a", "b", "report", "probation"), (0, "a", "b", "eval_miss", "confirmed"), (0, "a", "b", "eval_miss", "probation"), (None, "a", "b", "report", "x"), (1, None, "b", "report", "x"), (1, "a", "b", None, "confirmed")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, label int, expected string, observed string, source string, status string")
+    got = {r.k: r.ok for r in df.select("k", events.valid_record(*(F.col(c) for c in ("label", "expected", "observed", "source", "status"))).alias("ok")).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: True, 5: False, 6: False, 7: False}
+    corpus = spark.createDataFrame([(1, "Mass Margins", None), (2, "calcification", "MASS"), (3, None, None)], "id int, topic string, note string")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(events.topic_entries(corpus, "mAsS")) == [1] and ids(events.topic_entries(corpus, "mass", "topic", "note")) == [1, 2] and ids(events.topic_entries(corpus, "")) == [1, 2]
+
+
+def test_paired_outcomes_must_match(spark):
+    arm = lambda *rows: spark.createDataFrame(rows, "case_id int, score double").withColumn("y", F.lit(1))
+    got = sequential.paired(arm((1, 0.5), (2, None)), arm((2, 0.1), (1, 0.2)), keep=("y",))
+    assert sorted((r.case_id, r.y, r.cand, r.champ) for r in got.collect()) == [(1, 1, 0.5, 0.2), (2, 1, None, 0.1)]
+    for a, b in (([(1, 0.5)], [(2, 0.5)]), ([(1, 0.5), (1, 0.5)], [(1, 0.5)]), ([(None, 0.5)], [(None, 0.5)]), ([(1, 0.1), (2, 0.1)], [(1, 0.1)])):
+        with pytest.raises(Exception, match="once in each arm"):
+            sequential.paired(arm(*a), arm(*b)).collect()
+    assert sequential.paired(arm((1, 0.5)).limit(0), arm((1, 0.5)).limit(0)).count() == 0
+
+
+def test_labelled_traces(spark):
+    traces = spark.createDataFrame([(1, "t"), (1, "u"), (2, "v"), (None, "w"), (3, "x")], "case_id int, trace string").withColumn("label", F.lit("old"))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 1), (9, 0)], "case_id int, label int")
+    assert sorted((r.case_id, r.trace, r.label) for r in learners.labelled(traces, labels).collect()) == [(1, "t", 1), (1, "u", 1)]
+    with pytest.raises(Exception, match="labels differ"):
+        learners.labelled(traces, labels.unionByName(spark.createDataFrame([(1, 0)], "case_id int, label int"))).collect()
