@@ -21,6 +21,9 @@ ARCHIVE, LEVEL = 16 << 20, 4
 #: Fixed values of the formats.
 VERSION, GZIP, PROFILE = b"WARC/1.1", b"\x1f\x8b\x08", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
+#: Bytes in which a member must give its first ones, else it is taken for none: its names and extra field are that short.
+LEAD = 1 << 11
 
 
 def digest(payload: bytes) -> str:
@@ -80,16 +83,40 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return z.compress(raw) + z.flush()
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The gzip member at a place, and where it ends. Its checksum is checked."""
-    z, out, size = zlib.decompressobj(31), [], len(data)
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at a place holds, as far as it can be read, where reading ended, and what is wrong with it ("" if nothing).
+
+    A member that doesn't begin with a version line is given up after its first bytes.
+    """
+    z, out, have, begun, size = zlib.decompressobj(31), [], 0, at, len(data)
     while not z.eof:
         if at >= size:
-            raise ValueError("member is cut off")
-        part = data[at : at + 65536]
-        out.append(z.decompress(part))
+            return b"".join(out), size, "member is cut off"
+        part, before = data[at : at + (65536 if have >= 16 else 512)], z.copy()
+        try:
+            out.append(z.decompress(part))
+        except zlib.error as error:
+            return b"".join([*out, *_upto(before, part)]), at + len(part), str(error)
         at += len(part)
-    return b"".join(out), at - len(z.unused_data)
+        if have < 16:
+            have += len(out[-1])
+            if (have >= 16 or z.eof) and not VERSION_LINE.match(b"".join(out)) or at - begun > LEAD and have < 16:
+                return b"", at, "member does not begin with a version line"
+    return b"".join(out), at - len(z.unused_data), ""
+
+
+def _upto(z: zlib._Decompress, part: memoryview) -> Iterator[bytes]:
+    """What part gives before its first bad byte."""
+    for step in (4096, 64, 1):
+        at = 0
+        while at < len(part):
+            before = z.copy()
+            try:
+                yield z.decompress(part[at : at + step])
+            except zlib.error:
+                z, part = before, part[at : at + step]
+                break
+            at += step
 
 
 class Damaged(ValueError):
@@ -100,7 +127,6 @@ class Damaged(ValueError):
         self.end = end
 
 
-VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 HEADER_LINE = re.compile(rb"([^:\r\n]+):([^\r\n]*)\r\n")
 
 
@@ -135,44 +161,69 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return record, end + 4
 
 
+def _inside(body: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """The intact records of a member's content and the byte ranges between them: after damage the search goes on at the next version line."""
+    found, gaps, at = [], [], 0
+    bad: tuple[int, str] | None = None
+    while at < len(body):
+        try:
+            record, end = _parse(body, at)
+        except ValueError as error:
+            bad = bad or (at, str(error))
+            line = VERSION_LINE.search(body, error.end if isinstance(error, Damaged) else at + 1)
+            at = line.start() if line else len(body)
+            continue
+        if bad:
+            gaps.append((bad[0], at, bad[1]))
+            bad = None
+        found.append(record)
+        at = end
+    if bad:
+        gaps.append((bad[0], len(body), bad[1]))
+    return found, gaps
+
+
 def salvage(data: bytes) -> Salvaged:
     """All intact records of an archive, compressed or not, in order.
 
-    Where a record or member fails its checks, the search goes on at the next gzip magic or version line, or, where
-    its length fits and only a digest does not, after its end: a record that stands in the payload of a damaged one
-    is not taken for one of the archive. The bytes up to the next intact record are a gap. Every byte lies in a
-    record or in a gap. Digests of other kinds than sha1 are not checked.
+    Where a record fails its checks, the search goes on at the next gzip magic or version line, or, where its length fits
+    and only a digest does not, after its end: a record that stands in the payload of a damaged one is not taken for one
+    of the archive. In a sound member it goes on at the next version line of its content. A member that is cut or broken gives
+    the records before that place whose own digest fits (without one nothing vouches for them), and the search goes on
+    after its first byte. Outside of intact members every byte lies in a record or in a gap; the gaps of a sound member are ranges of
+    its content, and of a broken one the whole place is a gap, whatever was recovered. Digests of other kinds than sha1 are not checked.
     """
     out, at, view = Salvaged(), 0, memoryview(data)
     bad: tuple[int, str] | None = None
     while at < len(data):
-        later, end = at + 1, at
-        try:
-            if data[at : at + 3] == GZIP:
-                body, end = _inflate(view, at)
-                later = end  # the member is sound; if its records are not, there is nothing to find inside it
-                found, k = [], 0
-                while k < len(body):
-                    record, k = _parse(body, k)
-                    record.start, record.end = at, end
-                    found.append(record)
-                if not found:
-                    raise ValueError("empty member")
-            else:
+        member, later, reason, end = data[at : at + 3] == GZIP, at + 1, "", at
+        found: list[Record] = []
+        inner: list[tuple[int, int, str]] = []
+        if member:
+            body, end, reason = _inflate(view, at)
+            found, inner = _inside(body)
+            if reason:
+                found = [r for r in found if r.headers.get("warc-block-digest", "").startswith("sha1:")]
+            elif not found:
+                reason, later = inner[0][2] if inner else "empty member", end
+        else:
+            try:
                 record, end = _parse(data, at)
-                record.start, record.end = at, end
                 found = [record]
-        except (ValueError, zlib.error) as error:
-            bad = bad or (at, str(error))
-            if isinstance(error, Damaged) and data[at : at + 3] != GZIP:
-                later = error.end
+            except ValueError as error:
+                reason, later = str(error), getattr(error, "end", later)
+        for record in found:
+            record.start, record.end = at, end
+        out.records += found
+        if reason:
+            bad = bad or (at, reason)
             candidate = CANDIDATE.search(data, later)
             at = candidate.start() if candidate else len(data)
             continue
         if bad:
             out.gaps.append((bad[0], at, bad[1]))
             bad = None
-        out.records += found
+        out.gaps += [(at, end, f"bytes {a} to {b} of the member: {why}") for a, b, why in inner]
         at = end
     if bad:
         out.gaps.append((bad[0], len(data), bad[1]))

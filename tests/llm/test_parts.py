@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -191,6 +192,50 @@ def test_salvage_of_hostile_archives():
         assert [r.headers["warc-record-id"] for r in out.records] == ["<urn:page:3>"] and out.gaps[0][:2] == (0, len(false)) and time.time() - begun < 5
 
 
+def test_salvage_inside_members():
+    """Ten records in one member: a damaged payload costs one of them, a cut or a broken stream those from there on."""
+    import gzip
+
+    from quillon.llm.warc import salvage, write_record
+
+    parts = [write_record(k, "u", b"body %d " % k + bytes(np.random.default_rng(k).integers(0, 256, 900, dtype=np.uint8)), compress=False) for k in range(10)]
+    raw = bytearray(b"".join(parts))
+    raw[raw.index(b"body 4") + 3] ^= 1
+    after = write_record(77, "u", b"after")
+    ids = lambda out: [r.headers["warc-record-id"] for r in out.records]
+    page = lambda *ks: [f"<urn:page:{k}>" for k in ks]
+    whole = gzip.compress(bytes(raw))
+    out = salvage(whole + after)
+    start = sum(map(len, parts[:4]))
+    assert ids(out) == page(0, 1, 2, 3, 5, 6, 7, 8, 9, 77)
+    assert out.gaps == [(0, len(whole), f"bytes {start} to {start + len(parts[4])} of the member: block digest does not fit")]
+    sound = gzip.compress(b"".join(parts))
+    for tail in (b"", after):
+        out = salvage(sound[:-20] + tail)
+        assert ids(out)[:9] == page(*range(9)) and out.gaps[0][:2] == (0, len(sound) - 20) and ("<urn:page:77>" in ids(out)) == bool(tail)
+    broken = bytearray(sound)
+    broken[len(sound) // 2] ^= 255
+    out = salvage(bytes(broken) + after)
+    assert ids(out)[:4] == page(0, 1, 2, 3) and ids(out)[-1] == "<urn:page:77>" and out.gaps[0][:2] == (0, len(sound))
+    # without a digest of its own, a record of a member that fails its checksum is not trusted
+    bare = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", b"".join(parts))
+    assert ids(salvage(gzip.compress(bare)[:-8])) == [] and len(ids(salvage(gzip.compress(bare)))) == 10
+
+
+def test_salvage_is_linear_on_false_members():
+    import time
+    import zlib
+
+    from quillon.llm.warc import salvage, write_record
+
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    block = stored.compress(bytes(400_000)) + stored.flush()
+    for false in (b"\x1f\x8b\x08\0\0\0\0\0\0\xff\1" * 8000 + block, b"\x1f\x8b\x08\x08aaaaaa" * 3000, (b"\x1f\x8b\x08\0\0\0\0\0\0\xff\0\x20\0\xdf\xff" + b"x" * 32) * 8000):
+        begun = time.time()
+        out = salvage(false + write_record(3, "u", b"x"))
+        assert [r.headers["warc-record-id"] for r in out.records] == ["<urn:page:3>"] and time.time() - begun < 10
+
+
 def test_foreign_archives(spark):
     from quillon.llm.warc import read_archives
 
