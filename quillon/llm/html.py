@@ -48,7 +48,9 @@ OUTER_WORDS = frozenset("header banner masthead".split())
 NEUTRAL_WORDS = frozenset("site page main top bottom left right box bar block container wrapper wrap inner outer area section list links link module item group column col row panel primary secondary global js is has".split())
 SIBLINGS = {"li": "ul ol menu dir", "dd": "dl", "dt": "dl", "tr": "table tbody thead tfoot", "td": "tr table", "th": "tr table", "option": "select", "tbody": "table", "thead": "table", "tfoot": "table"}
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: A comment, a declaration, a tag, or the start of one that never ends; in BLIND quotes don't count, NEVER has no tags.
+TOKEN, BLIND = (re.compile(rf"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)({inner})>|<(?=[!?]|/?[a-zA-Z])", re.S) for inner in (r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+", "[^>]*+"))
+NEVER = re.compile(r"(?!)")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -90,7 +92,11 @@ class Node:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
-    """The nodes of a page in order, and its texts as (node, number of its block, raw text)."""
+    """The nodes of a page in order, and its texts as (node, number of its block, raw text).
+
+    From a tag on whose quotes never close quotes don't count, and one that never ends is text, as is all behind it.
+    """
+    token = TOKEN
     root = Node("html", "", None, 0)
     nodes, stack, texts, block, at = [root], [root], [], 0, 0
     open_: Counter[str] = Counter()
@@ -105,7 +111,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
         del stack[index:]
 
     while True:
-        m = TOKEN.search(page, at)
+        m = token.search(page, at)
+        if m and m.end() == m.start() + 1:
+            token = BLIND if token is TOKEN else NEVER
+            continue
         end = m.start() if m else len(page)
         if end > at:
             texts.append((stack[-1], block, page[at:end]))

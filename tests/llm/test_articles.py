@@ -72,3 +72,16 @@ def test_deep_pages_take_linear_time():
     for deep in ("<div>" * 100_000 + "z", "<font>" * 100_000 + "z" + "</b>" * 100_000 + "<p>" * 10):
         assert extract(deep, "http://a.example/", {}) == "z" and len(styles(deep, "http://a.example/")) >= 100_000
     assert time.time() - begun < 60
+
+
+def test_tags_that_never_end_take_linear_time():
+    import time
+
+    from quillon.llm.html import extract, styles
+
+    for page in ("<a" * 100_000, "<p a='" * 100_000, '<p a="' * 99_999, "<!" * 100_000, "</b " * 100_000, "<a b='" + "<p>x</p>" * 50_000, "<![" * 100_000 + "<!--" * 100_000):
+        begun = time.time()
+        extract(page, "http://a.example/", {})
+        styles(page, "http://a.example/")
+        assert time.time() - begun < 3
+    assert extract("<p>a</p><b>c <p title='x>d</p> 1 < 2 </1 <p>e", None, {}) == "a\nc\nd\n1 < 2 </1\ne" and extract("<p>a <b", None, {}) == "a <b"
