@@ -172,10 +172,16 @@ def test_image_queries_are_the_kernels(spark, sf_dir):
     from quillon.plans.queries import _images
 
     images = {r.case_id: np.array(r.pixels, np.float32).reshape(r.h, r.w) for r in _images(spark, sf_dir).collect()}
+    vectors = pd.read_parquet(f"{sf_dir}/embeddings.parquet").set_index("vec_id").embedding
+    assert set(images) == set(vectors.index)
+    for c, im in images.items():
+        levels = np.clip(0.5 + 1.5 * vectors[c].astype(np.float64), 0, 1).astype(np.float32)
+        assert (im == np.kron(levels.reshape(8, 8), np.ones((8, 8), np.float32))).all()
     rows = lambda name: [r.asDict() for r in QUERIES[name](spark, sf_dir).collect()]
     boxes = {(c, f"p{n}"): b for c, im in images.items() for n, b in enumerate(k.propose(im))}
     assert {(r["case_id"], r["candidate_id"]): (r["x0"], r["y0"], r["x1"], r["y1"], r["score"]) for r in rows("x2_detect")} == boxes
-    assert sorted((r["case_id"], r["read_id"], r["x0"], r["y0"], r["score"]) for r in rows("x3_reads")) == sorted((c, b[0], b[1], b[2], b[5]) for c, im in images.items() for b in k.shifted_reads(im))
+    some = list(images)[::20]
+    assert sorted((r["case_id"], r["read_id"], r["x0"], r["y0"], r["score"]) for r in rows("x3_reads") if r["case_id"] in some) == sorted((c, b[0], b[1], b[2], b[5]) for c in some for b in k.shifted_reads(images[c]))
     for name, fn in (("x5_segments", k.segment), ("x6_measurements", k.measure)):
         got = {(r.pop("case_id"), r.pop("candidate_id")): r for r in rows(name)}
         assert got.keys() == boxes.keys()
@@ -189,6 +195,15 @@ def test_image_queries_are_the_kernels(spark, sf_dir):
     assert {(r["status"], r["change"]) for r in rows("x8_comparisons")} == {("compared", "stable_within_measurement_error")}
 
 
+def test_drawn_cases_follow_the_table(spark, sf_dir):
+    from quillon.sources.phantom import generate
+
+    keys = pd.read_parquet(f"{sf_dir}/supplier.parquet").s_suppkey.tolist()
+    got = {r.patient_id: r.label for r in QUERIES["s13_phantom"](spark, sf_dir).collect()}
+    whole = {r.patient_id: r.label for r in generate(spark, patients=max(keys) + 1, images=1, prevalence=0.5, size=96).select("patient_id", "label").collect()}
+    assert got == {f"P{k:04d}": whole[f"P{k:04d}"] for k in keys}
+
+
 def test_logistic_query_has_a_zero_gradient(spark, sf_dir):
     c = _cases(sf_dir)
     x = c[["cand", "champ"]].to_numpy()
@@ -222,7 +237,7 @@ def _reference_intervals(y, s, pid, its=400):
     return {"brier": brier, "accuracy": hit, "auroc": np.array(auroc), "sensitivity": np.array(sens)}
 
 
-@pytest.mark.parametrize("partitions", [1, 7, 70])
+@pytest.mark.parametrize("partitions", [1, 40])
 def test_intervals_of_any_metric(spark, partitions):
     """A third of the scores tie, patients have several cases, some rows have no place; against weighted numpy."""
     from quillon.operators import intervals
