@@ -7,6 +7,7 @@ that collide only raise a sum, so no phrase is lost. The second pass sends words
 
 from __future__ import annotations
 
+import time
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import MUL, from_blob, materialize, mix, packed, prepare, release, to_blob, trimmed
+from quillon.llm.common import MUL, from_blob, materialize, mix, packed, prepare, release, to_blob, trim, trimmed
 
 #: Longest phrases, in words.
 LONGEST = 4
@@ -26,7 +27,7 @@ LEAST, TOP, FACTOR = 30, 2000, 2_000_000
 #: A candidate goes if a longer one around it has so many per cent of its occurrences.
 INSIDE = 80
 #: Text bytes of a shard, and of the input for each bucket of keys.
-SHARD, BUCKET = 16 << 20, 8 << 20
+SHARD, BUCKET = 8 << 20, 8 << 20
 #: Bytes that are split into words at once.
 PIECE = 1 << 20
 #: Groups that the best phrases of a language are first found in.
@@ -84,7 +85,7 @@ def intervals(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.flatnonzero(new)
         counts = np.diff(np.append(starts, len(at)))
         kept = inside[starts]
-        yield wide[at[starts[kept]][:, None] + np.arange(n)], counts[kept]
+        yield wide[at[starts[kept]][:, None] + np.arange(n)], counts[kept].astype(np.int32)
 
 
 class Shard:
@@ -158,9 +159,9 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
             for block, blob in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 one = _shard(blob)
                 place, keys, starts = one.dealt(buckets)
-                sums = np.bincount(place, np.concatenate(one.counts), len(keys)).astype(np.int64)
+                sums = np.minimum(np.bincount(place, np.concatenate(one.counts), len(keys)), least).astype(np.uint32 if least > 255 else np.uint8)
                 del one, place
-                sums = np.minimum(sums, least).astype(np.uint32 if least > 255 else np.uint8)
+                trim()
                 for k in np.flatnonzero(starts[1:] > starts[:-1]).tolist():
                     part = slice(starts[k], starts[k + 1])
                     low = (keys[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -201,12 +202,16 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
         return pa.concat_tables([pa.table({name: pa.array(part[k], kind) for k, (name, kind) in enumerate(kinds.items())}) for part in out])
 
     sent = blocks.select("block", "docs").mapInArrow(send, "block bigint, bucket bigint, keys binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer, "block bigint, bucket bigint, bits binary")
+    # written, so that the keys' shuffle can go before texts and phrases are dealt out: Python lets go of its plan in the
+    # first round, the JVM of its files in the second
+    answers = materialize(sent.groupBy("bucket").applyInArrow(answer, "block bigint, bucket bigint, bits binary"), "answers")
+    del sent
+    for _ in range(2):
+        release(spark)
+        time.sleep(1)
     found = blocks.select("block", "docs").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(resolve, "lang string, phrase string, words int, f bigint")
     out = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    out = materialize(out.where((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
-    release(spark)
-    return out
+    return materialize(out.where((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, shard: int = SHARD, bucket: int = BUCKET) -> DataFrame:
