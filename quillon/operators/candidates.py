@@ -112,10 +112,13 @@ FEATURES = ["case_score", "disagreement_rate", "n_candidates", "n_kept", "n_veto
 
 
 def features(cases: DataFrame, candidates: DataFrame, blindspots: DataFrame, digits: int | None = None) -> DataFrame:
-    """(case_id, FEATURES): the numbers a student sees. cases has case_id, case_score, disagreement and qc."""
+    """(case_id, FEATURES): the numbers a student sees. cases has case_id, case_score, disagreement and qc.
+
+    The mean fraction is taken over decimals: sums of doubles depend on the order of rows, and a student's threshold may lie on a mean.
+    """
     c = candidates.groupBy("case_id").agg(
         F.count("*").alias("n_candidates"), F.count_if(F.col("kept")).alias("n_kept"), F.count_if(F.col("vetoed")).alias("n_vetoed"),
-        F.max("score").alias("top"), F.avg("reproduced_fraction").alias("mean_reproduced"),
+        F.max("score").alias("top"), F.avg(F.col("reproduced_fraction").cast("decimal(28,18)")).cast("double").alias("mean_reproduced"),
     )
     b = blindspots.groupBy("case_id").agg(F.count("*").alias("n_b"))
     out = cases.join(c, "case_id", "left").join(b, "case_id", "left")
