@@ -767,10 +767,10 @@ def _(s, d):
         "retrieve_similar": toolcalls.retrieve_similar(vectors, neighbours.build(vectors.withColumnRenamed("id", "atlas_id"), "atlas_id")), "lookup_criteria": toolcalls.lookup_criteria(corpus, "v1"),
         "run_eval_gate": toolcalls.run_eval_gate(verdicts), "submit_review": toolcalls.submit_review(),
     }
-    entries = written(toolcalls.answer(calls, tools), "entries")
-    whole = events.verify_chain(entries, "case_id", "seq", "body").agg(F.every("intact").alias("intact"))
-    counted = entries.groupBy(F.get_json_object("body", "$.tool").alias("tool"), "kind").agg(F.count("*").alias("n"))
-    return counted.crossJoin(F.broadcast(whole))
+    entries = events.checked(toolcalls.answer(calls, tools), "case_id", "body")
+    counted = entries.groupBy(F.get_json_object("body", "$.tool").alias("tool"), "kind").agg(F.count("*").alias("n"), F.every("ok").alias("ok"))
+    # a row for each tool and kind
+    return counted.select("tool", "kind", "n", F.every("ok").over(Window.partitionBy()).alias("intact"))
 
 
 @query("x24_budget", "select o_orderkey case_id, case when o_totalprice > 200000 then 'usd' when o_custkey % 100 > 80 then 'output_tokens' end fallback_reason, case when o_totalprice > 200000 or o_custkey % 100 > 80 then 'no_recall' else 'recall' end decision from orders")
