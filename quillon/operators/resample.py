@@ -31,15 +31,6 @@ def patient_code(pid: Column) -> Column:
     return F.conv(F.substring(F.md5(pid.cast("string")), 1, 7), 16, 10).cast("bigint")
 
 
-def weight(code: Column, it: Column) -> Column:
-    """The weight of a patient in an iteration."""
-    a, b = (it + 1) * FIRST % PRIME, (it + 1) * SECOND % PRIME
-    v = (code * a + b) % PRIME
-    for more in (a, b, code):
-        v = (v * v + more) % PRIME
-    return F.aggregate(F.array(*map(F.lit, CUTS)), F.lit(0).cast("bigint"), lambda n, cut: n + (v >= cut).cast("bigint"))
-
-
 def weight_matrix(code: np.ndarray, its: np.ndarray) -> np.ndarray:
     """The same weights for patients x iterations."""
     code = code.astype(np.uint64)[:, None]
@@ -53,8 +44,13 @@ def weight_matrix(code: np.ndarray, its: np.ndarray) -> np.ndarray:
 
 def hashed_weights(patients: DataFrame, iterations: int, pid: str = "pid") -> DataFrame:
     """(it, pid, w): the weight of each patient in each iteration."""
-    each = patients.select(pid, patient_code(F.col(pid)).alias("_code")).distinct().withColumn("it", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))))
-    return each.select("it", pid, weight(F.col("_code"), F.col("it")).alias("w"))
+    out = patients.select(pid, patient_code(F.col(pid)).alias("_code")).distinct().withColumn("it", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))))
+    out = out.select("it", pid, "_code", *(((F.col("it") + 1) * k % PRIME).alias(name) for name, k in (("_a", FIRST), ("_b", SECOND))))
+    # a column for each step, so that none is computed twice
+    out = out.withColumn("_v", (F.col("_code") * F.col("_a") + F.col("_b")) % PRIME)
+    for more in ("_a", "_b", "_code"):
+        out = out.withColumn("_v", (F.col("_v") * F.col("_v") + F.col(more)) % PRIME)
+    return out.select("it", pid, reduce(lambda a, b: a + b, ((F.col("_v") >= cut).cast("bigint") for cut in CUTS)).alias("w"))
 
 
 def _blocks(n: int, rows: int) -> list[np.ndarray]:

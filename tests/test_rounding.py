@@ -35,3 +35,11 @@ def test_average_hashes_tell_neighbouring_levels_apart(spark, tmp_path, same):
     con.sql(f"copy (select vec_id, embedding::float[] embedding, label from '{tmp_path}/e.parquet') to '{tmp_path}/embeddings.parquet' (format parquet)")
     con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
     same(QUERIES["h7_average_hash"](spark, str(tmp_path)).toPandas(), con.sql(ORACLE_SQL["h7_average_hash"]).df())
+
+
+def test_weights_are_plain_columns(spark):
+    """No function of an array for each of 2,000 rows a patient: those aren't compiled, and steps inside were computed again and again."""
+    from quillon.operators.resample import hashed_weights
+
+    plan = hashed_weights(spark.range(3).selectExpr("id as pid"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and len(plan) < 20_000
