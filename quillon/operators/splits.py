@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.canonical import content_id, dumps
 from quillon.functions.expr import hamming
 from quillon.operators.neighbours import nearest as nearest
+from quillon.plans.written import written
 
 SPLITS = ("train", "val", "test", "sealed")
 
@@ -74,19 +78,65 @@ def leaking_patients(cases: DataFrame, pid: str = "pid") -> DataFrame:
     return g.where((F.size("splits") > 1) | F.array_contains("splits", "unassigned"))
 
 
+#: Distinct hashes of a block: two blocks are compared as one matrix, some rows at a time.
+BLOCK, AT_ONCE = 4096, 64
+#: Pairs of blocks that a task meets.
+PAIRS = 256
+#: Bands narrower than this many bits leave so many pairs that comparing blocks costs less.
+NARROW = 12
+
+
 def near_hashes(hashes: DataFrame, most: int = 4, bits: int = 64, code: str = "ahash") -> DataFrame:
     """(h1, h2, distance) of distinct hashes that differ in at most `most` bits, each also with itself.
 
-    Cut into most + 1 bands, two such hashes agree in one band at least, so an equi-join by band loses none.
+    Cut into most + 1 bands, two such hashes agree in one band at least, so an equi-join by band loses none. Narrow bands hold
+    too many pairs: then all pairs are compared, by blocks in matrices, and none but the near ones becomes a row.
     """
     width = -(-bits // (most + 1))
+    own = hashes.select(F.col(code).alias("h")).where("h is not null").distinct()
+    if width < NARROW:
+        return _near_by_blocks(own, most)
     cut = lambda k: F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit((1 << min(width, bits - k * width)) - 1).cast("bigint"))
-    b = hashes.select(F.col(code).alias("h")).distinct().select("h", F.posexplode(F.array(*(cut(k) for k in range(most + 1)))).alias("band", "v"))
+    b = own.select("h", F.posexplode(F.array(*(cut(k) for k in range(most + 1)))).alias("band", "v"))
     x, y = b.alias("x"), b.alias("y")
     d = hamming(F.col("x.h"), F.col("y.h"))
     return x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") <= F.col("y.h"))).where(d <= most).select(F.col("x.h").alias("h1"), F.col("y.h").alias("h2"), d.alias("distance")).distinct()
 
 
+def _near_by_blocks(own: DataFrame, most: int) -> DataFrame:
+    """near_hashes() of distinct hashes: a task meets one pair of blocks at a time, and each pair of hashes is met once."""
+    own = written(own, "hashes")
+    n = max(1, -(-own.count() // BLOCK))
+    kind = own.schema["h"].dataType
+    cast = own.select(F.col("h").cast("bigint").alias("h"))
+    blocks = cast.groupBy(F.pmod(F.xxhash64("h"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list("h").alias("hs"))
+    blocks = written(blocks, "blocks")
+    x, y = blocks.toDF("b1", "x"), blocks.toDF("b2", "y")
+    # pairs of blocks are dealt out first, as numbers, so many to a task at most
+    tasks = max(4 * own.sparkSession.sparkContext.defaultParallelism, n * (n + 1) // 2 // PAIRS)
+    pairs = blocks.select(F.col("block").alias("b1"), F.explode(F.sequence(F.col("block"), F.lit(n - 1))).alias("b2")).repartition(tasks, "b1", "b2")
+    pairs = pairs.join(x, "b1").join(y, "b2").select("b1", "b2", "x", "y")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = (batch.column(k).slice(r, 1).flatten().to_numpy() for k in (2, 3))
+                same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
+                for k in range(0, len(a), AT_ONCE):
+                    few = a[k : k + AT_ONCE]
+                    d = np.bitwise_count(few[:, None].view(np.uint64) ^ b.view(np.uint64))
+                    at, to = np.nonzero(d <= most)
+                    d, at = d[at, to], few[at]
+                    to = b[to]
+                    once = at <= to if same else np.ones(len(at), dtype=bool)
+                    if once.any():
+                        h1, h2 = np.minimum(at, to)[once], np.maximum(at, to)[once]
+                        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(d[once].astype(np.int32))], names=["h1", "h2", "distance"])
+
+    found = pairs.mapInArrow(over, "h1 bigint, h2 bigint, distance int")
+    return found.select(F.col("h1").cast(kind).alias("h1"), F.col("h2").cast(kind).alias("h2"), "distance")
+
+
 def near_images(images: DataFrame, most: int = 4, bits: int = 64, key: str = "case_id", code: str = "ahash") -> DataFrame:
     """(a, b, distance): images of different splits whose hashes differ in at most `most` bits."""
     own = images.select(F.col(code).alias("h"), F.col(key).alias("id"), "split")

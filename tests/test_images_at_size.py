@@ -54,3 +54,22 @@ def test_winding_components_and_silenced_peaks():
     image[30, 30] = image[30, 110] = image[100, 30] = 30.0
     centers = [(x0 + x1) // 2 for x0, _, x1, _, _ in kernels.propose(image)]
     assert len(centers) == 3 and kernels.propose(np.zeros((5, 5))) == []
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_near_hashes_in_narrow_bands_are_compared_by_blocks(spark, monkeypatch, block):
+    """Up to 15 of 64 bits: bands of four bits would make a row of nearly every pair before it is compared."""
+    from quillon.operators import splits
+
+    monkeypatch.setattr(splits, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63 - 1, 12)
+    codes = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, n, replace=False)) for b in base for n in (0, 5, 8, 15)] + [int(base[0]), -1, 0, None]
+    df = spark.createDataFrame([(c,) for c in codes], "ahash bigint")
+    out = splits.near_hashes(df, 15)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    own = sorted({c for c in codes if c is not None})
+    want = {(a, b, d) for a in own for b in own if a <= b and (d := ((a ^ b) & (2**64 - 1)).bit_count()) <= 15}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert splits.near_hashes(df.where("false"), 15).count() == 0
