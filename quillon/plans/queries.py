@@ -674,7 +674,7 @@ def _(s, d):
 
 @query("x17_add_records")
 def _(s, d):
-    e = v.vectors(s, d).select(F.col("vec_id").alias("seq"), F.sha2(F.col("vec_id").cast("string"), 256).alias("record_id"), "label", F.lit("recall").alias("expected"), F.lit("no_recall").alias("observed"), F.col("embedding").cast("array<double>").alias("embedding"))
+    e = v.vectors(s, d).select(F.col("vec_id").alias("seq"), F.sha2(F.col("vec_id").cast("string"), 256).alias("record_id"), "label", F.lit("recall").alias("expected"), F.lit("no_recall").alias("observed"), "embedding")
     return events.add_records(e, 0.3)
 
 

@@ -23,9 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df as a Parquet table in the shared folder, which outlives lost executors and stays until cleaned. Runs df at once."""
+def stored(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and the table's path. Runs df at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df as a Parquet table in the shared folder, which outlives lost executors and stays until cleaned. Runs df at once."""
+    return stored(df, name)[0]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Remove a table of stored() that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
