@@ -13,9 +13,11 @@ from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.written import written
+
 #: Modulus of the hash, and the factors that set iterations apart.
 PRIME, FIRST, SECOND = (1 << 31) - 1, 48271, 69621
 #: A hash below the k-th of these and not below the one before gives the weight k.
@@ -24,6 +26,8 @@ CUTS = [int(PRIME * exp(-1) * sum(1 / factorial(j) for j in range(k + 1))) for k
 RANGE_ROWS, CUTS_OF_ARM, CELLS = 20_000, 64, 1 << 21
 #: Tasks that add up the sums of many.
 FAN = 32
+#: Patients whose counts and weights are multiplied at once.
+PATIENTS = 4096
 
 
 def patient_code(pid: Column) -> Column:
@@ -75,7 +79,52 @@ class Segment:
         return self.least == self.largest
 
 
-def _sums(rows: DataFrame, edges: list[np.ndarray], wanted: list[np.ndarray], iterations: int) -> list[list[Segment | None]]:
+@dataclass
+class Draws:
+    """True draws with replacement of n patients, who are numbered in their order; chunk iterations are held at a time."""
+
+    n: int
+    seed: int
+    chunk: int
+
+    def multiplicities(self, who: np.ndarray, last: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(iteration, how often each of who is drawn) up to last. Every task draws again from the seed."""
+        rng = np.random.default_rng(self.seed)
+        for it in range(last + 1):
+            yield it, np.bincount(rng.choice(self.n, size=self.n, replace=True), minlength=self.n)[who]
+
+    def matrix(self, who: np.ndarray, its: np.ndarray) -> np.ndarray:
+        """Patients x iterations, its ascending; no patient is drawn 65,536 times."""
+        out, place = np.zeros((len(who), len(its)), np.uint16), {int(it): k for k, it in enumerate(its)}
+        for it, drawn in self.multiplicities(who, int(its[-1]) if len(its) else -1):
+            if it in place:
+                out[:, place[it]] = drawn
+        return out
+
+    def add(self, sums: list[np.ndarray], code: np.ndarray, keys: list[np.ndarray], iterations: int) -> None:
+        """Add the weights of rows to the sums (keys x iterations) of each arm: counts of keys and patients times patients and iterations."""
+        who, at = np.unique(code, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        at, keys = at[order], [k[order] for k in keys]
+        held, first = np.zeros((len(who), self.chunk), np.uint16), 0
+        for it, drawn in self.multiplicities(who, iterations - 1):
+            held[:, it - first] = drawn
+            if it + 1 - first < self.chunk and it + 1 < iterations:
+                continue
+            for a in range(0, len(who), PATIENTS):
+                weight = held[a : a + PATIENTS, : it + 1 - first].astype(np.float64)
+                begin, end = np.searchsorted(at, (a, a + PATIENTS))
+                for total, key in zip(sums, keys, strict=True):
+                    mine = key[begin:end]
+                    place, mine = at[begin:end][mine >= 0] - a, mine[mine >= 0]
+                    count = np.bincount(mine * len(weight) + place, minlength=len(total) * len(weight)).reshape(len(total), len(weight))
+                    some = np.flatnonzero(count.any(axis=1))
+                    # whole numbers far below 2^53, so doubles add them up exactly
+                    total[some, first : it + 1] += (count[some].astype(np.float64) @ weight).astype(np.int64)
+            first = it + 1
+
+
+def _sums(rows: DataFrame, edges: list[np.ndarray], wanted: list[np.ndarray], iterations: int, draws: Draws | None = None) -> list[list[Segment | None]]:
     """For each arm the segments between its edges, those that wanted marks, over all rows (code, y, s0, s1, ...).
 
     No row is moved: every task adds up its own, a few tasks add up theirs, one those. The driver gets one state an arm.
@@ -93,23 +142,34 @@ def _sums(rows: DataFrame, edges: list[np.ndarray], wanted: list[np.ndarray], it
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states = [empty(n) for n in sizes]
+        codes: list[np.ndarray] = []
+        found: list[list[np.ndarray]] = [[] for _ in sizes]
         for batch in batches:
             code, y, *scores = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
-            for (cases, least, largest, sums), s, edge, some in zip(states, scores, edges, wanted, strict=True):
+            for (cases, least, largest, sums), s, edge, some, kept in zip(states, scores, edges, wanted, found, strict=True):
                 part = np.searchsorted(edge, s)
                 mine = np.flatnonzero(~np.isnan(s) & some[part])
+                key = 2 * part[mine] + y[mine]
+                if draws:
+                    kept.append(np.full(len(s), -1, np.int32))
+                    kept[-1][mine] = key
                 if not len(mine):
                     continue
-                key = 2 * part[mine] + y[mine]
                 order = np.argsort(key, kind="stable")
                 mine, key = mine[order], key[order]
                 np.add.at(cases, part[mine], 1)
                 np.minimum.at(least, part[mine], s[mine])
                 np.maximum.at(largest, part[mine], s[mine])
+                if draws:
+                    continue
                 starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 who, at = np.unique(code[mine], return_inverse=True)
                 for its in _blocks(iterations, len(mine)):
                     sums[key[starts][:, None], its] += np.add.reduceat(weight_matrix(who, its)[at], starts, axis=0)
+            if draws:
+                codes.append(code)
+        if codes:
+            draws.add([state[3] for state in states], np.concatenate(codes), [np.concatenate(k) for k in found], iterations)
         yield from batches_of(states)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +213,13 @@ def resampled_sensitivity(cases: DataFrame, scores: list[str], iterations: int =
     holds a few hundred segments of an arm, two numbers an iteration each, however many cases there are. A resample
     without positives or negatives has null; cases without a label, a patient or a score are left out (of that arm).
     """
-    spark = cases.sparkSession
     rows = cases.select(patient_code(F.col(pid)).alias("code"), F.col(y).cast("int").alias("y"), *(F.col(s).cast("double").alias(f"s{k}") for k, s in enumerate(scores))).where("code is not null and y in (0, 1)")
+    return _sensitivity(rows, scores, iterations, specificity)
+
+
+def _sensitivity(rows: DataFrame, scores: list[str], iterations: int, specificity: float, draws: Draws | None = None) -> DataFrame:
+    """resampled_sensitivity() of rows (code, y, s0, s1, ...); with draws, code is the patient's number and its weights are drawn."""
+    spark = rows.sparkSession
     whole = [Segment(-np.inf, np.inf, 0, np.inf, np.inf, np.zeros(iterations, np.int64), np.zeros(iterations, np.int64)) for _ in scores]
     held: list[list[Segment]] = [[g] for g in whole]
     needed: list[list[Segment]] = held
@@ -164,7 +229,7 @@ def resampled_sensitivity(cases: DataFrame, scores: list[str], iterations: int =
         lows = [{g.low: g for g in found} for found in needed]
         parts = [np.concatenate([[-np.inf], e]) for e in edges]
         inside = [np.array([any(g.low <= a < g.high for g in found) for a in at], dtype=bool) for at, found in zip(parts, needed, strict=True)]
-        new = _sums(rows, edges, inside, iterations)
+        new = _sums(rows, edges, inside, iterations, draws)
         for arm, found in enumerate(new):
             kept = [g for g in held[arm] if g.low not in lows[arm]]
             held[arm] = sorted([*kept, *(g for g in found if g is not None)], key=lambda g: g.low)
@@ -197,8 +262,9 @@ def resampled_sensitivity(cases: DataFrame, scores: list[str], iterations: int =
         last = np.flatnonzero(np.concatenate([s[1:] != s[:-1], [True]]))
         who, at = np.unique(code, return_inverse=True)
         caught = np.zeros(len(its), np.int64)
+        drawn = draws.matrix(who, its) if draws else None
         for block in _blocks(len(its), len(s)):
-            w = weight_matrix(who, its[block])[at]
+            w = (weight_matrix(who, its[block]) if drawn is None else drawn[:, block].astype(np.int64))[at]
             stop = (np.cumsum(np.where(label[:, None] == 0, w, 0), axis=0)[last] >= rest[arm, its[block]][None]).argmax(axis=0)
             hits = np.cumsum(np.where(label[:, None] == 1, w, 0), axis=0)[last]
             caught[block] = hits[-1] - hits[stop, np.arange(len(block))]
@@ -251,37 +317,26 @@ def drawn_weights(patients: list[str], iterations: int, seed: int = 0) -> np.nda
     return np.stack([np.bincount(rng.choice(n, size=n, replace=True), minlength=n) for _ in range(iterations)]) if iterations else np.zeros((0, n), int)
 
 
+def _numbered(patients: DataFrame) -> DataFrame:
+    """(pid, code) of distinct patients: their places in lexicographic order, from 0."""
+    ranged = patients.repartitionByRange("pid").sortWithinPartitions("pid").select("pid", F.monotonically_increasing_id().alias("_at"))
+    ranged = written(ranged.select("pid", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "patients")
+    # a row for each of the partitions
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").select("pid", (F.col("_before") + F.col("_at")).alias("code"))
+
+
 def bootstrap(cases: DataFrame, scores: list[str], iterations: int = 2000, seed: int = 0, specificity: float = 0.96, y: str = "y", pid: str = "pid", chunk: int = 250) -> DataFrame:
-    """(it, arm, sensitivity) with drawn multiplicities: every task redraws its range of iterations from the seed.
+    """(it, arm, sensitivity) with drawn multiplicities, patients in lexicographic order.
 
-    Patients must fit one task's memory, as ids and per-patient (score, label) groups do for the sizes a
-    resample makes sense at; use resampled_sensitivity beyond that.
+    Rows are dealt to tasks by ranges of patients once, for all arms; a task draws every iteration again from the seed and keeps what falls
+    to its own patients, chunk iterations at a time. Thresholds are found as in resampled_sensitivity, so no task holds an
+    arm; the numbers of one draw, 8 bytes a patient, must fit in a task. Cases without a label or a score are left out (of that arm); their
+    patients are drawn all the same.
     """
-    arms = F.explode(F.array(*(F.struct(F.lit(s).alias("arm"), F.col(s).alias("s")) for s in scores)))
-    g = cases.select(F.col(pid).cast("string").alias("pid"), F.col(y).cast("int").alias("y"), arms.alias("a")).groupBy("a.arm", "pid", "a.s", "y").agg(F.count("*").alias("m"))
-    starts = list(range(0, iterations, chunk))
-    g = g.withColumn("start", F.explode(F.array(*map(F.lit, starts))))
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        arm, start = (k.as_py() for k in key)
-        t = rows.to_pandas().sort_values("s", kind="stable")
-        names = sorted(t["pid"].unique())
-        at = t["pid"].map({p: k for k, p in enumerate(names)}).to_numpy()
-        rng, n, out = np.random.default_rng(seed), len(names), []
-        s, label, m = t["s"].to_numpy(), t["y"].to_numpy(), t["m"].to_numpy()
-        for it in range(min(start + chunk, iterations)):
-            draw = np.bincount(rng.choice(n, size=n, replace=True), minlength=n)
-            if it < start:
-                continue
-            w = draw[at] * m
-            neg, pos = np.where(label == 0, w, 0), np.where(label == 1, w, 0)
-            total, positives = int(neg.sum()), int(pos.sum())
-            if not total or not positives:
-                out.append(None)
-                continue
-            k = min(max(int(np.ceil(specificity * total)), 1), total)
-            out.append(float(pos[s > s[np.searchsorted(np.cumsum(neg), k)]].sum() / positives))
-        its = list(range(start, min(start + chunk, iterations)))
-        return pa.table({"it": pa.array(its, pa.int64()), "arm": [arm] * len(its), "sensitivity": pa.array(out, pa.float64())})
-
-    return g.groupBy("arm", "start").applyInArrow(run, "it bigint, arm string, sensitivity double")
+    rows = cases.select(F.col(pid).cast("string").alias("pid"), F.col(y).cast("int").alias("y"), *(F.col(s).cast("double").alias(f"s{k}") for k, s in enumerate(scores))).where("pid is not null")
+    patients = _numbered(rows.select("pid").distinct())
+    n = patients.count()
+    coded = rows.where("y in (0, 1)").join(patients, "pid").select("code", "y", *rows.columns[2:])
+    coded = written(coded.repartitionByRange("code"), "drawn")
+    return _sensitivity(coded, scores, iterations, specificity, Draws(n, seed, chunk))
