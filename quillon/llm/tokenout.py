@@ -19,9 +19,8 @@ import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +34,7 @@ from quillon.llm.common import MUL, materialize, mix, prepare, same_bytes, slice
 from quillon.llm.minhash import word_spans
 
 #: Payload bytes of a shard, words in each half of a worker's memory, levels of the hash and bits a key in each.
-SHARD, REMEMBERED, LEVELS, GAMMA = 8 << 20, 400_000, 24, 2
+SHARD, REMEMBERED, LEVELS, GAMMA = 8 << 20, 1_000_000, 24, 2
 MAGIC = b"QTS1"
 
 
@@ -176,26 +175,68 @@ def distinct_words(raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.nd
     return of, first
 
 
+class Words:
+    """Words with their ids as arrays, by ascending hash; of words with one hash only one is kept. Values are bytes of width * count."""
+
+    def __init__(self, hashes: np.ndarray, keys: bytes, sizes: np.ndarray, values: bytes, lengths: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        at, to = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
+        self.hashes, self.keys, self.values = hashes[order], np.frombuffer(keys, np.uint8), np.frombuffer(values, np.uint8)
+        self.at, self.sizes, self.to, self.lengths = at[order], sizes[order], to[order], lengths[order]
+
+    def find(self, raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each word raw[start:end], or -1; bytes are compared."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        if not len(self.hashes):
+            return out
+        place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = np.flatnonzero((self.hashes[place] == h) & (self.sizes[place] == end - start))
+        place = place[hit]
+        same = same_bytes(np.concatenate([raw, self.keys]), start[hit], self.at[place] + len(raw), self.sizes[place])
+        out[hit[same]] = place[same]
+        return out
+
+
 class Memory:
-    """Ids of words: those asked for lately, in two halves of bounded size, of which the older one goes."""
+    """Ids of words: those learned lately, in two halves of bounded size, of which the older one goes. A half holds sets of words learned together."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.new, self.old = size, {}, {}
-
-    def look_up(self, keys: list[bytes], make: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
-        """The values of distinct keys; those not known are made together."""
-        if len(self.new) + len(keys) > self.size:
-            self.old, self.new = self.new, {}
-        values = list(map(self.new.get, keys))
-        lost = [k for k, v in enumerate(values) if v is None]
-        if self.old:
-            for k in lost:
-                values[k] = self.old.get(keys[k])
-        todo = [k for k in lost if values[k] is None]
-        for k, v in zip(todo, make([keys[k] for k in todo]), strict=True):
-            values[k] = v
-        self.new.update((keys[k], values[k]) for k in lost)
-        return values
+        self.size, self.new, self.old = size, [], []
+
+    def find(self, raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[Words, np.ndarray, np.ndarray]]:
+        """(words, which of those asked for, their places) for all that are known."""
+        left, out = np.argsort(h), []  # in order, look-ups stay close to each other
+        for words in (*reversed(self.new), *reversed(self.old)):
+            place = words.find(raw, h[left], start[left], end[left])
+            hit = place >= 0
+            if hit.any():
+                out.append((words, left[hit], place[hit]))
+                left = left[~hit]
+        return out
+
+    def keep(self, words: Words) -> None:
+        if sum(len(x.hashes) for x in self.new) + len(words.hashes) > self.size:
+            self.old, self.new = self.new, []
+        self.new.append(words)
+        # few sets, so that a word is looked for in few: equals join
+        while len(self.new) > 1 and len(self.new[-1].hashes) * 2 > len(self.new[-2].hashes):
+            self.new[-2:] = [joined(*self.new[-2:])]
+
+
+def gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[at:at + size] of all, one after the other."""
+    upto = np.cumsum(sizes)
+    return flat[np.repeat(at - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+def joined(a: Words, b: Words) -> Words:
+    """Both sets; of a hash in both, the word of b."""
+    keep = ~np.isin(a.hashes, b.hashes)
+    at, sizes, to, lengths = (x[keep] for x in (a.at, a.sizes, a.to, a.lengths))
+    return Words(
+        np.concatenate([a.hashes[keep], b.hashes]), gathered(a.keys, at, sizes).tobytes() + gathered(b.keys, b.at, b.sizes).tobytes(), np.concatenate([sizes, b.sizes]),
+        gathered(a.values, to, lengths).tobytes() + gathered(b.values, b.to, b.lengths).tobytes(), np.concatenate([lengths, b.lengths]),
+    )
 
 
 class Encoder:
@@ -256,9 +297,13 @@ class Encoder:
         out: list[bytes] = []
         for start in range(0, len(words), 20_000):
             some = words[start : start + 20_000]
-            pieces = list(map(self.pieces, map(bytes.decode, some)))
-            upto = np.cumsum([len(p) for p in pieces])
-            ids = np.array(self.plain.encode_batch_fast([codecs.charmap_decode(" ".join(chain.from_iterable(pieces)).encode(), "strict", ALPHABET)[0]], add_special_tokens=False)[0].ids, dtype=np.int64)
+            pieces = list(map(bytes.decode, some))
+            many = np.ones(len(pieces), dtype=np.int64)
+            for k in np.flatnonzero(~np.fromiter(map(str.isalpha, pieces), dtype=bool, count=len(pieces))).tolist():
+                found = self.pieces(pieces[k])
+                pieces[k], many[k] = " ".join(found), len(found)
+            upto = np.cumsum(many)
+            ids = np.array(self.plain.encode_batch_fast([codecs.charmap_decode(" ".join(pieces).encode(), "strict", ALPHABET)[0]], add_special_tokens=False)[0].ids, dtype=np.int64)
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == upto[-1] and (not len(ids) or stop[-1] == len(ids)):
                 raw = ids.astype(f"<u{self.width}").tobytes()
@@ -268,6 +313,27 @@ class Encoder:
                 out += [self.whole(x.decode()) for x in some]
         return out
 
+    def values(self, body: bytes, raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each of the distinct words raw[start:end] has its own, how many)."""
+        flat, at, many, have = [], np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), 0
+        for words, k, place in self.words.find(raw, h, start, end):
+            flat.append(gathered(words.values, words.to[place], words.lengths[place]))
+            sizes = words.lengths[place]
+            at[k], many[k] = have + np.cumsum(sizes) - sizes, sizes
+            have += len(flat[-1])
+        todo = np.flatnonzero(at < 0)
+        if len(todo):
+            keys = [body[a:b] for a, b in zip(start[todo].tolist(), end[todo].tolist(), strict=True)]
+            made = self.learn(keys)
+            sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+            flat.append(np.frombuffer(b"".join(made), np.uint8))
+            at[todo], many[todo] = have + np.cumsum(sizes) - sizes, sizes
+            first = np.unique(h[todo], return_index=True)[1]
+            if len(first) < len(todo):
+                keys, made, todo = [keys[k] for k in first.tolist()], [made[k] for k in first.tolist()], todo[first]
+            self.words.keep(Words(h[todo], b"".join(keys), end[todo] - start[todo], b"".join(made), many[todo]))
+        return np.concatenate(flat).view(f"<u{self.width}"), at // self.width, many // self.width
+
     def __call__(self, batch: list[str]) -> list[bytes]:
         """The ids of each text. Only distinct words are looked up; those with equal hashes are compared byte by byte."""
         if self.pattern is None:
@@ -288,13 +354,11 @@ class Encoder:
         if not len(h):
             return out
         of, first = distinct_words(raw, h, start, end)
-        words = [body[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        values = self.words.look_up(words, self.learn)
-        flat = np.frombuffer(b"".join(values), dtype=f"<u{self.width}")
-        many = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.width
+        values, at_, many = self.values(body, raw, h[first], start[first], end[first])
+        # ids of the distinct words, then of all
         count = many[of]
         upto = np.concatenate([[0], np.cumsum(count)])
-        ids = flat[np.repeat((np.cumsum(many) - many)[of] - upto[:-1], count) + np.arange(upto[-1])].tobytes()
+        ids = values[np.repeat(at_[of] - upto[:-1], count) + np.arange(upto[-1])].tobytes()
         cut = (upto[np.searchsorted(start, at)] * self.width).tolist()
         for k, a, b in zip(usual, cut[:-1], cut[1:], strict=True):
             out[k] = ids[a:b]
