@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import LOWER, MUL, SPACE, as_bytes, binary, mapped, materialize, mix, prepare, sliced
+from quillon.llm.common import LOWER, MUL, SPACE, as_bytes, binary, mapped, materialize, mix, prepare, sliced, trim
 from quillon.llm.components import components
 
 #: Slots of a signature (a power of two) and rows of a band: a pair at 0.8 shares none of 32 bands once in 10^7.
@@ -29,8 +29,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: A prime, and a primitive root of it: a second hash, without the collisions that any base has modulo a power of two.
 PRIME = (1 << 31) - 1
 ROOT = pow(7, 65537, PRIME)
-#: Text bytes handled at a time.
-PART = 2 << 20
+#: Text bytes handled at a time, which take some 100 times their size while they are, and powers that are kept.
+PART, KEPT = 1 << 20, 2 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -50,8 +50,8 @@ def prime_powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_TABLES = [powers(BASE, PART), powers(INVERSE, PART)]
-_PRIME_TABLES = [prime_powers(ROOT, PART), prime_powers(pow(ROOT, -1, PRIME), PART)]
+_TABLES = [powers(BASE, KEPT), powers(INVERSE, KEPT)]
+_PRIME_TABLES = [prime_powers(ROOT, KEPT), prime_powers(pow(ROOT, -1, PRIME), KEPT)]
 
 
 def prime_tables(n: int) -> list[np.ndarray]:
@@ -60,10 +60,10 @@ def prime_tables(n: int) -> list[np.ndarray]:
 
 
 def power_tables(n: int) -> list[np.ndarray]:
-    """At least n + 1 powers of the base and of its inverse; kept, up to two parts' worth."""
+    """At least n + 1 powers of the base and of its inverse; kept, up to twice KEPT."""
     if n < len(_TABLES[0]):
         return _TABLES
-    if n > 2 * PART:
+    if n > 2 * KEPT:
         return [powers(BASE, n), powers(INVERSE, n)]
     _TABLES[:] = powers(BASE, n), powers(INVERSE, n)
     return _TABLES
@@ -178,6 +178,7 @@ def _profile(docs: DataFrame, size: int, slots: int, rows: int) -> DataFrame:
                 body = s.tobytes()
                 sha = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[8 * to[k] : 8 * to[k + 1]]) for k in range(end - start)), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(np.diff(to)), pa.array(sha[:, 0].copy()), pa.array(sha[:, 1].copy()), pa.ListArray.from_arrays(pa.array(np.arange(end - start + 1, dtype=np.int32) * (slots // rows)), pa.array(keys.ravel()))], names=["id", "n", "h1", "h2", "bands"])
+        trim()
 
     return docs.mapInArrow(over, "id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
@@ -190,6 +191,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 raw, at = as_bytes(column.slice(start, end - start))
                 s, to = shingles(raw, at, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), binary(to * 8, s.tobytes()).cast(pa.binary())], names=["id", "items"])
+        trim()
 
     return docs.mapInArrow(over, "id bigint, items binary")
 
