@@ -111,14 +111,20 @@ def decide(qc: Column, disagreement: Column, score: Column, blindspots: Column,
 FEATURES = ["case_score", "disagreement_rate", "n_candidates", "n_kept", "n_vetoed", "max_candidate_score", "mean_reproduced_fraction", "n_blindspot", "qc_adequate"]
 
 
-def features(cases: DataFrame, candidates: DataFrame, blindspots: DataFrame, digits: int | None = None) -> DataFrame:
+def features(cases: DataFrame, candidates: DataFrame, blindspots: DataFrame, digits: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """(case_id, FEATURES): the numbers a student sees. cases has case_id, case_score, disagreement and qc.
 
     The mean fraction is taken over decimals: sums of doubles depend on the order of rows, and a student's threshold may lie on a mean.
+    With order, a total one within a case, it is the sum of doubles in that order over their number, which is what SQL's avg gives.
     """
+    fraction, mean = F.col("reproduced_fraction"), F.avg(F.col("reproduced_fraction").cast("decimal(28,18)")).cast("double")
+    if order is not None:
+        # the running sum adds row by row; fractions aren't negative, so its last value is the largest
+        candidates = candidates.withColumn("_sum", F.sum(fraction).over(Window.partitionBy("case_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        mean = F.max("_sum") / F.count(fraction)
     c = candidates.groupBy("case_id").agg(
         F.count("*").alias("n_candidates"), F.count_if(F.col("kept")).alias("n_kept"), F.count_if(F.col("vetoed")).alias("n_vetoed"),
-        F.max("score").alias("top"), F.avg(F.col("reproduced_fraction").cast("decimal(28,18)")).cast("double").alias("mean_reproduced"),
+        F.max("score").alias("top"), mean.alias("mean_reproduced"),
     )
     b = blindspots.groupBy("case_id").agg(F.count("*").alias("n_b"))
     out = cases.join(c, "case_id", "left").join(b, "case_id", "left")

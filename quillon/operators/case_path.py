@@ -45,7 +45,7 @@ def verified(routed: DataFrame, candidates: DataFrame, reads: DataFrame, n_reads
 
 def run(
     cases: DataFrame, candidates: DataFrame, reads: DataFrame, blindspots: DataFrame, n_reads: int = 5, policy: dict | None = None, *, crops: DataFrame | None = None, segments: DataFrame | None = None,
-    head: str | None = None, thresholds: DataFrame | None = None, student: Student | None = None, answers: DataFrame | None = None, batch: str | None = None, order: str = "case_id", spacing: tuple[float, float] = (0.1, 0.1),
+    head: str | None = None, thresholds: DataFrame | None = None, student: Student | None = None, answers: DataFrame | None = None, batch: str | None = None, order: str = "case_id", spacing: tuple[float, float] = (0.1, 0.1), mean_order: list[Column] | None = None,
 ) -> Run:
     """Run every case of cases(case_id, qc; a head score named by head; a breaker's batch named by batch).
 
@@ -53,7 +53,8 @@ def run(
     Rows of lanes, verified candidates and escalations are written once each, since later stages read them several times.
     case_id must be unique in cases; candidates, reads and blind spots of other cases are ignored. answers has
     (case_id, decision) of the costly adjudicator; a granted case without an answer keeps its rule verdict. spacing is
-    (y, x) millimetres a pixel.
+    (y, x) millimetres a pixel. With mean_order the mean fraction that a student sees is summed in that order of the verified
+    candidates, as doubles; without it is exact.
     """
     p = DEFAULTS | (policy or {})
     bad = F.col("qc").eqNullSafe("inadequate_defer")
@@ -76,7 +77,7 @@ def run(
     out = out.withColumn("decision", rule)
     out = out.withColumn("ambiguous", F.lit(False)) if thresholds is None else conformal.prediction_sets(out, thresholds, "case_score").drop("labels")
     wanted = ~bad & escalate(F.col("decision"), F.col("ambiguous"), F.col("n_blindspot"), p["llm_on_rule_deferral"], p["llm_on_conformal_ambiguous"])
-    out = _cascade(out.withColumn("escalation_wanted", wanted), checked, missed, p, student, answers, batch, order)
+    out = _cascade(out.withColumn("escalation_wanted", wanted), checked, missed, p, student, answers, batch, order, mean_order)
 
     final = F.when(bad, F.col("decision")).otherwise(conformal.override(F.col("decision"), F.col("ambiguous")))
     why = F.when(bad, "preflight QC").when(F.col("decision") != "defer_to_human", "conformal set is not a singleton").when(F.col("student_absorbed"), "student").when(F.col("llm_invoked"), "costly adjudicator").otherwise("rules")
@@ -87,13 +88,13 @@ def run(
     return Run(out, checked, found, _reviews(out, found))
 
 
-def _cascade(out: DataFrame, checked: DataFrame, missed: DataFrame, p: dict, student: Student | None, answers: DataFrame | None, batch: str | None, order: str) -> DataFrame:
+def _cascade(out: DataFrame, checked: DataFrame, missed: DataFrame, p: dict, student: Student | None, answers: DataFrame | None, batch: str | None, order: str, mean_order: list[Column] | None) -> DataFrame:
     """Escalated cases go to the student if it is sure enough, else to the costly adjudicator while the breaker grants it."""
     off = F.lit(False)
     if student is None or p["student_min_confidence"] is None:
         out = out.withColumn("student_absorbed", off)
     else:
-        told = features(out.where("escalation_wanted").select("case_id", "case_score", "disagreement", "qc"), checked, missed)
+        told = features(out.where("escalation_wanted").select("case_id", "case_score", "disagreement", "qc"), checked, missed, order=mean_order)
         told = student.predict(told).where(F.col("confidence") >= p["student_min_confidence"]).select("case_id", F.col("decision").alias("_said"))
         out = out.join(told, "case_id", "left").withColumns({"student_absorbed": F.col("_said").isNotNull(), "decision": F.coalesce("_said", "decision")}).drop("_said")
     out = written(out, "escalated")

@@ -417,6 +417,8 @@ def _run(s, d):
     return case_path.run(
         people, c, r, v.blindspots(s, d), 5, {"min_reproduced": 2, "student_min_confidence": 0.75}, crops=crops, segments=segments, head="head", thresholds=s.range(1).selectExpr("0.45d as q_pos", "0.7d as q_neg"),
         student=learners.Student("tree", ["mean_reproduced_fraction", "case_score"], _SURE), answers=answers, batch="batch",
+        # the order in which the SQL's window over (case_id, kept) hands candidates to its avg
+        mean_order=[F.col("reproduced") >= 2, F.col("candidate_id")],
     )
 
 
