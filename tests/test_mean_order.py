@@ -23,7 +23,7 @@ def test_means_of_doubles_in_an_order(spark):
     assert mean([F.col("candidate_id").desc()])[1] == (0.2 + 0.2 + 0.2 + 0.2 + 0.4) / 24 > 0.05
 
 
-@pytest.mark.parametrize("name", ["x22_run_cases", "x22_reviews"])
+@pytest.mark.parametrize("name", ["x22_run_cases", "x22_reviews", "x23_lane_counts"])
 def test_a_case_on_the_threshold_is_as_in_sql(spark, tmp_path, same, name):
     con = duckdb.connect()
     con.sql("create table events (event_id bigint, user_id bigint, event_type varchar, value double)")
