@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,19 +20,20 @@ from quillon.operators.neighbours import most_alike
 GENESIS = "0" * 64
 
 
-def chain(events: DataFrame, key: str, seq: str, body: str, start: str | None = None) -> DataFrame:
+def chain(events: DataFrame, key: str, seq: str, body: str, start: str | None = None, laid: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """events with prev_sha and entry_sha: each entry's hash covers its body and the hash before it, within its chain.
 
     A chain is folded in its order as its rows stream by, chains in parallel; a task holds one batch of rows and one
     hash, so long chains cost time in proportion and no more memory. seq should be unique within a chain: entries that
     tie come in order of their bodies. A null body counts as empty, rows with a null key are one chain, and columns
     named prev_sha or entry_sha are replaced. start names a column with the hash that a chain goes on from, one for all its rows.
+    With laid nothing is moved: batches go through it first, and then each chain must lie in one piece in one partition, in its order.
     """
     events = events.drop("prev_sha", "entry_sha")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sha = object(), GENESIS
-        for batch in batches:
+        for batch in laid(batches) if laid else batches:
             before, after = [], []
             begins = batch.column(start).to_pylist() if start else [GENESIS] * batch.num_rows
             for k, text, begin in zip(batch.column(key).to_pylist(), batch.column(body).to_pylist(), begins, strict=True):
@@ -44,7 +45,8 @@ def chain(events: DataFrame, key: str, seq: str, body: str, start: str | None =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names, "prev_sha", "entry_sha"])
 
     out_type = StructType([*events.schema.fields, StructField("prev_sha", StringType()), StructField("entry_sha", StringType())])
-    return events.repartition(key).sortWithinPartitions(key, seq, body).mapInArrow(over, out_type)
+    events = events if laid else events.repartition(key).sortWithinPartitions(key, seq, body)
+    return events.mapInArrow(over, out_type)
 
 
 def verify_chain(entries: DataFrame, key: str, seq: str, body: str) -> DataFrame:

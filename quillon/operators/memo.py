@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.canonical import dumps
 from quillon.operators.events import memo_compact, memo_load
+from quillon.plans.written import written
 from quillon.sources.snapshots import Snapshots, Version
 
 # The tools whose results may be used again, in other runs or in the same run alone, and how a handle is told and replaced.
@@ -40,13 +41,14 @@ def scope(tool: Column) -> Column:
     return F.when(tool.isin(*CROSS_RUN), "cross").when(tool.isin(*IN_RUN), "inrun")
 
 
-def call_keys(calls: DataFrame, artifacts: DataFrame, versions: dict[str, str] | None = None, run: str = "run") -> DataFrame:
+def call_keys(calls: DataFrame, artifacts: DataFrame, versions: dict[str, str] | None = None, run: str = "run", at_once: bool = False) -> DataFrame:
     """calls (tool, arguments, run, ...) with key: the address of a call by its tool, the tool's version and what its arguments hold.
 
     arguments is a JSON object of any depth. Every handle in it counts as the hash that artifacts (handle, sha256) has for it, so
     equal content has one address whatever its handle. An in-run tool's address also names the run (the column run; null counts as
     ""). A call has no address (null) if its tool is never memoised, if it has a handle that artifacts lacks, or if its
     arguments are null or no JSON. Of several hashes of a handle the least counts. Calls with equal arguments are resolved once.
+    With at_once these are resolved now and stored, so that the planner knows their size and moves no calls where they are few.
     """
     versions = versions or {}
     distinct = calls.where(scope(F.col("tool")).isNotNull() & F.col("arguments").isNotNull()).select("tool", "arguments").distinct()
@@ -66,6 +68,7 @@ def call_keys(calls: DataFrame, artifacts: DataFrame, versions: dict[str, str] |
         return pd.Series([one(*x) for x in zip(tool, arguments, known, strict=True)], dtype=object)
 
     keyed = distinct.join(found, "arguments", "left").select("tool", "arguments", F.sha2(text("tool", "arguments", "known"), 256).alias("_sha"))
+    keyed = written(keyed, "keys") if at_once else keyed
     out = calls.drop("key").join(keyed, ["tool", "arguments"], "left")
     space = F.when(scope(F.col("tool")) == "inrun", F.concat(F.lit("inrun:"), F.coalesce(F.col(run).cast("string"), F.lit("")), F.lit(":"))).otherwise("cross:")
     return out.select(*(c for c in calls.columns if c != "key"), F.concat(space, F.col("_sha")).alias("key"))

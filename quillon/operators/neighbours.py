@@ -60,6 +60,11 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T), 0)
 
 
+def balls(n: int) -> int:
+    """Pivots for n rows, a ball of ROWS rows each where n allows: a query's vector is sent to each region that it reaches, so small regions cost more than they save."""
+    return max(1, min(PIVOTS, n // ROWS))
+
+
 def choose_pivots(vectors: DataFrame, key: str, vector: str, count: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
     """Up to count pivots, each the farthest from those before it, among the sample rows of the smallest key hashes."""
     rows = vectors.select(F.xxhash64(key).alias("h"), F.col(vector).alias("v")).orderBy("h").limit(sample).select("v").toArrow().column("v")

@@ -762,11 +762,12 @@ def _(s, d):
     review = F.concat(F.lit('{"case_id": "'), F.col("user_id").cast("string"), F.lit('"}'))
     calls = v.table(s, d, "events").crossJoin(F.broadcast(most)).select(e.alias("call"), F.col("user_id").alias("case_id"), e.alias("seq"), F.expr(_CALL).alias("tool"), "event_type", crop.alias("crop"), policy.alias("policy"), topic.alias("topic"), review.alias("review"), F.lit("run").alias("run"))
     calls = calls.withColumn("arguments", F.expr("case tool when 'retrieve_similar' then crop when 'run_eval_gate' then policy when 'submit_review' then review else topic end"))
-    calls = memo.call_keys(calls, s.createDataFrame([], "handle string, sha256 string"))
+    calls = memo.call_keys(calls, s.createDataFrame([], "handle string, sha256 string"), at_once=True)
     verdicts = v.replays(s, d).groupBy("policy_id").agg(F.every("passed").alias("passed"), F.count("*").cast("string").alias("summary"))
     corpus = v.table(s, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(" "), "n_name").alias("topic"), F.col("n_name").alias("text"))
+    index = neighbours.build(vectors.withColumnRenamed("id", "atlas_id"), "atlas_id", pivots=neighbours.balls(vectors.count()))
     tools = {
-        "retrieve_similar": toolcalls.retrieve_similar(vectors, neighbours.build(vectors.withColumnRenamed("id", "atlas_id"), "atlas_id")), "lookup_criteria": toolcalls.lookup_criteria(corpus, "v1"),
+        "retrieve_similar": toolcalls.retrieve_similar(vectors, index), "lookup_criteria": toolcalls.lookup_criteria(corpus, "v1"),
         "run_eval_gate": toolcalls.run_eval_gate(verdicts), "submit_review": toolcalls.submit_review(),
     }
     entries = events.checked(toolcalls.answer(calls, tools), "case_id", "body")
